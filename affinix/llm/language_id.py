@@ -1,7 +1,7 @@
 """Language identification in two steps: the family first, then one-versus-one linear SVMs within it.
 
 Features are hashed byte trigram frequencies of the whole text.  Families are
-learned too: languages whose mean frequencies are close join one family.  The
+learned too: a language joins the one whose mean frequencies are nearest.  The
 family is told by one-versus-rest linear SVMs, a language within it by the votes
 of its one-versus-one SVMs.
 """
@@ -24,8 +24,6 @@ SLOTS = 4096
 #: Bound of the training sample: documents of each language, and languages (the most frequent ones).
 SAMPLE_PER_LANGUAGE = 500
 MAX_LANGUAGES = 200
-#: Languages whose mean frequencies have at least this cosine are of one family.
-FAMILY_COSINE = 0.45
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
 
@@ -61,24 +59,18 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30)
     return w[:-1], float(w[-1])
 
 
-def _groups(means: np.ndarray, cosine: float) -> list[list[int]]:
-    """Single-linkage groups of rows."""
+def _groups(means: np.ndarray) -> list[list[int]]:
+    """Rows that are joined, over any number of steps, by links from a row to its nearest by cosine."""
     unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-    close = unit @ unit.T >= cosine
-    left, out = set(range(len(means))), []
-    while left:
-        todo, group = [min(left)], []
-        while todo:
-            i = todo.pop()
-            if i in left:
-                left.discard(i)
-                group.append(i)
-                todo += [j for j in left if close[i, j]]
-        out.append(sorted(group))
-    return out
-
-
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, cosine: float = FAMILY_COSINE, slots: int = SLOTS) -> LanguageModel:
+    cosine = unit @ unit.T - 3 * np.eye(len(means))
+    label = list(range(len(means)))
+    for i in range(len(means) if len(means) > 1 else 0):
+        old, new = label[i], label[int(cosine[i].argmax())]
+        label = [new if x == old else x for x in label]
+    return [[i for i, x in enumerate(label) if x == k] for k in dict.fromkeys(label)]
+
+
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, slots: int = SLOTS) -> LanguageModel:
     """Learns from rows of docs(doc_id, text, lang) that aren't held out and have a lang.
 
     The sample is the per_language rows of each language with the lowest hash of
@@ -103,7 +95,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, cosine: floa
     x *= 30  # frequencies are small; the regularisation is set for features near 1
     if not languages:
         return LanguageModel([], [], np.zeros((slots, 0)), np.zeros(0), [], np.zeros((slots, 0)), np.zeros(0))
-    families = _groups(np.array([x[y == k].mean(0) for k in range(len(languages))]), cosine)
+    families = _groups(np.array([x[y == k].mean(0) for k in range(len(languages))]))
     of = np.array([next(f for f, g in enumerate(families) if k in g) for k in range(len(languages))])
     made = [linear_svm(x, np.where(of[y] == f, 1, -1)) for f in range(len(families))] if len(families) > 1 else []
     pairs = [p for g in families for p in itertools.combinations(g, 2)]
