@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from affinix.llm.decontamination import OP9_SQL, op9_decontamination
 from affinix.llm.language_id import op2_language_id
+from affinix.llm.pii import op3_pii
 from affinix.llm.quality_classifier import op6_quality_classifier
 from affinix.llm.secret_scan import op8_secret_scan
 from affinix.llm.source_mixing import OP5_SQL, op5_source_mixing
@@ -11,6 +12,7 @@ from affinix.llm.token_output import op7_token_output
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_pii": op3_pii,
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_output": op7_token_output,
