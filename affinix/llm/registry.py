@@ -8,11 +8,13 @@ from affinix.llm.pii import op3_pii
 from affinix.llm.quality_classifier import op6_quality_classifier
 from affinix.llm.secret_scan import op8_secret_scan
 from affinix.llm.source_mixing import OP5_SQL, op5_source_mixing
+from affinix.llm.substring_dedup import op4_substring_dedup
 from affinix.llm.token_output import op7_token_output
 
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_output": op7_token_output,
