@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from affinix.llm.decontamination import OP9_SQL, op9_decontamination
 from affinix.llm.language_id import op2_language_id
+from affinix.llm.ngram_jaccard import op1_ngram_jaccard
 from affinix.llm.pii import op3_pii
 from affinix.llm.quality_classifier import op6_quality_classifier
 from affinix.llm.secret_scan import op8_secret_scan
@@ -12,6 +13,7 @@ from affinix.llm.substring_dedup import op4_substring_dedup
 from affinix.llm.token_output import op7_token_output
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op4_substring_dedup": op4_substring_dedup,
