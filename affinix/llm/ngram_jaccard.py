@@ -248,16 +248,13 @@ def _across(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select("cls", F.explode(fits).alias("e")).select(F.least("cls", "e.y").alias("a"), F.greatest("cls", "e.y").alias("b")).distinct()
 
 
-def linked_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, class_id (a hash of the set) and component_id.
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
-    component_id is the lowest doc_id that links reach, its own included.  Texts
-    without words (null, empty, white space) have 0 shingles, null class_id and
-    their own doc_id.  Repeated rows are equal sets and so linked; a null doc_id is
-    never the lowest.  Extra columns are not looked at.
-    """
-    folder = folder or shared_folder(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+
+def _linked(docs: DataFrame, folder: str) -> DataFrame:
+    """(row, doc_id, n_shingles, cls, root, component_id) per row; root names the component, null where there are no shingles."""
+    rows = _rows(docs).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = _profile(rows, f"{folder}/profile")
     sets = profile.where("kind = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     lists = _lists(_postings(rows, _sketch(profile)), f"{folder}/lists")
@@ -270,23 +267,40 @@ def linked_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
     links = written(_verified(stars, texts), f"{folder}/links-1")
     roots = components(links, f"{folder}/components-1")
-    more = written(_across(entries, roots).join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), f"{folder}/across")
+    tried = stars.union(stars.select("b", "a"))
+    more = written(_across(entries, roots).join(tried, ["a", "b"], "left_anti"), f"{folder}/across")
     if not more.isEmpty():
         links = written(_verified(more, texts), f"{folder}/links-2")
         roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(links), f"{folder}/components-2")
 
     rooted = classes.select("cls", "low").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = rooted.join(lowest, "root").select("cls", "component_id")
-    return sets.join(ids, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = rooted.join(lowest, "root").select("cls", "root", "component_id")
+    return sets.join(ids, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def linked_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_shingles, class_id (a hash of the set) and component_id.
+
+    component_id is the lowest doc_id that links reach, its own included.  Texts
+    without words (null, empty, white space) have 0 shingles, null class_id and
+    their own doc_id.  Repeated rows are equal sets and so linked; a null doc_id is
+    never the lowest.  Extra columns are not looked at.
+    """
+    found = _linked(docs, folder or shared_folder(docs.sparkSession))
+    return found.select("doc_id", "n_shingles", F.col("cls").alias("class_id"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the lowest doc_id; of equal rows one stays.  All columns stay."""
-    linked = linked_documents(docs)
-    keep = linked.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """docs with one row of each component, that with the lowest doc_id; all columns stay.
+
+    Rows without words are in no component: all stay, but of wholly equal ids and texts one stays.
+    """
+    found = _linked(docs, folder or shared_folder(docs.sparkSession))
+    keep = found.groupBy(F.coalesce("root", "row").alias("of"), F.col("root").isNull().alias("empty")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
+    base = docs.columns
+    kept = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(keep.distinct(), "_row", "left_semi")
+    return kept.dropDuplicates(["_row"]).select(*base)
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
