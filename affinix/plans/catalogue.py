@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from affinix.plans import engagement
+
+MODULES = (engagement,)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
