@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Tag spellings that mean another tag, after normalisation.
 TAG_ALIASES = {
@@ -21,7 +22,7 @@ TRUE_WORDS = ["1", "true", "t", "y", "yes"]
 DATE_FORMATS = ["MMM d, yyyy", "d MMM, yyyy", "MMM yyyy", "yyyy"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

@@ -74,9 +74,9 @@ def _(spark, d):
     return features.extract_stats(inter_of(spark, d))
 
 
-@query("eval_pool", "SELECT p_partkey AS item_id FROM part WHERE p_size % 5 <> 0 AND p_size % 3 <> 1")
+@query("eval_pool", "SELECT p_partkey AS item_id FROM part WHERE p_size > 10 AND p_size <= 45")
 def _(spark, d):
-    items = tables.items(spark, d).select("item_id", F.when(F.col("size") % 5 != 0, "game").alias("type"), F.nullif(F.col("size") % 3, F.lit(0)).alias("coming_soon"))
+    items = tables.items(spark, d).select("item_id", F.when(F.col("size") > 10, "game").alias("type"), F.when(F.col("size") > 20, (F.col("size") > 45).cast("int")).alias("coming_soon"))
     return features.eval_pool(items)
 
 
@@ -208,8 +208,8 @@ def _(spark, d):
     return inter.join(mean, "item_id").select("user_id", "item_id", scores.playtime_weight(F.col("playtime"), F.col("mean")).alias("w"))
 
 
-@query("liked_map", f"WITH {INTER}, s AS (SELECT user_id, item_id, coalesce({PCTL}, 0) AS s FROM inter) SELECT user_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM s WHERE s > 0.25 AND item_id % 2 = 0 GROUP BY user_id")
+@query("liked_map", f"WITH {INTER}, s AS (SELECT user_id, item_id, coalesce({PCTL}, 0) AS s FROM inter) SELECT user_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM s WHERE s > 0.25 AND item_id IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY user_id")
 def _(spark, d):
     inter = inter_of(spark, d)
-    m = scores.liked_map(scores.pctl_game(inter), tables.items(spark, d).where("item_id % 2 = 0"), 0.25)
+    m = scores.liked_map(scores.pctl_game(inter), tables.items(spark, d).where("size > 10"), 0.25)
     return m.select("user_id", F.size("liked").cast("long").alias("n"), F.array_join(F.transform(F.array_sort(F.map_keys("liked")), lambda x: x.cast("string")), ",").alias("items"))
