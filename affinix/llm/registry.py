@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from affinix.llm.decontamination import OP9_SQL, op9_decontamination
 from affinix.llm.language_id import op2_language_id
+from affinix.llm.media_copies import op10_media_copies
 from affinix.llm.ngram_jaccard import op1_ngram_jaccard
 from affinix.llm.pii import op3_pii
 from affinix.llm.quality_classifier import op6_quality_classifier
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_token_output": op7_token_output,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
+    "op10_media_copies": op10_media_copies,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_source_mixing": OP5_SQL,
