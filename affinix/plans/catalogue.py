@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from affinix.plans import engagement, items
+from affinix.plans import engagement, items, recommending
 
-MODULES = (engagement, items)
+MODULES = (engagement, items, recommending)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
