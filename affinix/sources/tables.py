@@ -8,8 +8,11 @@ tax is unlocking progress.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,8 +40,11 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
-    """A CSV file with a header; rows that don't fit the schema are skipped."""
-    return spark.read.options(header="true", mode="DROPMALFORMED", encoding="UTF-8", **options).schema(schema).csv(path)
+    """A CSV file with a header, in the schema's order of columns; rows with a value that doesn't fit its type are skipped, empty ones are null."""
+    types = StructType.fromDDL(schema)
+    raw = spark.read.options(header="true", encoding="UTF-8", **options).schema(StructType([StructField(f.name, StringType()) for f in types])).csv(path)
+    fits = [F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull() for f in types]
+    return raw.where(reduce(lambda x, y: x & y, fits)).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in types])
 
 
 def json_map(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
