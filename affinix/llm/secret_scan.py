@@ -32,7 +32,7 @@ CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+"), 20, 3.0), ("alnum", re.compile(r
 #: Runs that look random but are no secrets.
 ALLOW = (
     re.compile(r"[0-9]+|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # plain numbers, UUIDs
-    re.compile(r"([A-Za-z]+[-_/+=]?)+[0-9]{0,4}"),  # words with a short number behind
+    re.compile(r"[-_/+=]*[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*[0-9]{0,4}"),  # words with a short number behind
     re.compile(r".*(EXAMPLE|example|abcdefgh|ABCDEFGH|0123456789|1234567890).*"),  # placeholders
     re.compile(r"[-_=+/]+|[0-9]+([-/_][0-9]+)+"),  # rules, dates, ranges
 )
@@ -65,7 +65,7 @@ def entropy_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> Iterator[
         run = m.group()
         if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
             continue
-        if any(p.fullmatch(run) for p in allow[:1] + allow[2:]) or len(run) < 200 and allow[1:2] and allow[1].fullmatch(run):
+        if any(p.fullmatch(run) for p in allow):
             continue
         window, bits = next((w, b) for _, p, w, b in CLASSES if p.fullmatch(run))
         if highest_entropy(run, window) >= bits:
