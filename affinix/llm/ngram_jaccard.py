@@ -11,12 +11,16 @@ between sets make needless:
 * In each list, every member first meets the list's leader alone (star pairs).
   A member that is linked with the leader has its answers from it: they are in
   one component, so no pair within a component is looked at again.
+* Entries outside their list's largest component then meet a few of its members,
+  in rounds; members that are linked have their answers from it again.
 * What is left, pairs of one list across components, is found by blocks of list
   entries of like position and size: a block whose bounds leave no room for the
-  overlap is skipped whole.
+  overlap is skipped whole.  After this no pair of one list is untried across
+  components, so no link is lost.
 
-Frequencies are counted over all documents in a sketch of fixed size, which is
-all that is broadcast.  Any order that is the same everywhere gives the same
+Frequencies are counted over all documents in a sketch of fixed size; that, and a
+filter of fixed size that keeps most texts no one asks for out of the shuffle,
+are all that is broadcast.  Any order that is the same everywhere gives the same
 links; a rough count only costs candidates.  Every candidate pair is verified on
 its whole sets.
 """
@@ -31,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinix.functions.windows import top_k
 from affinix.llm._components import components
 from affinix.llm._shared import chunks, gram_hashes, mixed, shared_folder, span_hashes, word_bounds, written
 
@@ -41,6 +46,11 @@ BLOCKS = 64
 #: Members of a leader that are verified in one go, and entries of a list block.
 STAR = 2000
 BLOCK = 256
+#: Members of the largest component that an entry meets in a round before the blocks, and such rounds at most.
+MEET = 16
+ROUNDS = 3
+#: Bits (as a power of two) of the filter of texts that are asked for.
+FILTER_BITS = 24
 _TOKEN_BITS = 52
 
 
@@ -195,16 +205,41 @@ def _lists(postings: DataFrame, path: str) -> DataFrame:
     return written(dealt.mapInArrow(run, "kind int, token long, a long, b long, place long"), path)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose sets have Jaccard 0.75 or more.
+def _asked_for(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """rows(row, text) without most of those that asked(row) doesn't hold.
+
+    A Bloom filter of 2 MB and two probes, whatever the input; when it is full it
+    lets all rows pass.
+    """
+    size = 1 << FILTER_BITS
+    bits = asked.select(F.explode(F.array(F.col("row").bitwiseAND(size - 1), F.shiftrightunsigned("row", FILTER_BITS).bitwiseAND(size - 1))).alias("bit"))
+    words = np.zeros(size // 64, np.uint64)
+    for r in bits.selectExpr("shiftright(bit, 6) as word", "shiftleft(1L, cast(bit & 63 as int)) as mask").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
+        words[r.word] = np.uint64(r.mask & ((1 << 64) - 1))
+    sent = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            row = batch.column(0).to_numpy().view(np.uint64)
+            keep = np.ones(len(row), bool)
+            for probe in (row & np.uint64(size - 1), row >> np.uint64(FILTER_BITS) & np.uint64(size - 1)):
+                keep &= (table[(probe >> np.uint64(6)).astype(np.int64)] >> (probe & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield batch.filter(pa.array(keep))
+
+    return rows.select("row", "text").mapInArrow(run, "row long, text string")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """Those of pairs(a, b) whose sets have Jaccard 0.75 or more, written.
 
     a's text is sent once for up to STAR members, and each member's text once for
     each pair; rows come sorted, so that one set is in hand.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
-    member = pairs.join(counts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), "b").join(texts.select(F.col("cls").alias("b"), "text"), "b")
-    leader = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.select(F.col("cls").alias("a"), "text"), "a")
-    rows = member.select("a", "part", F.lit(1).alias("member"), "b", "text").unionByName(leader.select("a", "part", F.lit(0).alias("member"), F.col("a").alias("b"), "text"))
+    member = pairs.join(counts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), F.lit(1).alias("member"), "b")
+    leader = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("a").alias("b"))
+    asked = written(member.unionByName(leader).join(classes.select(F.col("cls").alias("b"), "row"), "b"), f"{folder}-asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.zeros(0, np.uint64)
@@ -224,25 +259,38 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         right.append(b[k])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "member").select("a", "member", "b", "text").mapInArrow(run, "a long, b long")
+    sent = _asked_for(rows, asked).join(asked, "row").select("a", "part", "member", "b", "text")
+    dealt = sent.repartition("a", "part").sortWithinPartitions("a", "part", "member").select("a", "member", "b", "text")
+    return written(dealt.mapInArrow(run, "a long, b long"), f"{folder}-links")
+
 
+def _torn(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries (token, cls, root, n, at, main, length) of lists that hold several components; main is the largest there."""
+    placed = entries.select("token", F.col("a").alias("cls"), "place").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    by_root = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    lists = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("length"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1 and length > 2").drop("roots")
+    return placed.join(lists, "token").select("token", "cls", "root", F.expr("cast(place >> 32 as int)").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("at"), "main", "length")
+
+
+def _some_across(torn: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs of entries outside the largest component and MEET of those inside, by a hash that changes with turn."""
+    inside = top_k(torn.where("root = main"), MEET, ["token"], [F.xxhash64("cls", F.lit(turn))]).select("token", F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("at").alias("y_at"))
+    room = "3 * greatest(n, y_n) <= 4 * least(n, y_n) and 7 * least(n - at, y_n - y_at) >= 3 * (n + y_n)"
+    return torn.where("root <> main").join(inside, "token").where(room).select(F.least("cls", "y").alias("a"), F.greatest("cls", "y").alias("b")).distinct()
 
-def _across(entries: DataFrame, roots: DataFrame) -> DataFrame:
+
+def _across(torn: DataFrame) -> DataFrame:
     """Distinct pairs of entries of one list that are in different components and have room for the overlap.
 
     Every entry outside its list's largest component looks at the list's blocks;
     blocks whose bounds leave no room are skipped.
     """
-    placed = entries.select("token", F.col("a").alias("cls"), "place").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    by_root = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
-    lists = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("length"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1 and length > 2").drop("roots")
-    mixed_lists = placed.join(lists, "token").select("*", F.expr("cast(place >> 32 as int)").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("at"))
     blocks = (
-        mixed_lists.groupBy("token", F.expr("cast(log(4D / 3D, n) as int)").alias("size_class"), F.expr("cast(log2(at + 1) as int)").alias("place_class"), F.expr(f"pmod(xxhash64(cls), greatest(1, cast(length / {BLOCK} as int)))").alias("part"))
+        torn.groupBy("token", F.expr("cast(log(4D / 3D, n) as int)").alias("size_class"), F.expr("cast(log2(at + 1) as int)").alias("place_class"), F.expr(f"pmod(xxhash64(cls), greatest(1, cast(length / {BLOCK} as int)))").alias("part"))
         .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("rest"), F.collect_list(F.struct(F.col("cls").alias("y"), F.col("root").alias("y_root"), F.col("n").alias("y_n"), F.col("at").alias("y_at"))).alias("block"))
         .select("token", "low", "high", "rest", "block")
     )
-    probe = mixed_lists.where("root <> main").select("token", "cls", "root", "n", "at")
+    probe = torn.where("root <> main").select("token", "cls", "root", "n", "at")
     met = probe.join(blocks, "token").where("3 * n <= 4 * high and 3 * low <= 4 * n and 7 * least(n - at, rest) >= 3 * (n + low)")
     fits = F.filter("block", lambda e: (e["y_root"] != F.col("root")) & (3 * F.greatest(e["y_n"], F.col("n")) <= 4 * F.least(e["y_n"], F.col("n"))) & (7 * F.least(F.col("n") - F.col("at"), e["y_n"] - e["y_at"]) >= 3 * (e["y_n"] + F.col("n"))))
     return met.select("cls", F.explode(fits).alias("e")).select(F.least("cls", "e.y").alias("a"), F.greatest("cls", "e.y").alias("b")).distinct()
@@ -262,16 +310,16 @@ def _linked(docs: DataFrame, folder: str) -> DataFrame:
     entries = lists.where("kind = 1").select("token", "a", "place")
 
     classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"))
-    needed = entries.select(F.col("a").alias("cls")).distinct().join(classes, "cls").select("row", "cls")
-    texts = written(rows.select("row", "text").join(needed, "row").select("cls", "text").dropDuplicates(["cls"]), f"{folder}/texts")
-
-    links = written(_verified(stars, texts), f"{folder}/links-1")
-    roots = components(links, f"{folder}/components-1")
-    tried = stars.union(stars.select("b", "a"))
-    more = written(_across(entries, roots).join(tried, ["a", "b"], "left_anti"), f"{folder}/across")
-    if not more.isEmpty():
-        links = written(_verified(more, texts), f"{folder}/links-2")
-        roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(links), f"{folder}/components-2")
+    roots = components(_verified(stars, rows, classes, f"{folder}/stars"), f"{folder}/components")
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(ROUNDS + 1):
+        torn = written(_torn(entries, roots), f"{folder}/torn-{turn}")
+        pairs = _across(torn) if turn == ROUNDS else _some_across(torn, turn)
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs-{turn}")
+        if not pairs.isEmpty():
+            links = _verified(pairs, rows, classes, f"{folder}/pairs-{turn}")
+            roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(links), f"{folder}/components-{turn}")
+            tried = tried.union(pairs)
 
     rooted = classes.select("cls", "low").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
