@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ from affinix.llm._shared import shared_folder, written
 
 #: Ids of a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
-#: Text pieces whose ids a Python worker remembers; beyond it, it starts afresh.
-MEMO_PIECES = 600_000
+#: Text pieces whose ids a Python worker remembers; beyond it, the older half stays: what came early comes often.
+MEMO_PIECES = 1_200_000
 _STEP = 512
+#: ASCII marks that the pre-tokenizer always parts from letters before them (the apostrophe isn't one).
+_MARKS = ".,;:!?#$%&*|()[]{}<>+=/\\~^@_\"-"
 BLOCK_SCHEMA = "shard int, block int, width int, n_docs long, n_ids long, low_bits int, doc_ids binary, ids binary, low binary, high binary, rank binary"
 
 
@@ -80,10 +83,12 @@ class EliasFano:
 class PieceEncoder:
     """Encodes whole texts, remembering the ids of pieces that came before.
 
-    Byte-level BPE never merges across the place between a character that is no
-    space and a space before another such character, so a text without two
-    adjoining spaces is the concatenation of its pieces.  Texts that have them
-    are encoded in one go.  The tokenizers library encodes every piece.
+    Byte-level BPE never merges across the place before a white-space character
+    that stands between two others, so a text in which no two white-space
+    characters adjoin is the concatenation of pieces that begin with a space or
+    a line feed.  Other texts are encoded in one go.  The tokenizers library
+    encodes every piece; new ones are sent to it many at a time, with a line feed,
+    which always has an id of its own there, between them.
     """
 
     def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
@@ -92,33 +97,88 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = memo_pieces
-        self.first: dict[str, bytes] = {}
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = list(pieces)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch([before + x for x in part], add_special_tokens=False), strict=True):
-                memo[piece] = np.array(e.ids, "<u4").tobytes()
+        self.memo: dict[str, bytes] = {}  # by a piece without its space, or with its line feed
+        self.marks: dict[str, bytes] = {}  # by a run of marks without a space before it
+        self.edged: set[str] = set()  # pieces with white space at an end of what follows their space or line feed
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain: set[str] = set()
+        marked = []
+        for p in pieces:
+            body = p[1:] if p[:1] == "\n" else p
+            if not body or body[0].isspace() or body[-1].isspace():
+                if body:
+                    self.edged.add(p)
+            elif self.line is not None and "\n" not in body:
+                stem = body.rstrip(_MARKS)
+                if stem != body and stem.isalpha():  # letters and the marks behind them are encoded apart
+                    cut = len(p) - len(body) + len(stem)
+                    marked.append((p, cut))
+                    if p[:cut] not in self.memo:
+                        plain.add(p[:cut])
+                else:
+                    plain.add(p)
+                continue
+            self.memo[p] = self._whole(p if p[:1] == "\n" else " " + p)
+        self._encode_many(list(plain))
+        for p, cut in marked:
+            tail = p[cut:]
+            if tail not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                self.marks[tail] = self._whole(tail)
+            self.memo[p] = self.memo[p[:cut]] + self.marks[tail]
+
+    def _encode_many(self, plain: list[str]) -> None:
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
+            text = "".join([p if p[0] == "\n" else "\n " + p for p in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line).tolist()
+            if len(cuts) != len(part):
+                for p in part:
+                    self.memo[p] = self._whole(p if p[0] == "\n" else " " + p)
+                continue
+            data = ids.tobytes()
+            for p, i, j in zip(part, cuts, [*cuts[1:], len(ids)], strict=True):
+                self.memo[p] = data[4 * (i + (p[0] != "\n")) : 4 * j]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.memo) + len(self.first) > self.limit:
-            self.memo.clear()
-            self.first.clear()
-        split = [None if "  " in t else t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split if p and p[0]} - self.first.keys(), "")
-        self._learn(self.memo, set().union(*(p[1:] for p in split if p)) - self.memo.keys(), " ")
-        get = self.memo.__getitem__
+        if len(self.memo) > self.limit:
+            self.memo = dict(islice(self.memo.items(), self.limit // 2))
+            self.edged = {p for p in self.edged if p in self.memo}
+        # A line feed is put before each text; its one id is cut off again.
+        split = [("\n" + t).replace("\n", " \n").split(" ") for t in texts]
+        pieces = [p for s in split for p in s[1:]]
+        made = list(map(self.memo.get, pieces))
+        new = {p for p, ids in zip(pieces, made, strict=True) if ids is None}
+        if new:
+            self._learn(list(new))
+            made = [self.memo[p] if ids is None else ids for p, ids in zip(pieces, made, strict=True)]
         out = []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        at = 0
+        for text, s in zip(texts, split, strict=True):
+            end = at + len(s) - 1
+            if not text:
+                out.append(b"")
+            elif self.line is None or text[0].isspace() or self._adjoining(text) or self.edged and not self.edged.isdisjoint(s):
+                out.append(self._whole(text))
             else:
-                out.append((self.first[pieces[0]] if pieces[0] else b"") + b"".join(map(get, pieces[1:])))
+                out.append(b"".join(made[at:end])[4:])
+            at = end
         return out
 
+    @staticmethod
+    def _adjoining(text: str) -> bool:
+        """Whether spaces or line feeds adjoin."""
+        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+
 
 def _block(shard: int, number: int, width: int, doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
     lengths = np.array([len(x) // 4 for x in ids], np.int64)
