@@ -10,9 +10,9 @@ consecutive windows mostly share one: they form a super-k-mer.
 2. Only super-k-mers whose minimiser comes again travel, each as one packed
    string of its words, to the minimiser's bucket.  There the windows are
    hashed (two independent 64-bit hashes), sorted and counted.
-3. Minimisers of more than HOT super-k-mers would make one long task; their
-   windows are counted one by one with partial aggregation instead.  Both ways
-   give the same.
+3. Minimisers of more than HOT super-k-mers would make one long task; equal
+   strings of theirs are counted first, and the windows of the distinct ones one by
+   one, both with partial aggregation.  Both ways give the same.
 4. Ranges of words of repeated windows meet the texts again by row.
 
 Rows are known by a hash of doc_id and text.  Everything grows in proportion to
@@ -147,21 +147,45 @@ def repeated_ranges(rows: DataFrame, folder: str, window: int = WINDOW, gram: in
 
     if any_hot:
 
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The packed strings of hot minimisers, with a 128-bit digest of each."""
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    row, first, strings, s1, s2 = [], [], [], [], []
+                    for r in batch.slice(at, 64).select(["row", "text", "kmers"]).to_pylist():
+                        words = r["text"].encode().split() if any(k["hot"] for k in r["kmers"]) else []
+                        for k in r["kmers"]:
+                            if k["hot"]:
+                                row.append(r["row"])
+                                first.append(k["first"])
+                                strings.append(b" ".join(words[k["first"] : k["first"] + k["n"] + window - 1]))
+                                digest = hashlib.blake2b(strings[-1], digest_size=16).digest()
+                                s1.append(int.from_bytes(digest[:8], "little", signed=True))
+                                s2.append(int.from_bytes(digest[8:], "little", signed=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array(strings, pa.binary())], ["s1", "s2", "row", "first", "packed"])
+
         def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The windows of distinct strings."""
             for batch in batches:
-                names = batch.schema.names
-                for i in range(batch.num_rows):
-                    words = batch.column(names.index("text"))[i].as_py().encode().split()
-                    kmers = [k for k in batch.column(names.index("kmers"))[i].as_py() if k["hot"]]
-                    if kmers:
-                        a, b, row_first = _windows([b" ".join(words[k["first"] : k["first"] + k["n"] + window - 1]) for k in kmers], window)
-                        at = np.repeat([k["first"] for k in kmers], np.diff(row_first)) + np.arange(len(a)) - np.repeat(row_first[:-1], np.diff(row_first))
-                        row = batch.column(names.index("row"))[i].as_py()
-                        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), row, np.int64)), pa.array(at.astype(np.int32))], ["h1", "h2", "row", "a"])
-
-        single = written(with_text.mapInArrow(one_by_one, "h1 long, h2 long, row long, a int"), f"{folder}/hot-windows")
-        again = single.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-        ranges = ranges.unionByName(single.join(again, ["h1", "h2"]).select("row", "a", (F.col("a") + window - 1).alias("b")))
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    a, b, first = _windows(part.column(3).to_pylist(), window)
+                    of = np.repeat(np.arange(part.num_rows), np.diff(first))
+                    s1, s2, c = (part.column(k).to_numpy()[of] for k in range(3))
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(s1), pa.array(s2), pa.array(c), pa.array((np.arange(len(a)) - first[of]).astype(np.int32))], ["h1", "h2", "s1", "s2", "c", "at"])
+
+        hot_strings = written(with_text.mapInArrow(whole, "s1 long, s2 long, row long, first int, packed binary"), f"{folder}/hot-strings")
+        distinct = hot_strings.groupBy("s1", "s2").agg(F.count("*").alias("c"), F.first("packed").alias("packed"))
+        single = written(distinct.mapInArrow(one_by_one, "h1 long, h2 long, s1 long, s2 long, c long, at int"), f"{folder}/hot-windows")
+        again = single.groupBy("h1", "h2").agg(F.sum("c").alias("total")).where("total > 1").drop("total")
+        runs = F.expr("""
+            aggregate(array_sort(collect_set(at)), cast(array() as array<struct<a: int, b: int>>),
+                (out, x) -> if(size(out) > 0 and x = element_at(out, -1).b + 1,
+                    concat(slice(out, 1, size(out) - 1), array(named_struct('a', element_at(out, -1).a, 'b', x))),
+                    concat(out, array(named_struct('a', x, 'b', x)))))""")
+        of_string = single.join(again, ["h1", "h2"]).groupBy("s1", "s2").agg(runs.alias("runs"))
+        hit = hot_strings.select("s1", "s2", "row", "first").join(of_string, ["s1", "s2"]).select("row", "first", F.explode("runs").alias("r"))
+        ranges = ranges.unionByName(hit.select("row", (F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") + window - 1).alias("b")))
     return ranges.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
