@@ -180,6 +180,16 @@ class PieceEncoder:
         return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
 
 
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def shared_encoder(path: str) -> PieceEncoder:
+    """The encoder of this Python worker, which outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
+
+
 def _block(shard: int, number: int, width: int, doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
     lengths = np.array([len(x) // 4 for x in ids], np.int64)
     ends = EliasFano.of(np.cumsum(lengths))
@@ -205,7 +215,7 @@ def write_blocks(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         from pyspark import TaskContext
 
         shard, number = TaskContext.get().partitionId(), 0
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         doc_ids: list[int] = []
         ids: list[bytes] = []
