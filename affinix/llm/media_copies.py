@@ -7,8 +7,8 @@
    make its descriptor.
 3. Hamming tables: a descriptor is cut into 4 bands of 32 bits, so two that
    differ in at most 3 bits agree on a band, and two that differ in 6 mostly do.
-   Descriptors meet where a band agrees.  Buckets of more than LIST are cut up by
-   a second band, tried with each of the others; no row is left out.
+   Descriptors meet where a band agrees, however many share it: a bucket of more
+   than BLOCK is dealt into blocks, and every block meets every other.
 4. Pairs of descriptors within MAX_BITS vote for the similarity transform
    (quarter-octave scale, sixteenth turn, and coarse shift) that maps one corner
    to the other; a pair of images is linked if at least MIN_VOTES distinct
@@ -37,8 +37,8 @@ TESTS = 128
 BANDS = 4
 MAX_BITS = 14
 MIN_VOTES = 6
-#: Corners of one key that meet by that key alone.
-LIST = 64
+#: Corners of one key that meet in one go; more are dealt into blocks of about so many.
+BLOCK = 2048
 IMAGE_SCHEMA = "image_id long, width int, height int, pixels binary"
 
 _grid = np.random.default_rng(5)
@@ -129,21 +129,24 @@ def _described(images: DataFrame) -> DataFrame:
     return images.select("cls", "width", "height", "pixels").mapInArrow(run, "cls long, x float, y float, scale float, angle float, low long, high long")
 
 
-def _bands() -> list[Column]:
-    return [F.shiftrightunsigned(word, at).bitwiseAND((1 << 32) - 1) for word in ("low", "high") for at in (0, 32)]
+def _bands(side: str = "") -> list[Column]:
+    return [F.shiftrightunsigned(f"{side}{word}", at).bitwiseAND((1 << 32) - 1) for word in ("low", "high") for at in (0, 32)]
 
 
 def _met(corners: DataFrame) -> DataFrame:
-    """Pairs of corners of different classes that share a band (of a long bucket: two), once for each such key."""
-    keyed = corners.withColumn("bands", F.array(*_bands())).select("*", F.posexplode("bands").alias("band", "value"))
-    long = keyed.groupBy("band", "value").agg(F.count("*").alias("size")).where(F.col("size") > LIST).select("band", "value", F.lit(True).alias("long"))
-    marked = keyed.join(long, ["band", "value"], "left")
-    second = F.when(F.col("long"), F.filter(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("k"), F.get("bands", k).alias("v"))), lambda x: x["k"] != F.col("band"))).otherwise(F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("v"))))
-    final = marked.withColumn("more", F.explode(second)).select("band", "value", F.col("more.k").alias("k"), F.col("more.v").alias("v"), "cls", "x", "y", "scale", "angle", "low", "high")
+    """Pairs of corners of different classes that share a band and differ in at most MAX_BITS, once each."""
+    keyed = corners.select("*", F.posexplode(F.array(*_bands())).alias("band", "value"))
+    long = keyed.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = keyed.join(long, ["band", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls", "x", "y", "scale"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     fields = ("cls", "x", "y", "scale", "angle", "low", "high")
-    a, b = (final.select("band", "value", "k", "v", *[F.col(c).alias(f"{side}_{c}") for c in fields]) for side in "ab")
+    a, b = (dealt.select("band", "value", F.col("own").alias(i), F.col("other").alias(j), *[F.col(c).alias(f"{side}_{c}") for c in fields]) for side, i, j in (("a", "i", "j"), ("b", "j", "i")))
     near = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high"))) <= MAX_BITS
-    return a.join(b, ["band", "value", "k", "v"]).where((F.col("a_cls") < F.col("b_cls")) & near)
+    # A pair that shares several bands is taken at the first.
+    first = F.lit(True)
+    for k, (x, y) in enumerate(zip(_bands("a_"), _bands("b_"), strict=True)):
+        first &= (F.col("band") <= k) | (x != y)
+    return a.join(b, ["band", "value", "i", "j"]).where((F.col("a_cls") < F.col("b_cls")) & near & first)
 
 
 def _links(corners: DataFrame) -> DataFrame:

@@ -51,6 +51,23 @@ def test_edited_copies_are_found(spark):
     assert media_copies.copies(images.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("others", [0, 300])
+def test_corners_meet_whatever_the_size_of_their_bucket(spark, monkeypatch, others):
+    """By brute force; corners 0 and 1 share their first band only, with 300 others too."""
+    monkeypatch.setattr(media_copies, "BLOCK", 16, raising=False)
+    draw = random.Random(7)
+    flip = [0, (1 << 40) | (1 << 60), (1 << 5) | (1 << 40)]
+    words = [(77, 0), (77 ^ flip[1], flip[2])]
+    words += [(77 | draw.getrandbits(31) << 32, draw.getrandbits(63)) for _ in range(others)]
+    words += [(low ^ 1 << 33, high ^ 1 << draw.randrange(63)) for low, high in words[2:80]]
+    rows = [(i, float(i), 1.0, 1.0, 0.0, *w) for i, w in enumerate(words)]
+    corners = spark.createDataFrame(rows, "cls long, x float, y float, scale float, angle float, low long, high long")
+    bands = {r.cls: r.bands for r in corners.select("cls", F.array(*media_copies._bands()).alias("bands")).collect()}
+    near = [(i, j) for i, (a, b) in enumerate(words) for j, (c, d) in enumerate(words) if i < j and (a ^ c).bit_count() + (b ^ d).bit_count() <= media_copies.MAX_BITS and any(x == y for x, y in zip(bands[i], bands[j], strict=True))]
+    assert (0, 1) in near
+    assert {(r.a_cls, r.b_cls) for r in media_copies._met(corners).collect()} == set(near)
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_runs_on_a_whole_table(spark, name):
     table = "embeddings" if name.startswith("op10") else "documents"
