@@ -3,7 +3,8 @@
 A source's mean repetition rate is target weight * size of the mix / its rows.
 Each row draws its count by inverting the Poisson distribution of that mean at a
 uniform number hashed from seed and doc_id, is exploded by that count, and the
-copies are put in a random order over the whole output.  Only one row for each
+copies are put in a random order over the whole output.  A mean above MAX_RATE is
+drawn as a sum of Poisson counts of equal smaller means, each with its own uniform.  Only one row for each
 source is aggregated and joined back, so a hot source moves no data of its own.
 """
 
@@ -12,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Above this mean the count isn't looked up in a table of the distribution's steps but is refused.
-MAX_RATE = 500.0
+#: Above this mean the count is a sum of several draws; up to here exp(-mean) is a normal double, so one draw is exact.
+MAX_RATE = 700.0
+#: Copies that one array holds.
+RUN = 1 << 16
 #: Above so many sources the rates are no longer broadcast.
 MAX_BROADCAST = 100_000
 SEED = 20240229
@@ -61,14 +64,20 @@ def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None,
     three names are replaced.
     """
     base = docs.drop("copy", "rate", "mix_key")
-    per_source = rates(base, weights, size).select(F.col("source").alias("_source"), "rate", poisson_steps(F.least(F.col("rate"), F.lit(MAX_RATE))).alias("_steps"))
-    per_source = per_source.withColumn("_steps", F.when(F.col("rate") <= MAX_RATE, F.col("_steps")).otherwise(F.raise_error(F.lit(f"a source would be repeated more than {MAX_RATE:g} times"))))
+    draws = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    per_source = rates(base, weights, size).select(F.col("source").alias("_source"), "rate", draws.alias("_draws"), poisson_steps(F.col("rate") / draws).alias("_steps"))
     few = per_source.select("_source").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     joined = base.join(F.broadcast(per_source) if few else per_source, base["source"].eqNullSafe(per_source["_source"]))
-    u = uniform(seed, F.lit("count"), F.col("doc_id"))
-    counted = joined.withColumn("_count", F.size(F.filter("_steps", lambda s: s <= u)))
-    copies = counted.where("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    return copies.withColumn("mix_key", uniform(seed, F.lit("order"), F.col("doc_id"), F.col("copy"))).drop("_source", "_steps", "_count")
+
+    def drawn(*part: Column) -> Column:
+        u = uniform(seed, F.lit("count"), F.col("doc_id"), *part)
+        return F.size(F.filter("_steps", lambda s: s <= u))
+
+    more = F.when(F.col("_draws") > 1, F.aggregate(F.sequence(F.lit(1), F.col("_draws") - 1), F.lit(0), lambda n, k: n + drawn(k))).otherwise(0)
+    counted = joined.withColumn("_count", drawn() + more)
+    runs = counted.where("_count > 0").withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_count") - 1) / RUN).cast("int"))))
+    copies = runs.withColumn("copy", F.explode(F.sequence(F.col("_run") * RUN, F.least(F.col("_run") * RUN + (RUN - 1), F.col("_count") - 1))))
+    return copies.withColumn("mix_key", uniform(seed, F.lit("order"), F.col("doc_id"), F.col("copy"))).drop("_source", "_draws", "_steps", "_count", "_run")
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, size: float | None = None, seed: int = SEED) -> DataFrame:

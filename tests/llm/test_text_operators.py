@@ -175,6 +175,31 @@ def test_mixing_means_and_clashes(spark):
     assert {r.source for r in source_mixing.rates(docs).collect()} == {"big", "small", None}
 
 
+def test_mixing_repeats_rare_sources_as_often_as_wanted(spark):
+    rows = [(i, "x", "common" if i % 100 else "rare" if i else None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = source_mixing.replicated(docs, size=300_000)
+    n = {r.doc_id: r for r in mix.groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("copies"), F.max("copy").alias("last")).collect()}
+    assert abs(n[0].n - 100_000) < 5 * 100_000**0.5
+    rare = np.array([r.n for r in n.values() if r.source == "rare"])
+    mean = 100_000 / 29
+    assert len(rare) == 29 and abs(rare.mean() - mean) < 5 * (mean / 29) ** 0.5 and 0.5 < rare.var(ddof=1) / mean < 2
+    assert abs(sum(r.n for r in n.values() if r.source == "common") - 100_000) < 5 * 100_000**0.5
+    assert all(r.n == r.copies == r.last + 1 for r in n.values())
+
+
+def test_mixing_matches_sql_at_high_rates(spark):
+    """600 is the rate of the null source, drawn at once as in the SQL."""
+    import duckdb
+
+    rows = [(i, f"t{i}", "common" if i else None) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.execute("create table documents as select i as doc_id, 't' || i as text, case when i > 0 then 'common' end as source from range(1200) t(i)")
+    want = con.sql(f"select doc_id, count(*) from ({source_mixing.OP5_SQL}) group by 1").fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in source_mixing.replicated(docs).groupBy("doc_id").count().collect())
+
+
 # 6
 def test_quality_ranks_held_out(spark):
     draw = random.Random(6)
