@@ -2,11 +2,11 @@
 
 1. Images of equal pixels are one class; only classes go on.
 2. Corners are found on a pyramid of scales (Harris measure, local maxima, the
-   strongest of each scale).  The patch around each is given an orientation by
+   strongest of each scale and cell of about CELL pixels a side).  The patch around each is given an orientation by
    its intensity centroid, and 128 binary tests, turned to that orientation,
    make its descriptor.
-3. Hamming tables: a descriptor is cut into 4 bands of 32 bits, so two that
-   differ in at most 3 bits agree on a band, and two that differ in 6 mostly do.
+3. Hamming tables: a descriptor is cut into 5 bands of 24 bits, so two that
+   differ in at most 4 bits agree on a band, and two that differ in 8 mostly do.
    Descriptors meet where a band agrees, however many share it: a bucket of more
    than BLOCK is dealt into blocks, and every block meets every other.
 4. Pairs of descriptors within MAX_BITS vote for the similarity transform
@@ -31,11 +31,12 @@ from affinix.llm._components import components
 from affinix.llm._shared import shared_folder, written
 
 SCALES = (1.0, 0.75, 0.55)
-CORNERS = 10  # of each scale
+CORNERS = 14  # of each scale and cell
+#: Full-size pixels of a cell's side, so that corners are as dense in a large picture as in its crops.
+CELL = 64
 RADIUS = 6
 TESTS = 128
-BANDS = 4
-MAX_BITS = 14
+MAX_BITS = 20
 MIN_VOTES = 6
 #: Corners of one key that meet in one go; more are dealt into blocks of about so many.
 BLOCK = 2048
@@ -89,10 +90,11 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
                 if dy or dx:
                     best &= core >= r[:, margin + dy : h - margin + dy, margin + dx : w - margin + dx]
         value = np.where(best & (core > 1e-3), core, -1).reshape(n, -1)
-        k = min(CORNERS, value.shape[1])
-        top = np.argpartition(-value, k - 1, axis=1)[:, :k]
-        image = np.repeat(np.arange(n), k)
-        place = top.ravel()
+        places = np.arange(value.shape[1]).reshape(core.shape[1:])
+        cells = [c.ravel() for strip in np.array_split(places, max(1, round(stack.shape[1] / CELL)), 0) for c in np.array_split(strip, max(1, round(stack.shape[2] / CELL)), 1) if c.size]
+        top = [c[np.argpartition(-value[:, c], k - 1, axis=1)[:, :k]] for c in cells for k in [min(CORNERS, len(c))]]
+        image = np.concatenate([np.repeat(np.arange(n), t.shape[1]) for t in top])
+        place = np.concatenate([t.ravel() for t in top])
         good = value[image, place] > 0
         image, place = image[good], place[good]
         y, x = place // core.shape[2] + margin, place % core.shape[2] + margin
@@ -130,7 +132,10 @@ def _described(images: DataFrame) -> DataFrame:
 
 
 def _bands(side: str = "") -> list[Column]:
-    return [F.shiftrightunsigned(f"{side}{word}", at).bitwiseAND((1 << 32) - 1) for word in ("low", "high") for at in (0, 32)]
+    def part(word: str, at: int, bits: int) -> Column:
+        return F.shiftrightunsigned(f"{side}{word}", at).bitwiseAND((1 << bits) - 1)
+
+    return [part("low", 0, 24), part("low", 24, 24), part("high", 0, 24), part("high", 24, 24), part("low", 48, 16) * 256 + part("high", 48, 8)]
 
 
 def _met(corners: DataFrame) -> DataFrame:

@@ -51,6 +51,19 @@ def test_edited_copies_are_found(spark):
     assert media_copies.copies(images.limit(0)).count() == 0
 
 
+def test_small_crops_of_large_pictures_are_found(spark):
+    draw = np.random.default_rng(4)
+    at = np.stack(np.mgrid[0:256, 0:256]).reshape(2, -1) / 64
+    rows = []
+    for i in range(6):
+        waves = np.cos(2 * np.pi * (draw.uniform(-7, 7, (40, 2)) @ at + draw.uniform(0, 1, (40, 1)))).sum(0).reshape(256, 256)
+        large = np.clip(waves * 10 + 128, 0, 255).astype(np.uint8)
+        rows += [(i, 256, 256, large.tobytes()), (100 + i, 72, 72, large[90:162, 40:112].tobytes())]
+    got = {r.image_id: r.component_id for r in media_copies.copies(spark.createDataFrame(rows, media_copies.IMAGE_SCHEMA)).collect()}
+    assert all(got[i] == i and got[100 + i] in (i, 100 + i) for i in range(6))
+    assert sum(got[100 + i] == i for i in range(6)) >= 5
+
+
 @pytest.mark.parametrize("others", [0, 300])
 def test_corners_meet_whatever_the_size_of_their_bucket(spark, monkeypatch, others):
     """By brute force; corners 0 and 1 share their first band only, with 300 others too."""
