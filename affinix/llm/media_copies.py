@@ -12,7 +12,8 @@
 4. Pairs of descriptors within MAX_BITS vote for the similarity transform
    (quarter-octave scale, sixteenth turn, and coarse shift) that maps one corner
    to the other; a pair of images is linked if at least MIN_VOTES distinct
-   corners agree on one transform.  Votes are pre-aggregated.
+   corners agree on one transform.  The votes of a pair of images travel once, packed,
+   and are counted together, in cells that overlap in the turn and in each shift.
 5. Links join classes to components.
 
 An image column has rows (image_id, width, height, pixels): 8-bit grey, row by row.
@@ -154,6 +155,47 @@ def _met(corners: DataFrame) -> DataFrame:
     return a.join(b, ["band", "value", "i", "j"]).where((F.col("a_cls") < F.col("b_cls")) & near & first)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, votes) of pairs with MIN_VOTES in a cell; votes come sorted by pair."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        a, b, at, s, t, u, v = (table.column(k).to_numpy() for k in ("a", "b", "at", "s", "t", "u", "v"))
+        pair = np.cumsum(np.concatenate(([0], (np.diff(a) != 0) | (np.diff(b) != 0))))
+        keep = np.flatnonzero(np.bincount(pair)[pair] >= MIN_VOTES)
+        a, b, at, s, t, u, v, pair = (x[keep] for x in (a, b, at, s, t, u, v, pair))
+        # Cells of 16 pixels and a twelfth of a turn, each shifted by none or half on its own: a vote counts from its half cell and from the one next to it.
+        shape = [(pair * 64 + s + 32) * 24 + (t + i) % 24 for i in (0, 1) for _ in range(4)]
+        place = [((u + j) << 32) + (v + k) for _ in (0, 1) for j in (0, 1) for k in (0, 1)]
+        keys = [np.concatenate(x) for x in (shape, place, [at] * 8)]
+        order = np.lexsort(keys[::-1])
+        shape, place, at = (k[order] for k in keys)
+        cell = np.ones(len(order), bool)
+        cell[1:] = (np.diff(shape) != 0) | (np.diff(place) != 0)
+        new = cell.copy()
+        new[1:] |= np.diff(at) != 0
+        votes = np.add.reduceat(new.astype(np.int64), np.flatnonzero(cell)) if len(order) else np.zeros(0, np.int64)
+        best = np.zeros(int(pair[-1]) + 1 if len(pair) else 0, np.int64)
+        np.maximum.at(best, shape[cell] // (64 * 24), votes)
+        found, first = np.unique(pair, return_index=True)
+        good = best[found] >= MIN_VOTES
+        return pa.RecordBatch.from_arrays([pa.array(a[first[good]]), pa.array(b[first[good]]), pa.array(best[found[good]])], ["a", "b", "votes"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        # The last pair may go on in the next batch.
+        whole = int(np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(b) != 0))))[-1])
+        if whole or held and (held[-1].column("a")[-1].as_py(), held[-1].column("b")[-1].as_py()) != (int(a[0]), int(b[0])):
+            yield links(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+            held = [batch.slice(whole)]
+        else:
+            held.append(batch)
+    if held:
+        yield links(pa.Table.from_batches(held))
+
+
 def _links(corners: DataFrame) -> DataFrame:
     """(a, b, votes) of classes whose corners agree on one similarity transform."""
     met = _met(corners)
@@ -162,12 +204,14 @@ def _links(corners: DataFrame) -> DataFrame:
     # Where a's origin comes to lie in b under that turn and scale.
     dx = F.col("b_x") - ratio * (F.cos(turn) * F.col("a_x") - F.sin(turn) * F.col("a_y"))
     dy = F.col("b_y") - ratio * (F.sin(turn) * F.col("a_x") + F.cos(turn) * F.col("a_y"))
-    cell = met.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), F.rint(4 * F.log2(ratio)).cast("int").alias("s"), (turn / (2 * np.pi) * 12).alias("t"), dx.alias("dx"), dy.alias("dy"), F.struct("a_x", "a_y").alias("at"))
-    # A vote counts in two grids of cells, one half a cell off the other in all three, so that agreeing votes share a cell in one of them.
-    spread = cell.select("a", "b", "s", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("g"), "t", "dx", "dy", "at")
-    spread = spread.select("a", "b", "s", "g", F.pmod(F.floor(F.col("t") + F.col("g")), F.lit(12)).alias("t"), F.floor(F.col("dx") / 16 + F.col("g")).alias("u"), F.floor(F.col("dy") / 16 + F.col("g")).alias("v"), "at")
-    votes = spread.groupBy("a", "b", "s", "g", "t", "u", "v").agg(F.countDistinct("at").alias("votes"))
-    return votes.where(F.col("votes") >= MIN_VOTES).groupBy("a", "b").agg(F.max("votes").alias("votes"))
+    # Places on the scales' grids that differ do so by 1/33 of a pixel at least.
+    at = F.shiftleft(F.rint(F.col("a_x") * 100).cast("long"), 32) + F.rint(F.col("a_y") * 100).cast("long")
+    low = lambda x, bits, mask: F.shiftleft(x.cast("long").bitwiseAND(mask), bits)
+    cell = F.shiftleft(F.floor(dx / 8), 36) + low(F.floor(dy / 8), 11, (1 << 25) - 1) + low(F.rint(4 * F.log2(ratio)) + 32, 5, 63) + F.floor(turn / (2 * np.pi) * 24) % 24
+    votes = met.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), at.alias("at"), cell.alias("cell")).repartition("a", "b").sortWithinPartitions("a", "b")
+    v = F.shiftright(F.shiftleft("cell", 28), 39)
+    opened = votes.select("a", "b", "at", (F.shiftright("cell", 5).bitwiseAND(63) - 32).alias("s"), F.col("cell").bitwiseAND(31).alias("t"), F.shiftright("cell", 36).alias("u"), v.alias("v"))
+    return opened.mapInArrow(_counted, "a long, b long, votes long")
 
 
 def copies(images: DataFrame, folder: str | None = None) -> DataFrame:

@@ -64,6 +64,24 @@ def test_small_crops_of_large_pictures_are_found(spark):
     assert sum(got[100 + i] == i for i in range(6)) >= 5
 
 
+@pytest.mark.parametrize("shift", [(0, 0), (16, 8), (8, 16), (15, 9), (3, -40)])
+@pytest.mark.parametrize("turned", [0.0, 0.26, 0.52, -0.01])
+def test_six_agreeing_votes_link_wherever_they_lie(spark, shift, turned):
+    """Votes that scatter by two pixels and a tenth of a turn cell; pair 1 and 3 has five corners only."""
+    draw = random.Random(2)
+    rows = []
+    for k in range(6):
+        word = (draw.getrandbits(63), draw.getrandbits(63))
+        off = 1 if k % 2 else -1
+        for a, b, n in ((0, 2, 6), (1, 3, 5)):
+            if k < n:
+                w = (word[0] ^ a, word[1] ^ -a)
+                # Corners near the origin: their turn moves the shift by less than a tenth of a pixel.
+                rows += [(a, k * 1e-2, 0.0, 1.0, 0.0, *w), (b, shift[0] + off + k * 1e-2, float(shift[1] + off), 1.0, turned + off * 0.02, *w)]
+    corners = spark.createDataFrame(rows, "cls long, x float, y float, scale float, angle float, low long, high long")
+    assert [(r.a, r.b, r.votes) for r in media_copies._links(corners).collect()] == [(0, 2, 6)]
+
+
 @pytest.mark.parametrize("others", [0, 300])
 def test_corners_meet_whatever_the_size_of_their_bucket(spark, monkeypatch, others):
     """By brute force; corners 0 and 1 share their first band only, with 300 others too."""
