@@ -32,6 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/affinix-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, so that no column of df has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Writes df as Parquet and reads it again: lineage ends here, and lost executors take nothing with them."""
     df.write.options(**options).parquet(path)

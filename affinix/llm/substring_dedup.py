@@ -1,22 +1,26 @@
 """Removal of repeated passages by super-k-mers.
 
-A window is 35 consecutive words.  Its minimiser is the leftmost of its 8-word
-grams with the lowest hash, so equal windows have equal minimisers, and
-consecutive windows mostly share one: they form a super-k-mer.
+A window is 35 consecutive words.  Its minimiser is the lowest hash of its 8-word
+grams, so equal windows have equal minimisers, and consecutive windows mostly
+share one: they form a super-k-mer.  A super-k-mer ends where the hash changes,
+not where the gram moves, so periodic text doesn't fall apart into windows.
 
 1. Super-k-mers are listed as (minimiser, row, first window, windows), without
    their words, and minimisers are counted with partial aggregation.  A
-   minimiser that comes once can't be that of a repeated window.
+   minimiser that comes in one place only can't be that of a repeated window.
 2. Only super-k-mers whose minimiser comes again travel, each as one packed
-   string of its words, to the minimiser's bucket.  There the windows are
-   hashed (two independent 64-bit hashes), sorted and counted.
-3. Minimisers of more than HOT super-k-mers would make one long task; equal
-   strings of theirs are counted first, and the windows of the distinct ones one by
-   one, both with partial aggregation.  Both ways give the same.
-4. Ranges of words of repeated windows meet the texts again by row.
-
-Rows are known by a hash of doc_id and text.  Everything grows in proportion to
-the text; no step gathers more than one document's ranges or one cold bucket.
+   string of its words, to the minimiser's bucket.  A minimiser of more than HOT
+   super-k-mers has several buckets, to which they are dealt by a hash of their place.
+3. In a bucket equal strings are put together, and the windows of the distinct ones are
+   sorted by two 64-bit hashes and counted; windows of equal hashes are compared byte by byte.
+4. Minimisers with several buckets may repeat a window across them.  Each such bucket
+   passes every distinct window on once, by a 128-bit digest, with its place if it
+   came once there; the digests are summed up, and those places that are repeated
+   elsewhere are looked up.
+5. Ranges of words of repeated windows meet the texts again by row.
+
+Rows are known by two 64-bit hashes of doc_id and text.  Everything grows in
+proportion to the text; no step gathers more than one document's ranges or one bucket.
 """
 
 from __future__ import annotations
@@ -29,18 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinix.llm._shared import CHUNK_BYTES, chunks, gram_hashes, shared_folder, span_hashes, word_bounds, written
+from affinix.llm._shared import CHUNK_BYTES, chunks, free_name, gram_hashes, shared_folder, span_hashes, word_bounds, written
 
 WINDOW = 35
 GRAM = 8
-#: Super-k-mers of one minimiser that a bucket may hold.
+#: Super-k-mers of one minimiser that a bucket may hold, on average.
 HOT = 8000
-_POSITION = 24  # bits of a sort key that hold a word's place in its chunk
+#: A minimiser with more than this share of all super-k-mers is looked up in a broadcast table, which so has at most 1 / SHARE rows.
+SHARE = 1 / 2000
 _P3 = 0xD6E8FEB86659FD93
+_ROW = ("r1", "r2")
 
 
-def super_kmers(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, minimiser hash, first window, windows) of every super-k-mer of the rows."""
+def super_kmers(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, minimiser hash, first window, windows, places of the minimiser) of every super-k-mer of the rows.
+
+    Places count the leftmost grams that have the minimiser's hash, over the windows; equal windows have theirs in different places.
+    """
     starts, ends, first = word_bounds(data, offsets)
     grams, gram_first = gram_hashes(span_hashes(data, starts, ends), first, gram)
     width = window - gram + 1
@@ -48,31 +57,25 @@ def super_kmers(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -
     total = int(per_row.sum())
     if not total:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    bits = max(_POSITION, len(grams).bit_length())
-    key = grams >> np.uint64(bits) << np.uint64(bits) | np.arange(len(grams), dtype=np.uint64)
-    low, reach = key, 1
+        return none, none, none, none, none
+
+    def lower(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(grams[a] <= grams[b], a, b)
+
+    low, reach = np.arange(len(grams)), 1
     while 2 * reach <= width:
-        low, reach = np.minimum(low[:-reach], low[reach:]), 2 * reach
+        low, reach = lower(low[:-reach], low[reach:]), 2 * reach
     if reach < width:
-        low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
+        low = lower(low[: len(low) - (width - reach)], low[width - reach :])
     row = np.repeat(np.arange(len(per_row)), per_row)
     within = np.arange(total) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-    place = (low[gram_first[row] + within] & np.uint64((1 << bits) - 1)).astype(np.int64)
-    new = np.ones(total, bool)
-    new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+    place = low[gram_first[row] + within]
+    mz = grams[place]
+    new, moved = np.ones(total, bool), np.ones(total, bool)
+    new[1:] = (mz[1:] != mz[:-1]) | (row[1:] != row[:-1])
+    moved[1:] = new[1:] | (place[1:] != place[:-1])
     at = np.flatnonzero(new)
-    return row[at], grams[place[at]].view(np.int64), within[at], np.diff(np.append(at, total))
-
-
-def _windows(packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every window of the packed strings, and the index of each string's first."""
-    data = np.frombuffer(b"".join(packed), np.uint8)
-    starts, ends, first = word_bounds(data, np.concatenate(([0], np.cumsum([len(p) for p in packed]))))
-    one, two = span_hashes(data, starts, ends), span_hashes(data, starts, ends, _P3)
-    a, row_first = gram_hashes(one, first, window)
-    b, _ = gram_hashes(two, first, window, _P3)
-    return a, b, row_first
+    return row[at], mz[at].view(np.int64), within[at], np.diff(np.append(at, total)), np.add.reduceat(moved.astype(np.int64), at)
 
 
 def _ranges(flagged: np.ndarray, row_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,107 +89,135 @@ def _ranges(flagged: np.ndarray, row_first: np.ndarray) -> tuple[np.ndarray, np.
     return row[a], a - row_first[row[a]], b - row_first[row[a]]
 
 
+def _repeats(packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of distinct packed strings: the number of an equal window that stands for it, and whether it comes more
+    than once; also each string's first window, all bytes, and where windows start and end in them."""
+    data = np.frombuffer(b"".join(packed), np.uint8)
+    starts, ends, first = word_bounds(data, np.concatenate(([0], np.cumsum([len(p) for p in packed]))))
+    a, row_first = gram_hashes(span_hashes(data, starts, ends), first, window)
+    b, _ = gram_hashes(span_hashes(data, starts, ends, _P3), first, window, _P3)
+    word = np.arange(len(a)) + np.repeat(first[:-1] - row_first[:-1], np.diff(row_first))
+    begin, end = (starts[word], ends[word + window - 1]) if len(a) else (word, word)
+    order = np.lexsort((b, a))
+    same = np.zeros(len(a), bool)
+    same[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    for k in np.flatnonzero(same):  # a window is compared with the one before it
+        i, j = order[k - 1], order[k]
+        same[k] = data[begin[i] : end[i]].tobytes() == data[begin[j] : end[j]].tobytes()
+    stands = np.empty(len(a), np.int64)
+    stands[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))] if len(a) else order
+    again = np.zeros(len(a), bool)
+    again[order[same]] = True
+    again[order[:-1][same[1:]]] = True
+    return stands, again, row_first, data, begin, end
+
+
+class _Bucket:
+    """Super-k-mers of one or more whole buckets: each distinct string once, with the places where it comes."""
+
+    def __init__(self) -> None:
+        self.places: dict[bytes, list[tuple[int, int, int]]] = {}
+        self.size = 0
+
+    def add(self, string: bytes, place: tuple[int, int, int]) -> None:
+        known = self.places.setdefault(string, [])
+        if not known:
+            self.size += len(string)
+        known.append(place)
+
+    def found(self, window: int, shared: bool) -> pa.RecordBatch:
+        """Ranges (kind 0: r1, r2, a, b) of repeated windows; if the minimiser has other buckets, also its distinct windows (kind 1:
+        digest, n 2 or, with the window's r1, r2 and a, 1)."""
+        strings, places = list(self.places), list(self.places.values())
+        stands, again, row_first, data, begin, end = _repeats(strings, window)
+        copied = np.repeat(np.array([len(p) > 1 for p in places]), np.diff(row_first))
+        # A window is also repeated if one equal to it lies in a string that comes twice.
+        twice = np.zeros(len(stands), bool)
+        twice[stands[copied]] = True
+        flagged = again | copied | twice[stands]
+        of, s, e = _ranges(flagged, row_first)
+        lists = [(*place[:2], place[2] + x, place[2] + y + window - 1) for k, x, y in zip(of.tolist(), s.tolist(), e.tolist(), strict=True) for place in places[k]]
+        columns = [pa.array([x[k] for x in lists], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        n = len(lists)
+        kind, digest, times = pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())
+        if not shared:
+            return pa.RecordBatch.from_arrays([kind, *columns, digest, times], _FOUND)
+        once = np.flatnonzero(stands == np.arange(len(stands)))
+        owner = np.repeat(np.arange(len(strings)), np.diff(row_first))[once]
+        single = ~flagged[once]
+        at = once - row_first[owner]
+        digests = [hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=16).digest() for i in once]
+        first = [places[k][0] for k in owner.tolist()]
+        more = [
+            pa.array(np.ones(len(once), np.int32)),
+            *[pa.array([p[k] for p in first], pa.int64(), mask=~single) for k in (0, 1)],
+            pa.array(np.array([p[2] for p in first], np.int64) + at, mask=~single).cast(pa.int32()),
+            pa.nulls(len(once), pa.int32()),
+            pa.array(digests, pa.binary()),
+            pa.array(np.where(single, 1, 2).astype(np.int32)),
+        ]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip([kind, *columns, digest, times], more, strict=True)], _FOUND)
+
+
+_FOUND = ["kind", *_ROW, "a", "b", "digest", "n"]
+_FOUND_SCHEMA = "kind int, r1 long, r2 long, a int, b int, digest binary, n int"
+
+
 def repeated_ranges(rows: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(row, ranges): for each row of rows(row, text, ...) that has any, the word ranges (first, last) of repeated windows."""
+    """(r1, r2, ranges): for each row of rows(r1, r2, text) that has any, the word ranges (first, last) of repeated windows."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            for i, j, data, offsets in chunks(batch.column(1)):
-                row, mz, first, n = super_kmers(data, offsets, window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(mz, pa.int64()), pa.array(key[i:j][row], pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["mz", "row", "first", "n"])
-
-    found = written(rows.select("row", "text").mapInArrow(listed, "mz long, row long, first int, n int"), f"{folder}/super-k-mers")
-    shared = found.groupBy("mz").agg(F.count("*").alias("c")).where("c > 1")
-    any_hot = not shared.where(f"c > {hot}").isEmpty()
-    chosen = found.join(shared, "mz").groupBy("row").agg(F.collect_list(F.struct("mz", "first", "n", (F.col("c") > hot).alias("hot"))).alias("kmers"))
-    with_text = rows.join(chosen, "row")
+            r1, r2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j, data, offsets in chunks(batch.column(2)):
+                row, mz, first, n, places = super_kmers(data, offsets, window, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(mz, pa.int64()), pa.array(r1[i:j][row], pa.int64()), pa.array(r2[i:j][row], pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(places, pa.int32())], ["mz", *_ROW, "first", "n", "places"])
+
+    found = written(rows.select(*_ROW, "text").mapInArrow(listed, "mz long, r1 long, r2 long, first int, n int, places int"), f"{folder}/super-k-mers")
+    parts = F.ceil(F.col("c") / hot).cast("int")
+    counts = written(found.groupBy("mz").agg(F.count("*").alias("c"), F.sum("places").alias("places")).where("places > 1").select("mz", "c", parts.alias("parts")), f"{folder}/minimisers")
+    total = found.count()
+    # At most 1 / SHARE minimisers are above their share; all others are joined by a shuffle, with no key above that share.
+    often = F.broadcast(counts.where(f"c > {total * SHARE}").select("mz", F.col("parts").alias("often")))
+    seldom = counts.where(f"c <= {total * SHARE}").select("mz", "parts")
+    marked = found.drop("places").join(often, "mz", "left")
+    chosen = marked.where("often is not null").select("mz", *_ROW, "first", "n", F.col("often").alias("parts")).unionByName(marked.where("often is null").drop("often").join(seldom, "mz"))
+    part = F.expr("pmod(xxhash64(r1, first), parts)").cast("int")
+    # A set: repeated rows list their super-k-mers once.
+    kmers = written(chosen.groupBy(*_ROW).agg(F.collect_set(F.struct("mz", part.alias("part"), (F.col("parts") > 1).alias("shared"), "first", "n")).alias("kmers")), f"{folder}/chosen")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                mz, row, first, strings = [], [], [], []
-                for r in batch.slice(at, 64).select(["row", "text", "kmers"]).to_pylist():
+                made = []
+                for r in batch.slice(at, 64).to_pylist():
                     words = r["text"].encode().split()
-                    for k in r["kmers"]:
-                        if not k["hot"]:
-                            mz.append(k["mz"])
-                            row.append(r["row"])
-                            first.append(k["first"])
-                            strings.append(b" ".join(words[k["first"] : k["first"] + k["n"] + window - 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(mz, pa.int64()), pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array(strings, pa.binary())], ["mz", "row", "first", "packed"])
+                    made += [(k["mz"], k["part"], k["shared"], r["r1"], r["r2"], k["first"], b" ".join(words[k["first"] : k["first"] + k["n"] + window - 1])) for k in r["kmers"]]
+                columns = zip(*made, strict=True) if made else [()] * 7
+                types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["mz", "part", "shared", *_ROW, "first", "packed"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by mz; whole buckets are gathered up to about a chunk of text."""
-
-        def flagged(held: list[tuple]) -> pa.RecordBatch:
-            a, b, row_first = _windows([h[3] for h in held], window)
-            order = np.argsort(a, kind="stable")
-            same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-            again = np.zeros(len(a), bool)
-            again[order[1:]] |= same
-            again[order[:-1]] |= same
-            at, s, e = _ranges(again, row_first)
-            first = np.array([h[2] for h in held], np.int64)[at]
-            return pa.RecordBatch.from_arrays([pa.array(np.array([h[1] for h in held], np.int64)[at]), pa.array((first + s).astype(np.int32)), pa.array((first + e + window - 1).astype(np.int32))], ["row", "a", "b"])
-
-        held: list[tuple] = []
-        size = 0
+        """Rows come sorted by bucket; small whole buckets are taken together, up to about a chunk of text."""
+        held, key, own = _Bucket(), None, False
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if held and size >= CHUNK_BYTES // 2 and r[0] != held[-1][0]:
-                    yield flagged(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[3])
-        if held:
-            yield flagged(held)
-
-    strings = with_text.mapInArrow(packed, "mz long, row long, first int, packed binary")
-    ranges = strings.repartition("mz").sortWithinPartitions("mz").mapInArrow(counted, "row long, a int, b int")
-
-    if any_hot:
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """The packed strings of hot minimisers, with a 128-bit digest of each."""
-            for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    row, first, strings, s1, s2 = [], [], [], [], []
-                    for r in batch.slice(at, 64).select(["row", "text", "kmers"]).to_pylist():
-                        words = r["text"].encode().split() if any(k["hot"] for k in r["kmers"]) else []
-                        for k in r["kmers"]:
-                            if k["hot"]:
-                                row.append(r["row"])
-                                first.append(k["first"])
-                                strings.append(b" ".join(words[k["first"] : k["first"] + k["n"] + window - 1]))
-                                digest = hashlib.blake2b(strings[-1], digest_size=16).digest()
-                                s1.append(int.from_bytes(digest[:8], "little", signed=True))
-                                s2.append(int.from_bytes(digest[8:], "little", signed=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array(strings, pa.binary())], ["s1", "s2", "row", "first", "packed"])
-
-        def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """The windows of distinct strings."""
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    a, b, first = _windows(part.column(3).to_pylist(), window)
-                    of = np.repeat(np.arange(part.num_rows), np.diff(first))
-                    s1, s2, c = (part.column(k).to_numpy()[of] for k in range(3))
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(s1), pa.array(s2), pa.array(c), pa.array((np.arange(len(a)) - first[of]).astype(np.int32))], ["h1", "h2", "s1", "s2", "c", "at"])
-
-        hot_strings = written(with_text.mapInArrow(whole, "s1 long, s2 long, row long, first int, packed binary"), f"{folder}/hot-strings")
-        distinct = hot_strings.groupBy("s1", "s2").agg(F.count("*").alias("c"), F.first("packed").alias("packed"))
-        single = written(distinct.mapInArrow(one_by_one, "h1 long, h2 long, s1 long, s2 long, c long, at int"), f"{folder}/hot-windows")
-        again = single.groupBy("h1", "h2").agg(F.sum("c").alias("total")).where("total > 1").drop("total")
-        runs = F.expr("""
-            aggregate(array_sort(collect_set(at)), cast(array() as array<struct<a: int, b: int>>),
-                (out, x) -> if(size(out) > 0 and x = element_at(out, -1).b + 1,
-                    concat(slice(out, 1, size(out) - 1), array(named_struct('a', element_at(out, -1).a, 'b', x))),
-                    concat(out, array(named_struct('a', x, 'b', x)))))""")
-        of_string = single.join(again, ["h1", "h2"]).groupBy("s1", "s2").agg(runs.alias("runs"))
-        hit = hot_strings.select("s1", "s2", "row", "first").join(of_string, ["s1", "s2"]).select("row", "first", F.explode("runs").alias("r"))
-        ranges = ranges.unionByName(hit.select("row", (F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") + window - 1).alias("b")))
-    return ranges.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+            for mz, part, shared, r1, r2, first, string in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (mz, part) != key:
+                    if held.places and (own or shared or held.size >= CHUNK_BYTES // 2):
+                        yield held.found(window, own)
+                        held = _Bucket()
+                    key, own = (mz, part), shared
+                held.add(string, (r1, r2, first))
+        if held.places:
+            yield held.found(window, own)
+
+    strings = rows.join(kmers, [*_ROW]).select(*_ROW, "text", "kmers").mapInArrow(packed, "mz long, part int, shared boolean, r1 long, r2 long, first int, packed binary")
+    seen = written(strings.repartition("mz", "part").sortWithinPartitions("mz", "part").mapInArrow(counted, _FOUND_SCHEMA), f"{folder}/windows")
+    windows = seen.where("kind = 1").select("digest", "n", *_ROW, "a")
+    across = windows.groupBy("digest").agg(F.sum("n").alias("total")).where("total > 1").select("digest")
+    places = windows.where("n = 1").join(across, "digest").select(*_ROW, "a", (F.col("a") + (window - 1)).alias("b"))
+    ranges = seen.where("kind = 0").select(*_ROW, "a", "b").unionByName(places)
+    return written(ranges.groupBy(*_ROW).agg(F.collect_set(F.struct("a", "b")).alias("ranges")), f"{folder}/ranges")
 
 
 def _cut(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
@@ -200,8 +231,10 @@ def _cut(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
     return kept + words[end:]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+def _rows(docs: DataFrame, r1: str, r2: str) -> DataFrame:
+    """docs with two hashes of doc_id and text, together 128 bits; null and empty texts, which have no words, differ in nothing here."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.withColumns({r1: F.xxhash64(doc_id, text), r2: F.xxhash64(text, doc_id, F.lit(29))})
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, folder: str | None = None) -> DataFrame:
@@ -210,10 +243,11 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     A word goes if a window that covers it has a word sequence that starts
     anywhere else too, in the same text included; windows are judged on the
     input.  So of repeated passages no copy stays.  Null and empty texts have no
-    words (digest of the empty string); texts under 35 words lose none.  Repeated
-    rows repeat each other's windows.  Extra columns are not looked at.
+    words (digest of the empty string); texts under 35 words lose none; texts may
+    be of any length.  Repeated rows repeat each other's windows.  An empty table
+    gives an empty result.  Extra columns, whatever their names, are not looked at.
     """
-    rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "text", "row")
+    rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), *_ROW)
     ranges = repeated_ranges(rows, folder or shared_folder(docs.sparkSession), window, gram, hot)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,23 +263,29 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                     digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.join(ranges, [*_ROW], "left").select("doc_id", "text", "ranges").mapInArrow(digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs with repeated passages cut from text; kept words are joined by one space in texts that lose any, others stay as they are."""
-    base = docs.drop("row", "ranges")
-    rows = _rows(base)
-    ranges = repeated_ranges(rows.select("doc_id", "text", "row"), shared_folder(docs.sparkSession), window, gram, hot)
-    joined = rows.join(ranges, "row", "left").select(*base.columns, "ranges")
-    at = base.columns.index("text")
+    """docs with repeated passages cut from text; all columns stay, whatever their names.
+
+    Kept words are joined by one space in texts that lose any; other texts, null
+    and empty ones among them, stay as they are.  Repeated rows lose what they
+    repeat.  An empty table stays empty.
+    """
+    names, schema = docs.columns, docs.schema
+    r1, r2, cuts = (free_name(docs, x) for x in (*_ROW, "ranges"))
+    rows = _rows(docs, r1, r2)
+    ranges = repeated_ranges(rows.select(F.col(r1).alias("r1"), F.col(r2).alias("r2"), F.col("text").cast("string").alias("text")), shared_folder(docs.sparkSession), window, gram, hot)
+    joined = rows.join(ranges.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("ranges").alias(cuts)), [r1, r2], "left").select(*names, cuts)
+    at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b" ".join(_cut(t.encode().split(), r)).decode() if t is not None and r else t for t, r in zip(batch.column(at).to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(c).type) if c == at else batch.column(c) for c in range(len(base.columns))], base.columns)
+            texts = [b" ".join(_cut(t.encode().split(), r)).decode() if t is not None and r else t for t, r in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(c).type) if c == at else batch.column(c) for c in range(len(names))], names)
 
-    return joined.mapInArrow(cut, base.schema)
+    return joined.mapInArrow(cut, schema)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

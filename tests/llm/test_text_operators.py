@@ -151,15 +151,37 @@ def brute_removed(rows, k):
 def test_repeated_words_go(spark, k, gram, hot):
     draw = random.Random(k + hot)
     rows = [(i, " ".join(draw.choice(["a", "b", "c\n"]) for _ in range(draw.randint(0, 60)))) for i in range(60)] + ODD
+    rows += [(70, "one two " * 40), (71, "one two three " * 30), (72, "x " * 90 + "y " + "x " * 90), (73, "é\u00a0 " * 50)]
     got = sorted([tuple(r) for r in substring_dedup.removed_words(frame(spark, rows), k, gram, hot).collect()], key=str)
     assert got == brute_removed(rows, k)
 
 
+@pytest.mark.parametrize("hot", [3, 8000])
+def test_equal_rows_repeat_each_other(spark, hot):
+    """2,000 rows that are equal in doc_id and text, and 300 texts around a common passage."""
+    draw = random.Random(4)
+    text = " ".join(str(draw.randrange(10**6)) for _ in range(90))
+    passage = " ".join(str(draw.randrange(10**6)) for _ in range(20))
+    some = lambda: " ".join(str(draw.randrange(10**6)) for _ in range(draw.randint(0, 9)))
+    rows = [(1, text)] * 2000 + [(10 + i, f"{some()} {passage} {some()}") for i in range(300)]
+    got = sorted([tuple(r) for r in substring_dedup.removed_words(frame(spark, rows), 12, 4, hot).collect()], key=str)
+    assert got == brute_removed(rows, 12)
+    assert got[0][2] == 90 and all(r[2] == 20 for r in got if r[0] >= 10)
+
+
+def test_periodic_text_is_few_super_kmers():
+    for text in (b"same " * 400, b"one two three " * 150):
+        data = np.frombuffer(text, np.uint8)
+        row, mz, first, n, places = substring_dedup.super_kmers(data, np.array([0, len(data)]), 35, 8)
+        assert len(mz) == 1 and n[0] == len(text.split()) - 34
+
+
 def test_dedup_keeps_columns(spark):
-    docs = frame(spark, [(1, "u " + "p q r s t " * 1 + "v"), (2, "w p q r s t x"), (3, None), (4, "alone")]).drop("row", "ranges")
+    docs = frame(spark, [(1, "u " + "p q r s t " * 1 + "v"), (2, "w p q r s t x"), (3, None), (4, "alone"), (4, "alone")]).withColumns({c: F.lit("clash") for c in ("r1", "R2", "kmers")})
     out = substring_dedup.deduplicated(docs, 5, 2)
     assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {1: "u v", 2: "w x", 3: None, 4: "alone"}
-    assert substring_dedup.removed_words(docs.limit(0)).count() == 0
+    assert out.where("row = 'clash' and ranges = 'clash' and r1 = 'clash' and R2 = 'clash'").count() == 5
+    assert substring_dedup.removed_words(docs.limit(0)).count() == 0 and substring_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
 # 5
@@ -220,14 +242,26 @@ PATH = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
 def test_pieces_encode_like_whole_texts():
+    from tokenizers import Tokenizer
+
     draw = random.Random(7)
-    texts = ["", " ", "a", " a", "a ", "\n", "\n\n", "a\nb", "a \nb", "a  b", "a\t b\n", "don't you'll", "<|endoftext|> x", "日本 語\nテ", "é!! ²! b.\n\tc"]
-    texts += ["".join(draw.choice(["a", "the", " ", "\n", "\t", " the", "'s", "1", "!!", "é", "\xa0", "\x1c", ".", "²"]) for _ in range(draw.randint(0, 14))) for _ in range(1500)]
+    plain = Tokenizer.from_file(PATH)
+    texts = ["", " ", "a", " a", "a ", "\n", "\n\n", "a\nb", "a \nb", "a  b", "a\t b\n", "don't you'll", "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|>b <|endoftext|", "x\n<|endoftext|>\ny", "日本 語\nテ", "é!! ²! b.\n\tc"]
+    texts += ["".join(draw.choice(["a", "the", " ", "\n", "\t", " the", "'s", "1", "!!", "é", "\xa0", "\x1c", ".", "²", "<|endoftext|>"]) for _ in range(draw.randint(0, 14))) for _ in range(1500)]
     for memo in (4, 10**6):
         e = token_output.PieceEncoder(PATH, memo)
         for i in range(0, len(texts), 5):
             for t, got in zip(texts[i : i + 5], e.encode(texts[i : i + 5]), strict=True):
-                assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+                assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_special_strings_can_be_text():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n\ny"):
+        assert np.frombuffer(token_output.PieceEncoder(PATH, special_as_text=True).encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 2, 900, 10**6], list(range(0, 9000, 7)), [10**12]])
@@ -238,21 +272,45 @@ def test_elias_fano(values):
         e.select(len(values))
 
 
-def test_token_files_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("block_ids", [64, 1 << 20])
+def test_token_files_round_trip(spark, tmp_path, block_ids):
     from tokenizers import Tokenizer
 
-    rows = [(i * 3, f"text number {i} " * (i % 4)) for i in range(40)] + [(1000, None), (1001, "long " * 3000), (5, "twice"), (5, "twice"), (None, "no id")]
-    got = token_output.token_output(frame(spark, rows), PATH, f"file://{tmp_path}/t", partitions=3, block_ids=64).collect()
+    rows = [(i * 3, f"text number {i} " * (i % 4)) for i in range(40)] + [(1000, None), (1001, "long " * 3000), (5, "twice"), (5, "twice"), (5, "again"), (None, "no id"), (None, ""), (7, "a <|endoftext|> b"), (8, "<|endoftext|>"), (-(2**62), "low"), (2**63 - 1, "high"), (2**63 - 2, "high")]
+    blocks = token_output.write_blocks(frame(spark, rows), f"file://{tmp_path}/t", PATH, partitions=3, block_ids=block_ids)
+    got = token_output.read_documents(blocks).collect()
     t = Tokenizer.from_file(PATH)
-    ids = {(d, x or ""): np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for d, x in rows}
+    ids = {(d, x or ""): [*t.encode(x or "", add_special_tokens=False).ids, 0] for d, x in rows}
+    of = lambda d: d if d is not None else token_output.NO_ID
+    crc = lambda v: zlib.crc32(np.array(v, "<u4").tobytes())
     got.sort(key=lambda r: r.start)
-    assert [r.doc_id for r in got] == sorted([d if d is not None else -(2**63) for d, _ in rows])
+    assert [r.doc_id for r in got] == sorted(of(d) for d, _ in rows)
     assert got[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
-    want = collections.Counter((d if d is not None else -(2**63), len(v), zlib.crc32(v.tobytes())) for (d, _), v in ((k, ids[k]) for k in [(d, x or "") for d, x in rows]))
+    want = collections.Counter((of(d), len(ids[d, x or ""]), crc(ids[d, x or ""])) for d, x in rows)
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    picked = token_output.sample_documents(blocks, 1).collect()
+    assert collections.Counter((r.doc_id, len(r.ids), crc(r.ids)) for r in picked) == want
+    assert {r["at"] % 3 for r in token_output.sample_documents(blocks, 3).collect()} == {0}
     assert token_output.token_output(frame(spark, []), PATH, f"file://{tmp_path}/e").count() == 0
 
 
+def test_token_query_against_brute_force(spark, tmp_path):
+    """op7 on a table of its own, against a tokenizer that nothing else has touched."""
+    from tokenizers import Tokenizer
+
+    draw = random.Random(17)
+    rows = [(i, "".join(draw.choice(["word", " ", "\n", "é", "<|endoftext|>", "12", "!", "  "]) for _ in range(draw.randint(0, 40)))) for i in draw.sample(range(10**6), 300)]
+    rows += [(10**7, None), (10**7 + 1, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("within", F.lit("clash")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_output.op7_token_output(spark, f"file://{tmp_path}").collect()]
+    t, at, want = Tokenizer.from_file(PATH), 0, []
+    for d, x in sorted(rows):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(got) == want
+
+
 # 8
 def test_secrets(spark):
     key = "9fQ2xL7vB4nK8sT1mW6zR3cY5pJ0dH"
