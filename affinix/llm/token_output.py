@@ -9,11 +9,14 @@ lost executor's part is simply made again).  A block of the file format holds
 * ``high``   the unary coded high bits: bit (end >> l) + i is set for document i;
 * ``rank``   unsigned 32-bit: set bits of ``high`` before each 512 bits of it, for select;
 
-where l = floor(log2(ids / documents)), so a boundary takes about 2 + l bits.
+where l = floor(log2(ids / documents)), so a boundary takes about 2 + l bits.  The
+documents' ids, ascending too, are kept in the same way (``id_low``, ``id_high``,
+``id_rank``) as differences from ``id_base``, behind ``n_null`` documents without one.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -32,7 +35,11 @@ MEMO_PIECES = 1_200_000
 _STEP = 512
 #: ASCII marks that the pre-tokenizer always parts from letters before them (the apostrophe isn't one).
 _MARKS = ".,;:!?#$%&*|()[]{}<>+=/\\~^@_\"-"
-BLOCK_SCHEMA = "shard int, block int, width int, n_docs long, n_ids long, low_bits int, doc_ids binary, ids binary, low binary, high binary, rank binary"
+#: Documents whose ids are farther apart than this don't share a block.
+ID_SPAN = 1 << 62
+#: Stands for a null doc_id where documents are read back.
+NO_ID = -(1 << 63)
+BLOCK_SCHEMA = "shard int, block int, width int, n_docs long, n_ids long, n_null long, id_base long, id_low_bits int, id_low binary, id_high binary, id_rank binary, low_bits int, low binary, high binary, rank binary, ids binary"
 
 
 class EliasFano:
@@ -88,20 +95,24 @@ class PieceEncoder:
     characters adjoin is the concatenation of pieces that begin with a space or
     a line feed.  Other texts are encoded in one go.  The tokenizers library
     encodes every piece; new ones are sent to it many at a time, with a line feed,
-    which always has an id of its own there, between them.
+    which always has an id of its own there, between them.  A text that holds one of
+    the vocabulary's added tokens is encoded in one go too: those are cut out first.
     """
 
-    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.limit = memo_pieces
         self.memo: dict[str, bytes] = {}  # by a piece without its space, or with its line feed
         self.marks: dict[str, bytes] = {}  # by a run of marks without a space before it
         self.edged: set[str] = set()  # pieces with white space at an end of what follows their space or line feed
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        # Added tokens with white space inside might come about where pieces are put together.
+        self.line = line[0] if len(line) == 1 and not any(c.isspace() for t in added for c in t) else None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -167,7 +178,7 @@ class PieceEncoder:
             end = at + len(s) - 1
             if not text:
                 out.append(b"")
-            elif self.line is None or text[0].isspace() or self._adjoining(text) or self.edged and not self.edged.isdisjoint(s):
+            elif self.line is None or text[0].isspace() or self._adjoining(text) or self.added and self.added.search(text) or self.edged and not self.edged.isdisjoint(s):
                 out.append(self._whole(text))
             else:
                 out.append(b"".join(made[at:end])[4:])
@@ -180,31 +191,45 @@ class PieceEncoder:
         return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def shared_encoder(path: str) -> PieceEncoder:
+def shared_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """The encoder of this Python worker, which outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(path, special_as_text=special_as_text)
+    return _encoders[key]
 
 
-def _block(shard: int, number: int, width: int, doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
+def _block(shard: int, number: int, width: int, doc_ids: list[int | None], ids: list[bytes]) -> pa.RecordBatch:
     lengths = np.array([len(x) // 4 for x in ids], np.int64)
     ends = EliasFano.of(np.cumsum(lengths))
     data = np.frombuffer(b"".join(ids), "<u4")
-    row = (shard, number, width, len(ids), int(lengths.sum()), ends.low_bits, np.array(doc_ids, "<i8").tobytes(), (data.astype("<u2") if width == 2 else data).tobytes(), ends.low, ends.high, ends.rank)
-    types = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.int32()] + [pa.binary()] * 5
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
+    known = np.array([x for x in doc_ids if x is not None], np.int64)
+    base = int(known[0]) if len(known) else 0
+    names = EliasFano.of(known - base)
+    row = (shard, number, width, len(ids), int(lengths.sum()), len(doc_ids) - len(known), base, names.low_bits, names.low, names.high, names.rank, ends.low_bits, ends.low, ends.high, ends.rank, (data.astype("<u2") if width == 2 else data).tobytes())
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in BLOCK_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], types[t]) for v, (_, t) in zip(row, fields, strict=True)], [name for name, _ in fields])
 
 
-def write_blocks(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+def _parts(r: dict) -> tuple[EliasFano, EliasFano, np.ndarray]:
+    """A block's documents' ids (less id_base, without the null ones), their ends, and all token ids."""
+    names = EliasFano(r["id_low_bits"], r["n_docs"] - r["n_null"], r["id_low"], r["id_high"], r["id_rank"])
+    ends = EliasFano(r["low_bits"], r["n_docs"], r["low"], r["high"], r["rank"])
+    return names, ends, np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4")
+
+
+def write_blocks(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None, block_ids: int = BLOCK_IDS, special_as_text: bool = False) -> DataFrame:
     """Writes docs(doc_id, text) to folder in ascending doc_id order and returns the blocks, read back.
 
-    Null text is empty: its document holds the end id alone.  Rows with null
-    doc_id come first and read back as the lowest long.  Repeated doc_ids are
-    written as often as they come.  Other columns are not looked at.
+    Null and empty texts hold the end id alone; texts may be of any length.  Rows with
+    null doc_id come first and read back as NO_ID.  Rows that repeat a doc_id are
+    written as often as they come, by length and text.  The strings of special tokens
+    are those tokens, as by the library's default, or else ordinary text.  An empty table gives no
+    block.  Other columns, whatever their names, are not looked at.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -215,21 +240,25 @@ def write_blocks(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         from pyspark import TaskContext
 
         shard, number = TaskContext.get().partitionId(), 0
-        encoder = shared_encoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path, special_as_text)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        doc_ids: list[int] = []
+        doc_ids: list[int | None] = []
         ids: list[bytes] = []
-        held = 0
+        held, lowest = 0, None
         for batch in batches:
-            keys, texts = batch.column(0).fill_null(-(1 << 63)).to_pylist(), batch.column(1)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(keys), 256):
                 for key, made in zip(keys[at : at + 256], encoder.encode([t or "" for t in texts.slice(at, 256).to_pylist()]), strict=True):
+                    lowest = key if lowest is None else lowest
+                    if ids and key is not None and key - lowest >= ID_SPAN:
+                        yield _block(shard, number, width, doc_ids, ids)
+                        number, doc_ids, ids, held, lowest = number + 1, [], [], 0, key
                     doc_ids.append(key)
                     ids.append(made + end)
                     held += len(made) // 4 + 1
                     if held >= block_ids:
                         yield _block(shard, number, width, doc_ids, ids)
-                        number, doc_ids, ids, held = number + 1, [], [], 0
+                        number, doc_ids, ids, held, lowest = number + 1, [], [], 0, None
         if ids:
             yield _block(shard, number, width, doc_ids, ids)
 
@@ -254,17 +283,37 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
-                ends = EliasFano(r["low_bits"], r["n_docs"], r["low"], r["high"], r["rank"]).decode()
-                data = np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4").astype("<u4")
+                names, bounds, data = _parts(r)
+                ends, data = bounds.decode(), data.astype("<u4")
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 crc = [zlib.crc32(data[a:b]) for a, b in zip(starts, ends, strict=True)]
                 n = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["shard"], np.int32)), pa.array(np.full(n, r["block"], np.int32)), pa.array(np.frombuffer(r["doc_ids"], "<i8")), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["shard", "block", "doc_id", "within", "n_tokens", "ids_crc32"])
+                doc_ids = np.concatenate((np.full(r["n_null"], NO_ID, np.int64), names.decode() + r["id_base"]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["shard"], np.int32)), pa.array(np.full(n, r["block"], np.int32)), pa.array(doc_ids), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["shard", "block", "doc_id", "within", "n_tokens", "ids_crc32"])
 
     documents = blocks.drop("n_ids").mapInArrow(read, "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return documents.join(block_starts(blocks), ["shard", "block"]).select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def sample_documents(blocks: DataFrame, every: int = 100) -> DataFrame:
+    """The token ids of each block's documents 0, every, 2 * every, ...: shard, block, at (place in the block), doc_id, ids.
+
+    Only two boundaries of each such document are looked up, by select.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
+                names, ends, data = _parts(r)
+                places = range(0, r["n_docs"], every)
+                doc_ids = [names.select(k - r["n_null"]) + r["id_base"] if k >= r["n_null"] else NO_ID for k in places]
+                ids = [data[ends.select(k - 1) if k else 0 : ends.select(k)].tolist() for k in places]
+                n = len(places)
+                yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(list(places), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["shard", "block", "at", "doc_id", "ids"])
+
+    return blocks.mapInArrow(read, "shard int, block int, at int, doc_id long, ids array<int>")
+
+
 def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None, **options) -> DataFrame:
     """Encodes docs, writes the files, and returns what they hold per document."""
     return read_documents(write_blocks(docs, folder or f"{shared_folder(docs.sparkSession)}/tokens", tokenizer_path, **options))
