@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinix.llm._shared import free_name
+
 #: Above this mean the count is a sum of several draws; up to here exp(-mean) is a normal double, so one draw is exact.
 MAX_RATE = 700.0
 #: Copies that one array holds.
@@ -56,33 +58,45 @@ def poisson_steps(rate: Column) -> Column:
     return run["steps"]
 
 
-def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, size: float | None = None, seed: int = SEED) -> DataFrame:
+NAMES = ("copy", "rate", "mix_key")
+
+
+def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, size: float | None = None, seed: int = SEED, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """docs with each row repeated by its drawn count; columns copy (0, 1, ...), rate and mix_key are added, in no order.
 
-    Null is a source of its own.  Rows with the same doc_id draw the same count.
-    An empty table gives an empty mix; a source with weight 0 gives none of its rows.  Existing columns of the
-    three names are replaced.
+    Null is a source of its own; null and empty texts, and texts of any length, are rows like
+    others.  Rows with the same doc_id draw the same count, equal rows too.
+    An empty table gives an empty mix; a source with weight 0 gives none of its rows.  names are those of
+    the three added columns; existing columns of these names are replaced, all others stay.
     """
-    base = docs.drop("copy", "rate", "mix_key")
-    draws = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
-    per_source = rates(base, weights, size).select(F.col("source").alias("_source"), "rate", draws.alias("_draws"), poisson_steps(F.col("rate") / draws).alias("_steps"))
-    few = per_source.select("_source").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    joined = base.join(F.broadcast(per_source) if few else per_source, base["source"].eqNullSafe(per_source["_source"]))
+    copy, rate, mix_key = names
+    base = docs.drop(*names)
+    own, draws, steps, count, run = (free_name(docs, x) for x in ("_source", "_draws", "_steps", "_count", "_run"))
+    n_draws = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    per_source = rates(base, weights, size).select(F.col("source").alias(own), F.col("rate").alias(rate), n_draws.alias(draws), poisson_steps(F.col("rate") / n_draws).alias(steps))
+    few = per_source.select(own).limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    joined = base.join(F.broadcast(per_source) if few else per_source, base["source"].eqNullSafe(per_source[own]))
 
     def drawn(*part: Column) -> Column:
         u = uniform(seed, F.lit("count"), F.col("doc_id"), *part)
-        return F.size(F.filter("_steps", lambda s: s <= u))
+        return F.size(F.filter(steps, lambda s: s <= u))
 
-    more = F.when(F.col("_draws") > 1, F.aggregate(F.sequence(F.lit(1), F.col("_draws") - 1), F.lit(0), lambda n, k: n + drawn(k))).otherwise(0)
-    counted = joined.withColumn("_count", drawn() + more)
-    runs = counted.where("_count > 0").withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_count") - 1) / RUN).cast("int"))))
-    copies = runs.withColumn("copy", F.explode(F.sequence(F.col("_run") * RUN, F.least(F.col("_run") * RUN + (RUN - 1), F.col("_count") - 1))))
-    return copies.withColumn("mix_key", uniform(seed, F.lit("order"), F.col("doc_id"), F.col("copy"))).drop("_source", "_draws", "_steps", "_count", "_run")
+    more = F.when(F.col(draws) > 1, F.aggregate(F.sequence(F.lit(1), F.col(draws) - 1), F.lit(0), lambda n, k: n + drawn(k))).otherwise(0)
+    counted = joined.withColumn(count, drawn() + more)
+    runs = counted.where(F.col(count) > 0).withColumn(run, F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / RUN).cast("int"))))
+    copies = runs.withColumn(copy, F.explode(F.sequence(F.col(run) * RUN, F.least(F.col(run) * RUN + (RUN - 1), F.col(count) - 1))))
+    return copies.withColumn(mix_key, uniform(seed, F.lit("order"), F.col("doc_id"), F.col(copy))).drop(own, draws, steps, count, run)
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, size: float | None = None, seed: int = SEED) -> DataFrame:
-    """replicated() in the mix's global random order."""
-    return replicated(docs, weights, size, seed).orderBy("mix_key", "doc_id", "copy")
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, size: float | None = None, seed: int = SEED, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """replicated() in the mix's global random order.
+
+    mix_key is uniform, so equal ranges of it are equal parts: rows go to the part of
+    their range at once, without a pass that samples keys, and are sorted there.
+    """
+    mix = replicated(docs, weights, size, seed, names)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mix.repartitionById(parts, F.floor(F.col(names[2]) * parts).cast("int")).sortWithinPartitions(names[2], "doc_id", names[0])
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
