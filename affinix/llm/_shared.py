@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that the array helpers look at in one go; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -40,6 +41,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def hashed_sample(rows: DataFrame, key: str, order: Column, n: int, counts: dict) -> DataFrame:
+    """Of each key's rows the n with the lowest hash (order, a 64-bit hash), or fewer by a rare chance.
+
+    counts: each key's rows.  Before the rows of a key meet, those whose hash is
+    above what n rows and six standard deviations need are left out, so that what meets doesn't grow with the table.
+    """
+    limit = F.lit(None).cast("double")
+    spread = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, (n + 6 * n**0.5 + 20) / c))]) if counts else None
+    if spread is not None:
+        limit = F.element_at(spread, F.col(key))
+    low = order.cast("double") < (2.0**64) * limit - 2.0**63
+    place = free_name(rows, "place")
+    top = Window.partitionBy(key).orderBy(order, *[c for c in rows.columns if c != key])
+    return rows.where(low | (limit >= 1)).withColumn(place, F.row_number().over(top)).where(F.col(place) <= n).drop(place)
+
+
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Writes df as Parquet and reads it again: lineage ends here, and lost executors take nothing with them."""
     df.write.options(**options).parquet(path)
