@@ -1,4 +1,4 @@
-"""Hashed byte n-gram frequencies of whole texts, and linear scores from them, as array work on Arrow batches."""
+"""Hashed byte n-gram frequencies of whole texts, as array work on Arrow batches."""
 
 from __future__ import annotations
 
@@ -43,15 +43,3 @@ def frequencies(data: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray
     counts = np.bincount((row * slots + slot)[good], minlength=n * slots).reshape(n, slots).astype(np.float64)
     return counts / np.maximum(counts.sum(1, keepdims=True), 1)
 
-
-def linear(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows x models: frequencies @ weights + bias without making the frequencies; and each row's number of trigrams."""
-    slot, good = trigram_slots(data, offsets, len(weights))
-    total = np.concatenate(([0], np.cumsum(good)))[offsets]
-    n = np.diff(total)
-    out = np.empty((len(n), weights.shape[1]))
-    kept = slot[good]
-    for m in range(weights.shape[1]):
-        run = np.concatenate(([0.0], np.cumsum(weights[:, m][kept])))
-        out[:, m] = (run[total[1:]] - run[total[:-1]]) / np.maximum(n, 1) + bias[m]
-    return out, n
