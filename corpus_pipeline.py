@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from affinix.llm import decontamination, ngram_jaccard, quality_classifier, source_mixing, token_output
-from affinix.llm._shared import shared_folder, written
+from affinix.llm._shared import free_name, shared_folder, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,7 +20,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model).where("quality_keep").select(*docs.columns)
+    names = tuple(free_name(docs, x) for x in quality_classifier.NAMES)
+    return quality_classifier.score(docs, model, names).where(names[1]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources get equal weight: rows are repeated or left out by a Poisson draw, and shuffled."""
-    return source_mixing.mixed(docs).select(*docs.columns)
+    return source_mixing.mixed(docs, names=tuple(free_name(docs, x) for x in source_mixing.NAMES)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
