@@ -1,27 +1,32 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The benchmark's windows of 13 words (an item of fewer words is one window) are
-the n-gram set.  Every window has an anchor: its longest word.  A text is split
-into words once; its words are looked up in the anchor set, and for each one
-found only the words around it (one window's length to either side) go on.
-These meet the window set in an equi-join on the anchor, which broadcasts the
-set while it is small and shuffles it otherwise; every candidate is then
-verified word by word.  So what is shuffled follows the hits, not the text.
+the n-gram set.  Their hashes are broadcast as the hash table of a join, at most
+MAX_BROADCAST of them at a time; a larger set takes as many passes over the texts.
+A text is split into words once and each word is hashed once; the hashes of all its
+windows are looked up where they are made, and only those that are found go on, with
+their words.  These meet the windows themselves in an equi-join and are so verified
+word by word.  So what is shuffled follows the hits, not the text, whatever the size of the benchmark.
+
+Hit spans can be reported, cut from the texts, or make their documents go.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinix.llm._shared import shared_folder, written
+from affinix.llm._shared import free_name, shared_folder, written
 
 N = 13
-#: Above so many anchors the pre-filter by a literal set is left out, and every word goes to the join.
-MAX_LITERALS = 20_000
-#: Above so many windows the set is no longer broadcast.
-MAX_BROADCAST = 200_000
+#: Windows whose hashes are broadcast at a time: 12 bytes each, about 60 MB as a table.
+MAX_BROADCAST = 2_000_000
+MARK = 0
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text whose letters are not yet in lower case.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def folded(text: Column) -> Column:
@@ -35,12 +40,16 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _hashes(w: Column) -> Column:
+    """The hash of each word."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """Distinct (item_id, win, anchor, offset) of benchmark(item_id, text); offset: the anchor's place in the window."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
-    cut = items.select("item_id", F.explode(F.expr(f"transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> slice(w, i, {n}))")).alias("win")).distinct()
-    longest = F.expr("array_max(transform(win, (x, i) -> named_struct('n', length(x), 'back', -i))).back")
-    return cut.withColumn("offset", (-longest).cast("int")).withColumn("anchor", F.expr("win[offset]"))
+    """(key, win, items): the distinct windows of benchmark(item_id, text), the hash of each, and the sorted ids, as strings, of the items that hold it."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
+    cut = items.select("item_id", F.explode(F.expr(f"transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> slice(w, i, {n}))")).alias("win"))
+    return cut.groupBy("win").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(F.xxhash64(_hashes(F.col("win"))).alias("key"), "win", "items")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, folder: str | None = None) -> DataFrame:
@@ -50,47 +59,74 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, folder: str | None =
     items (sorted item ids, as strings, with occurring windows), spans (sorted
     array of first and last word, merged where they touch or overlap) and contaminated (n_hit > 0
     and 20 * n_hit >= n_words).  Null and empty texts have no words and aren't
-    contaminated.  Rows that repeat a doc_id with another text are judged one by one.
-    Items without words match nothing.  Extra columns are not looked at.
+    contaminated; texts may be of any length.  Rows that repeat a doc_id, equal ones
+    too, are judged one by one.  Items without words match nothing, and items with equal windows
+    are all found by them; an empty table of either kind gives no hits.  Extra columns are not looked at.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
     wins = written(windows(benchmark, n), f"{folder}/windows")
-    size = wins.agg(F.count("*").alias("n"), F.countDistinct("anchor").alias("a")).first()
-    anchors = [r.anchor for r in wins.select("anchor").distinct().collect()] if size.a <= MAX_LITERALS else None
-    split = docs.select(F.col("doc_id"), words(F.col("text")).alias("w"))
-    at = F.expr("sequence(0, size(w) - 1)")
-    if anchors is not None:
-        places = F.filter(at, lambda i: F.get(F.col("w"), i).isin(anchors)) if anchors else F.array().cast("array<int>")
-    else:
-        places = at
-    around = F.transform(places, lambda i: F.struct(i.alias("at"), F.greatest(i - (n - 1), F.lit(0)).alias("base"), F.slice(F.col("w"), F.greatest(i - (n - 1), F.lit(0)) + 1, F.lit(2 * n - 1)).alias("near")))
-    found = split.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.size("w") > 0, around).alias("around"))
-    kept = written(found.withColumn("row", F.monotonically_increasing_id()), f"{folder}/scan")
-
-    spots = kept.where("size(around) > 0").select("row", F.explode("around").alias("x")).select("row", "x.*").withColumn("anchor", F.expr("near[at - base]"))
-    side = F.broadcast(wins) if size.n <= MAX_BROADCAST else wins
-    start = F.col("at") - F.col("offset")
-    hits = (
-        spots.join(side, "anchor")
-        .where((start >= F.col("base")) & (F.slice("near", start - F.col("base") + 1, F.size("win")) == F.col("win")))
-        .select("row", "item_id", start.alias("first"), (start + F.size("win") - 1).alias("last"))
-    )
+    sizes = sorted((r.size for r in wins.select(F.size("win").alias("size")).distinct().collect()), reverse=True)  # n rows at most
+    parts = max(1, -(-wins.count() // MAX_BROADCAST))
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    if parts > 1:  # each pass must see the same rows
+        rows = written(rows, f"{folder}/rows")
+    hashed = rows.select("row", "doc_id", words(F.col("text")).alias("w")).select("row", "doc_id", "w", _hashes(F.col("w")).alias("h"))
+    entry = "struct<first: int, size: int, key: bigint>"
+    listed = [F.expr(f"if(size(h) >= {m}, transform(sequence(1, size(h) - {m - 1}), i -> named_struct('first', i - 1, 'size', {m}, 'key', xxhash64(slice(h, i, {m})))), cast(array() as array<{entry}>))") for m in sizes]
+    # Before the windows stands a mark that is always found: so each text has a row in the first pass.
+    mark = F.expr(f"array(named_struct('first', -1, 'size', 0, 'key', {MARK}L))")
+    keyed = hashed.select("row", "doc_id", "w", F.concat(mark, *listed).alias("x"))
+    known = wins.select("key", F.size("win").alias("known_size")).distinct()
+    marked = known.union(spark.range(1).select(F.lit(MARK).cast("long"), F.lit(0)))
+    passes = []
+    for part in range(parts):
+        table = known.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part) if part else marked.where((F.pmod(F.xxhash64("key"), F.lit(parts)) == 0) | (F.col("known_size") == 0))
+        # Outer: for an inner one Spark would first filter by the array's size, and compute it there again from the text.
+        found = keyed.select("row", "doc_id", "w", F.explode_outer("x").alias("x")).select("row", "doc_id", "w", "x.*").join(F.broadcast(table), "key").where("size = known_size")
+        is_mark = F.col("size") == 0
+        passes.append(found.select("row", F.when(is_mark, F.col("doc_id")).alias("doc_id"), F.when(is_mark, F.size("w").cast("long")).alias("n_words"), "key", "first", F.when(~is_mark, F.slice("w", F.col("first") + 1, F.col("size"))).alias("win")))
+    kept = written(functools.reduce(DataFrame.unionByName, passes), f"{folder}/scan")
+
+    hits = kept.where("win is not null").select("row", "key", "win", "first").join(wins, ["key", "win"]).select("row", "items", "first", (F.col("first") + F.size("win") - 1).alias("last"))
     merged = F.expr("""
         aggregate(array_sort(collect_set(struct(first, last))), cast(array() as array<struct<first: int, last: int>>),
             (out, x) -> if(size(out) > 0 and x.first <= element_at(out, -1).last + 1,
                 concat(slice(out, 1, size(out) - 1), array(named_struct('first', element_at(out, -1).first, 'last', greatest(element_at(out, -1).last, x.last)))),
                 concat(out, array(x))))""")
-    by_row = hits.groupBy("row").agg(merged.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    by_row = hits.groupBy("row").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     n_hit = F.expr("coalesce(aggregate(spans, 0L, (n, x) -> n + x.last - x.first + 1), 0L)")
-    joined = kept.drop("around").join(by_row, "row", "left").withColumn("n_hit", n_hit)
+    joined = kept.where("win is null").select("row", "doc_id", "n_words").join(by_row, "row", "left").withColumn("n_hit", n_hit)
     return joined.select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.expr("cast(array() as array<struct<first: int, last: int>>)")).alias("spans"), F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """docs without its contaminated documents; all columns stay.  A doc_id with any contaminated row goes whole; rows with null doc_id stay."""
-    bad = scan(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad_id"], "left_anti")
+    """docs without its contaminated documents; all columns stay.
+
+    A doc_id with any contaminated row goes whole; rows with null doc_id stay, as do null and
+    empty texts.  An empty table stays empty, and an empty benchmark leaves all.
+    """
+    bad_id = free_name(docs, "bad_id")
+    bad = scan(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias(bad_id)).distinct()
+    return docs.join(bad, docs["doc_id"] == bad[bad_id], "left_anti")
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+    """docs with every hit word cut from text, each with what stands between it and the word before; all columns stay.
+
+    Texts without a hit, null and empty ones among them, stay as they are.  Equal
+    texts are cut alike; rows that repeat a doc_id are cut one by one.
+    """
+    names = docs.columns
+    key, spans, ws, gaps = (free_name(docs, x) for x in ("key", "spans", "ws", "gaps"))
+    keyed = docs.withColumn(key, F.sha2(F.col("text").cast("binary"), 256))
+    found = scan(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+    # Java's split drops nothing with limit -1: one more gap than words.
+    cut = keyed.join(found, key, "left").select(*names, spans, F.when(F.col(spans).isNotNull(), F.regexp_extract_all("text", F.lit(ANY_WORD), F.lit(0))).alias(ws), F.when(F.col(spans).isNotNull(), F.split("text", ANY_WORD, -1)).alias(gaps))
+    hit = F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"])))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(ws) - 1), hit)
+    text = F.concat(F.array_join(F.transform(stay, lambda i: F.concat(F.get(F.col(gaps), i), F.get(F.col(ws), i))), ""), F.element_at(gaps, -1))
+    return cut.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(text)).select(*names)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

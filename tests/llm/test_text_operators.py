@@ -108,6 +108,34 @@ def test_language_is_told_on_held_out_texts(spark):
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_many_languages_are_all_learned(spark):
+    """300 languages, each of ten words of its own that share a beginning with those of its family."""
+    draw = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stem = ["".join(draw.choice(letters) for _ in range(3)) for _ in range(30)]
+    words = {f"l{k:03}": [stem[k % 30] + "".join(draw.choice(letters) for _ in range(5)) for _ in range(10)] for k in range(300)}
+    rows = [(i, " ".join(draw.choice(words[k]) for _ in range(15)), k) for i, k in enumerate(k for k in words for _ in range(30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.train(docs)
+    assert len(model.languages) == 300 and max(map(len, model.families)) <= language_id.FAMILY and model.root.children
+    truth = {d: k for d, _, k in rows}
+    held = [r for r in language_id.predict(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(held) > 1500 and np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.95
+
+
+def test_sample_is_bounded_and_by_the_lowest_hashes(spark):
+    from affinix.llm._shared import hashed_sample
+
+    rows = spark.range(30_000).select(F.when(F.col("id") < 29_000, "a").when(F.col("id") < 29_990, "b").otherwise("c").alias("k"), "id")
+    got = hashed_sample(rows, "k", F.xxhash64("id"), 100, {"a": 29_000, "b": 990, "c": 10}).collect()
+    n = collections.Counter(r.k for r in got)
+    assert n == {"a": 100, "b": 100, "c": 10}
+    lowest = [r.id for r in rows.where("k = 'a'").orderBy(F.xxhash64("id")).limit(100).collect()]
+    assert {r.id for r in got if r.k == "a"} == set(lowest)
+    equal = spark.range(5000).select(F.lit("a").alias("k"), F.lit(1).alias("id"))
+    assert hashed_sample(equal, "k", F.xxhash64("id"), 100, {"a": 5000}).count() in (0, 100)
+
+
 # 3
 def test_pseudonyms(spark):
     given = ["+1 (743) 555-3824", "4111 1111 1111 1111", "4785380592391139", "1.2.3.4", "2024-02-29", "2023-02-30", "123-45-6789", "a.b@x.example.com"]
@@ -351,18 +379,35 @@ def brute_hits(docs, items, n=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("literals", [20_000, 0])
-def test_benchmark_words_are_hit(spark, monkeypatch, literals):
-    monkeypatch.setattr(decontamination, "MAX_LITERALS", literals)
-    monkeypatch.setattr(decontamination, "MAX_BROADCAST", literals)
+@pytest.mark.parametrize("limit", [2_000_000, 20])
+def test_benchmark_words_are_hit(spark, monkeypatch, limit):
+    """Also in several passes."""
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST", limit)
     draw = random.Random(9)
-    items = [(i, " ".join(draw.choice(["É", "bb", "c1", "Dd"]) for _ in range(draw.randint(0, 18)))) for i in range(12)] + [(90, None), (91, "?!"), (92, "Dd")]
+    items = [(i, " ".join(draw.choice(["É", "bb", "c1", "Dd"]) for _ in range(draw.randint(0, 18)))) for i in range(12)] + [(90, None), (91, "?!"), (92, "Dd"), (93, "dd")]
     docs = [(i, " ".join(draw.choice(["é", "É", "BB", "c1,", "dd"]) for _ in range(draw.randint(0, 30))) + " " + (items[i % 12][1] or "")) for i in range(50)] + ODD
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     got = sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontamination.scan(frame(spark, docs), bench).collect()], key=str)
     assert got == brute_hits(docs, items)
     assert decontamination.scan(frame(spark, []), bench).count() == 0
     assert decontamination.scan(frame(spark, docs), bench.limit(0)).where("n_hit > 0").count() == 0
-    clean = decontamination.clean(frame(spark, docs), bench)
+    clean = decontamination.clean(frame(spark, docs).withColumn("bad_id", F.lit("clash")), bench)
     bad = {d for d, *_, c in brute_hits(docs, items) if c}
-    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - bad
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - bad and {r.bad_id for r in clean.collect()} == {"clash"}
+
+
+def test_a_large_benchmark(spark):
+    """50,000 items of 15 words of their own, so as many longest words; 40 of them in documents."""
+    items = spark.range(50_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(15)]).alias("text"))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.concat_ws(" ", F.lit("before this"), *[F.concat(F.lit(f"W{k}x"), F.col("id") * 7) for k in range(15)], F.lit("after that"))).otherwise(F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") + k) for k in range(15)])).alias("text"))
+    got = decontamination.scan(docs, items).where("n_hit > 0").collect()
+    assert {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got} == {(i, 19, 15, (str(i * 7),)) for i in range(0, 400, 10)}
+
+
+def test_hit_words_are_cut(spark):
+    item = "One two, three four five six seven eight nine ten eleven twelve thirteen"
+    docs = frame(spark, [(1, f"Before; this. {item.upper()}! After (that)."), (2, "nothing here, at all "), (3, None), (4, ""), (5, item), (5, item), (None, f"x-{item}-{item} y")])
+    docs = docs.withColumns({c: F.lit("clash") for c in ("key", "spans", "ws", "GAPS")})
+    out = decontamination.without_spans(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.columns == docs.columns and out.where("spans = 'clash' and GAPS = 'clash'").count() == 7
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([(1, "Before; this! After (that)."), (2, "nothing here, at all "), (3, None), (4, ""), (5, ""), (5, ""), (None, "x y")], key=str)
