@@ -3,18 +3,19 @@
 1. Images of equal pixels are one class; only classes go on.
 2. Corners are found on a pyramid of scales (Harris measure, local maxima, the
    strongest of each scale and cell of about CELL pixels a side).  The patch around each is given an orientation by
-   its intensity centroid, and 128 binary tests, turned to that orientation,
-   make its descriptor.
-3. Hamming tables: a descriptor is cut into 5 bands of 24 bits, so two that
-   differ in at most 4 bits agree on a band, and two that differ in 8 mostly do.
-   Descriptors meet where a band agrees, however many share it: a bucket of more
-   than BLOCK is dealt into blocks, and every block meets every other.
+   its intensity centroid, and 128 binary tests between points of the smoothed
+   patch, turned to that orientation with interpolation, make its descriptor.
+3. Hamming tables: a descriptor is cut into 4 bands of 32 bits, so two that
+   differ in at most 3 bits agree on a band.  Descriptors meet where a band agrees.
 4. Pairs of descriptors within MAX_BITS vote for the similarity transform
-   (quarter-octave scale, sixteenth turn, and coarse shift) that maps one corner
+   (quarter-octave scale, turn, and coarse shift) that maps one corner
    to the other; a pair of images is linked if at least MIN_VOTES distinct
-   corners agree on one transform.  The votes of a pair of images travel once, packed,
-   and are counted together, in cells that overlap in the turn and in each shift.
-5. Links join classes to components.
+   corners agree on one transform, in cells that overlap in the turn and in each shift.
+5. Links join classes to components.  In lists of up to SHORT corners all pairs
+   vote at once.  In longer ones all members first vote with the list's leader
+   alone; what is then in one component needs no more votes, and only pairs of
+   corners across components meet, by blocks.  So no link between components is lost, and
+   a large group of copies costs in proportion to its size, not to its square.
 
 An image column has rows (image_id, width, height, pixels): 8-bit grey, row by row.
 """
@@ -25,30 +26,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinix.llm._components import components
 from affinix.llm._shared import shared_folder, written
 
-SCALES = (1.0, 0.75, 0.55)
-CORNERS = 14  # of each scale and cell
+#: Eighth octaves, so that a copy of any size between has a scale within 5% of one of the original's.
+SCALES = tuple(2 ** (-k / 8) for k in range(9))
+CORNERS = 7  # of each scale and cell
 #: Full-size pixels of a cell's side, so that corners are as dense in a large picture as in its crops.
 CELL = 64
-RADIUS = 6
+RADIUS = 9
 TESTS = 128
-MAX_BITS = 20
-MIN_VOTES = 6
-#: Corners of one key that meet in one go; more are dealt into blocks of about so many.
-BLOCK = 2048
+#: Least distance of the two points of a test: nearer ones tell little.
+APART = 5
+BANDS = 4
+MAX_BITS = 12
+MIN_VOTES = 4
+#: Corners of a list that vote all with all; and entries of a block of a longer one.
+SHORT = 256
+BLOCK = 64
 IMAGE_SCHEMA = "image_id long, width int, height int, pixels binary"
 
-_grid = np.random.default_rng(5)
-_PAIRS = np.clip(np.rint(_grid.normal(0, RADIUS / 2.2, (TESTS, 4))), -RADIUS, RADIUS)
-_ANGLES = 32
-_TURNED = np.array([[[np.rint(np.cos(a) * x - np.sin(a) * y), np.rint(np.sin(a) * x + np.cos(a) * y), np.rint(np.cos(a) * u - np.sin(a) * v), np.rint(np.sin(a) * u + np.cos(a) * v)] for x, y, u, v in _PAIRS] for a in np.arange(_ANGLES) * 2 * np.pi / _ANGLES]).astype(int)
+
+def _test_points() -> np.ndarray:
+    """Two points (x, y, u, v) of the disc of RADIUS for each test."""
+    draw, out = np.random.default_rng(5), []
+    while len(out) < TESTS:
+        a = draw.uniform(-RADIUS, RADIUS, 4)
+        if max(np.hypot(*a[:2]), np.hypot(*a[2:])) <= RADIUS and np.hypot(*(a[:2] - a[2:])) >= APART:
+            out.append(a)
+    return np.array(out)
+
+
+_POINTS = _test_points()
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
-_DISC = (_X**2 + _Y**2 <= RADIUS**2).astype(float)
+_DISC = (_X**2 + _Y**2 <= RADIUS**2).astype(np.float32)
 
 
 def _blur(a: np.ndarray) -> np.ndarray:
@@ -72,13 +86,22 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     return top * (1 - fy) + (a[:, y1][:, :, x0] * (1 - fx) + a[:, y1][:, :, x1] * fx) * fy
 
 
+def _sampled(stack: np.ndarray, image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values at places between pixels, bilinear; corners x points."""
+    x0, y0 = (np.clip(np.floor(c).astype(np.int32), 0, n - 2) for c, n in ((x, stack.shape[2]), (y, stack.shape[1])))
+    fx, fy = (x - x0).astype(np.float32), (y - y0).astype(np.float32)
+    flat, at = stack.ravel(), (image[:, None] * stack.shape[1] + y0) * stack.shape[2] + x0
+    below = at + stack.shape[2]
+    return (flat[at] * (1 - fx) + flat[at + 1] * fx) * (1 - fy) + (flat[below] * (1 - fx) + flat[below + 1] * fx) * fy
+
+
 def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     """(image, x, y, scale, angle in radians, descriptor bits) of the corners of a stack of images of one size; x and y are in full-size pixels."""
     out: list[tuple[np.ndarray, ...]] = []
     for scale in SCALES:
-        a = _blur(_resized(stack.astype(np.float32), scale))
+        a = _blur(_resized(stack.astype(np.float32), scale)).astype(np.float32)
         n, h, w = a.shape
-        margin = RADIUS + 2
+        margin = RADIUS + 1
         if min(h, w) <= 2 * margin + 2:
             continue
         gy, gx = np.gradient(a, axis=(1, 2))
@@ -99,22 +122,27 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
         good = value[image, place] > 0
         image, place = image[good], place[good]
         y, x = place // core.shape[2] + margin, place % core.shape[2] + margin
-        patch = a[image[:, None, None], y[:, None, None] + _Y, x[:, None, None] + _X] * _DISC
+        smooth = _blur(a).astype(np.float32)
+        patch = smooth[image[:, None, None], y[:, None, None] + _Y, x[:, None, None] + _X] * _DISC
         angle = np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2)))
-        turn = _TURNED[np.rint(angle / (2 * np.pi) * _ANGLES).astype(int) % _ANGLES]
-        smooth = _blur(a)
-        lim = RADIUS + 2
-        ax, ay, bx, by = (np.clip(turn[:, :, c], -lim, lim) for c in range(4))
-        bits = smooth[image[:, None], y[:, None] + ay, x[:, None] + ax] < smooth[image[:, None], y[:, None] + by, x[:, None] + bx]
-        out.append((image, x / scale, y / scale, np.full(len(x), scale), angle, bits))
+        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+        smooth = _blur(smooth).astype(np.float32)
+        one, two = (_sampled(smooth, image, x[:, None] + cos * px - sin * py, y[:, None] + sin * px + cos * py) for px, py in (_POINTS[:, :2].T, _POINTS[:, 2:].T))
+        out.append((image, x / scale, y / scale, np.full(len(x), scale), angle, one < two))
     if not out:
         z = np.zeros(0)
         return z.astype(int), z, z, z, z, np.zeros((0, TESTS), bool)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+_CORNER = "key long, cls long, x float, y float, scale float, angle float, low long, high long"
+_CORNER_NAMES = [c.split()[0] for c in _CORNER.split(", ")]
+_VOTE = "a long, b long, at long, s int, t int, u int, v int"
+_VOTE_NAMES = [c.split()[0] for c in _VOTE.split(", ")]
+
+
 def _described(images: DataFrame) -> DataFrame:
-    """A row per corner: cls, x, y, scale, angle, low and high (the 128 bits)."""
+    """A row per corner and band: key (the band's number and bits), cls, x, y, scale, angle, low and high (the 128 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,42 +154,107 @@ def _described(images: DataFrame) -> DataFrame:
                     rows = np.flatnonzero((width == w) & (height == h))
                     stack = np.stack([np.frombuffer(pixels[i], np.uint8).reshape(h, w) for i in rows])
                     image, x, y, scale, angle, bits = describe(stack)
-                    words = np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[rows][image]), pa.array(x.astype(np.float32)), pa.array(y.astype(np.float32)), pa.array(scale.astype(np.float32)), pa.array(angle.astype(np.float32)), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], ["cls", "x", "y", "scale", "angle", "low", "high"])
-
-    return images.select("cls", "width", "height", "pixels").mapInArrow(run, "cls long, x float, y float, scale float, angle float, low long, high long")
-
+                    packed = np.packbits(bits, axis=1, bitorder="little")
+                    words, bands = packed.reshape(-1).view("<i8").reshape(-1, 2), packed.reshape(-1).view("<u4").reshape(-1, BANDS).astype(np.int64)
+                    key = (bands | np.arange(BANDS) << 32).T.ravel()
+                    rest = [cls[rows][image], x.astype(np.float32), y.astype(np.float32), scale.astype(np.float32), angle.astype(np.float32), words[:, 0], words[:, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.tile(c, BANDS)) for c in rest]], _CORNER_NAMES)
+
+    return images.select("cls", "width", "height", "pixels").mapInArrow(run, _CORNER)
+
+
+def _votes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """The votes of those pairs of corners (rows i and j of c) that are of different classes and near in their bits."""
+    near = sum(np.bitwise_count((c[k][i] ^ c[k][j]).view(np.uint64)).astype(np.int32) for k in ("low", "high"))
+    keep = (near <= MAX_BITS) & (c["cls"][i] != c["cls"][j])
+    i, j = i[keep], j[keep]
+    i, j = np.where(c["cls"][i] < c["cls"][j], i, j), np.where(c["cls"][i] < c["cls"][j], j, i)
+    full = 2 * np.pi
+    turn = (c["angle"][j].astype(float) - c["angle"][i]) % full
+    ratio = c["scale"][i].astype(float) / c["scale"][j]
+    x, y = c["x"][i].astype(float), c["y"][i].astype(float)
+    # Where a's origin comes to lie in b under that turn and scale.
+    dx = c["x"][j] - ratio * (np.cos(turn) * x - np.sin(turn) * y)
+    dy = c["y"][j] - ratio * (np.sin(turn) * x + np.cos(turn) * y)
+    at = (np.rint(x * 100).astype(np.int64) << 32) + np.rint(y * 100).astype(np.int64)
+    cells = (np.rint(4 * np.log2(ratio)), np.floor(turn / full * 24) % 24, np.floor(dx / 8), np.floor(dy / 8))
+    return [c["cls"][i], c["cls"][j], at, *[v.astype(np.int32) for v in cells]]
 
-def _bands(side: str = "") -> list[Column]:
-    def part(word: str, at: int, bits: int) -> Column:
-        return F.shiftrightunsigned(f"{side}{word}", at).bitwiseAND((1 << bits) - 1)
 
-    return [part("low", 0, 24), part("low", 24, 24), part("high", 0, 24), part("high", 24, 24), part("low", 48, 16) * 256 + part("high", 48, 8)]
+def _listed(corners: DataFrame) -> DataFrame:
+    """From every list of corners of one key: the votes of all pairs of a short one (kind 0); of a longer one the votes with
+    its leader (kind 0) and all entries (kind 1).
 
+    Lists come sorted by class, so the leader of a group's lists is mostly one image.  A list is held up to SHORT
+    corners only; then it is walked with the leader in hand.
+    """
+    schema = f"kind int, {_VOTE}, {_CORNER}"
 
-def _met(corners: DataFrame) -> DataFrame:
-    """Pairs of corners of different classes that share a band and differ in at most MAX_BITS, once each."""
-    keyed = corners.select("*", F.posexplode(F.array(*_bands())).alias("band", "value"))
-    long = keyed.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = keyed.join(long, ["band", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls", "x", "y", "scale"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    fields = ("cls", "x", "y", "scale", "angle", "low", "high")
-    a, b = (dealt.select("band", "value", F.col("own").alias(i), F.col("other").alias(j), *[F.col(c).alias(f"{side}_{c}") for c in fields]) for side, i, j in (("a", "i", "j"), ("b", "j", "i")))
-    near = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high"))) <= MAX_BITS
-    # A pair that shares several bands is taken at the first.
-    first = F.lit(True)
-    for k, (x, y) in enumerate(zip(_bands("a_"), _bands("b_"), strict=True)):
-        first &= (F.col("band") <= k) | (x != y)
-    return a.join(b, ["band", "value", "i", "j"]).where((F.col("a_cls") < F.col("b_cls")) & near & first)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", *_VOTE_NAMES, *_CORNER_NAMES]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), *[pa.float32()] * 4, pa.int64(), pa.int64()]
+
+        def made(votes: list[np.ndarray] | None, entries: dict[str, np.ndarray] | None) -> pa.RecordBatch:
+            n, m = (len(votes[0]) if votes else 0), (len(entries["key"]) if entries else 0)
+            columns = [pa.array(np.repeat(np.array([0, 1], np.int32), [n, m]))]
+            for k in range(len(_VOTE_NAMES)):
+                columns.append(pa.concat_arrays([pa.array(votes[k], types[1 + k]) if n else pa.nulls(0, types[1 + k]), pa.nulls(m, types[1 + k])]))
+            for k, name in enumerate(_CORNER_NAMES):
+                t = types[1 + len(_VOTE_NAMES) + k]
+                columns.append(pa.concat_arrays([pa.nulls(n, t), pa.array(entries[name], t) if m else pa.nulls(0, t)]))
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        def taken(c: dict[str, np.ndarray], leader: dict[str, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+            """What rows of c give; leader: that of the first list, if part of it has gone before."""
+            start = np.flatnonzero(np.concatenate(([True], c["key"][1:] != c["key"][:-1])))
+            length = np.diff(np.append(start, len(c["key"])))
+            long = length > SHORT
+            long[0] |= leader is not None
+            # Short lists: all pairs, by their distance within the list.
+            rows = np.repeat(~long, length)
+            left = np.repeat(start + length, length) - np.arange(len(rows)) - 1
+            i = np.repeat(np.flatnonzero(rows), left[rows])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left[rows]) - left[rows], left[rows])
+            yield made(_votes(c, i, j), None)
+            for s, n in zip(start[long].tolist(), length[long].tolist(), strict=True):
+                part = {k: v[s : s + n] for k, v in c.items()}
+                head = leader if s == 0 and leader is not None else {k: v[:1] for k, v in part.items()}
+                joined = {k: np.concatenate((head[k], part[k])) for k in part}
+                yield made(_votes(joined, np.zeros(n, np.int64), np.arange(1, n + 1)), part)
+
+        held, leader = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {k: batch.column(k).to_numpy() for k in _CORNER_NAMES}
+            if held is not None:
+                c = {k: np.concatenate((held[k], c[k])) for k in c}
+            if leader is not None and c["key"][0] != leader["key"][0]:
+                leader = None
+            last = int(np.searchsorted(c["key"], c["key"][-1]))
+            if len(c["key"]) - last > SHORT:  # the last list is long: what is here of it can go
+                head = leader if last == 0 and leader is not None else {k: v[last : last + 1] for k, v in c.items()}
+                yield from taken(c, leader)
+                held, leader = None, head
+            else:
+                if last:
+                    yield from taken({k: v[:last] for k, v in c.items()}, leader)
+                    leader = None
+                held = {k: v[last:] for k, v in c.items()}
+        if held is not None:
+            yield from taken(held, leader if leader is not None and leader["key"][0] == held["key"][0] else None)
+
+    return corners.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, schema)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, votes) of pairs with MIN_VOTES in a cell; votes come sorted by pair."""
 
     def links(table: pa.Table) -> pa.RecordBatch:
-        a, b, at, s, t, u, v = (table.column(k).to_numpy() for k in ("a", "b", "at", "s", "t", "u", "v"))
-        pair = np.cumsum(np.concatenate(([0], (np.diff(a) != 0) | (np.diff(b) != 0))))
-        keep = np.flatnonzero(np.bincount(pair)[pair] >= MIN_VOTES)
+        a, b, at, s, t, u, v = (table.column(k).to_numpy() for k in _VOTE_NAMES)
+        s, t, u, v = (x.astype(np.int64) for x in (s, t, u, v))
+        pair = np.cumsum(np.concatenate(([0], (np.diff(a) != 0) | (np.diff(b) != 0)))) if len(a) else np.zeros(0, np.int64)
+        keep = np.flatnonzero(np.bincount(pair)[pair] >= MIN_VOTES) if len(a) else np.zeros(0, np.int64)
         a, b, at, s, t, u, v, pair = (x[keep] for x in (a, b, at, s, t, u, v, pair))
         # Cells of 16 pixels and a twelfth of a turn, each shifted by none or half on its own: a vote counts from its half cell and from the one next to it.
         shape = [(pair * 64 + s + 32) * 24 + (t + i) % 24 for i in (0, 1) for _ in range(4)]
@@ -196,48 +289,69 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(pa.Table.from_batches(held))
 
 
-def _links(corners: DataFrame) -> DataFrame:
+def _links(votes: DataFrame) -> DataFrame:
     """(a, b, votes) of classes whose corners agree on one similarity transform."""
-    met = _met(corners)
-    turn = F.pmod(F.col("b_angle") - F.col("a_angle") + F.lit(2 * np.pi), F.lit(2 * np.pi))
-    ratio = F.col("a_scale") / F.col("b_scale")
-    # Where a's origin comes to lie in b under that turn and scale.
-    dx = F.col("b_x") - ratio * (F.cos(turn) * F.col("a_x") - F.sin(turn) * F.col("a_y"))
-    dy = F.col("b_y") - ratio * (F.sin(turn) * F.col("a_x") + F.cos(turn) * F.col("a_y"))
-    # Places on the scales' grids that differ do so by 1/33 of a pixel at least.
-    at = F.shiftleft(F.rint(F.col("a_x") * 100).cast("long"), 32) + F.rint(F.col("a_y") * 100).cast("long")
-    low = lambda x, bits, mask: F.shiftleft(x.cast("long").bitwiseAND(mask), bits)
-    cell = F.shiftleft(F.floor(dx / 8), 36) + low(F.floor(dy / 8), 11, (1 << 25) - 1) + low(F.rint(4 * F.log2(ratio)) + 32, 5, 63) + F.floor(turn / (2 * np.pi) * 24) % 24
-    votes = met.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), at.alias("at"), cell.alias("cell")).repartition("a", "b").sortWithinPartitions("a", "b")
-    v = F.shiftright(F.shiftleft("cell", 28), 39)
-    opened = votes.select("a", "b", "at", (F.shiftright("cell", 5).bitwiseAND(63) - 32).alias("s"), F.col("cell").bitwiseAND(31).alias("t"), F.shiftright("cell", 36).alias("u"), v.alias("v"))
-    return opened.mapInArrow(_counted, "a long, b long, votes long")
+    dealt = votes.select(*_VOTE_NAMES).repartition("a", "b").sortWithinPartitions("a", "b")
+    return dealt.mapInArrow(_counted, "a long, b long, votes long")
+
+
+def _across(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The votes of pairs of entries of one list that are in different components.
+
+    Every entry outside its list's largest component meets the list's blocks.
+    """
+    placed = entries.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    lists = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("length"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1").drop("roots")
+    torn = placed.join(lists, "key")
+    part = F.expr(f"pmod(xxhash64(cls, x, y, scale), greatest(1, cast(length / {BLOCK} as int)))")
+    fields = ("cls", "root", "x", "y", "scale", "angle", "low", "high")
+    blocks = torn.groupBy("key", part.alias("part")).agg(*[F.collect_list(c).alias(f"b_{c}") for c in fields]).drop("part")
+    met = torn.where("root <> main").select("key", *fields).join(blocks, "key").drop("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                size = part.column("b_cls").value_lengths().to_numpy()
+                c = {k: np.concatenate((part.column(k).to_numpy(), part.column(f"b_{k}").flatten().to_numpy())) for k in fields}
+                i, j = np.repeat(np.arange(part.num_rows), size), part.num_rows + np.arange(int(size.sum()))
+                apart = c["root"][i] != c["root"][j]
+                votes = _votes(c, i[apart], j[apart])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in votes], _VOTE_NAMES)
+
+    return met.mapInArrow(run, _VOTE)
 
 
 def copies(images: DataFrame, folder: str | None = None) -> DataFrame:
-    """Per row of images(image_id, width, height, pixels): image_id, class_id (a hash of the pixels), n_links and component_id.
+    """Per row of images(image_id, width, height, pixels): image_id, class_id (a hash of the pixels) and component_id.
 
-    n_links counts the other images that are equal or linked by consensus, each
-    once; component_id is the lowest image_id that links reach.  Null, empty or
+    component_id is the lowest image_id that links reach, its own included.  Null, empty or
     misshapen pixels have no corners: such images are linked with nothing (null
-    class_id).  Repeated rows are equal images.  Flat images are only equal to equal
-    ones.  Extra columns are not looked at.
+    class_id).  Repeated rows are equal images.  Flat images, and those too small for a corner's patch, are only equal to equal
+    ones; a very large one has corners in every cell.  A null id is never the lowest.  An empty table gives an
+    empty result.  Extra columns, whatever their names, are not looked at.
     """
     folder = folder or shared_folder(images.sparkSession)
     whole = F.col("pixels").isNotNull() & (F.length("pixels") > 0) & (F.col("width") * F.col("height") == F.length("pixels"))
     rows = images.select(F.col("image_id").cast("long").alias("image_id"), "width", "height", "pixels").withColumn("cls", F.when(whole, F.xxhash64("width", "height", "pixels")))
     ids = written(rows.select("image_id", "cls"), f"{folder}/ids")
-    classes = ids.where("cls is not null").groupBy("cls").agg(F.min("image_id").alias("low"), F.count("*").alias("members"))
+    classes = ids.where("cls is not null").groupBy("cls").agg(F.min("image_id").alias("low"))
     once = rows.where("cls is not null").dropDuplicates(["cls"])
-    corners = written(_described(once), f"{folder}/corners")
-    links = written(_links(corners), f"{folder}/links")
+    lists = written(_listed(_described(once)), f"{folder}/lists")
+    votes, entries = lists.where("kind = 0").select(*_VOTE_NAMES), lists.where("kind = 1").select(*_CORNER_NAMES)
+    links = written(_links(votes), f"{folder}/links")
     roots = components(links, f"{folder}/components")
-    both = links.select("a", "b").union(links.select("b", "a"))
-    linked = both.join(classes.select(F.col("cls").alias("b"), "members"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("members").alias("others"))
+    more = written(_across(entries, roots), f"{folder}/across")
+    if not more.isEmpty():
+        # Votes from short lists, and with leaders, count together with these.
+        pairs = more.select("a", "b").distinct()
+        late = written(_links(votes.join(pairs, ["a", "b"], "left_semi").unionByName(more)), f"{folder}/late-links")
+        roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(late.select("a", "b")), f"{folder}/late-components")
     rooted = classes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    facts = rooted.join(lowest, "root").join(linked, "cls", "left").select("cls", "component_id", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return ids.join(facts, "cls", "left").select("image_id", F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "image_id").alias("component_id"))
+    facts = rooted.join(lowest, "root").select("cls", "component_id")
+    return ids.join(facts, "cls", "left").select("image_id", F.col("cls").alias("class_id"), F.coalesce("component_id", "image_id").alias("component_id"))
 
 
 # Images that Spark derives from the embeddings table, as it holds no media.

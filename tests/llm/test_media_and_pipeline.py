@@ -45,9 +45,10 @@ def test_edited_copies_are_found(spark):
     edited = [i for i in got if i >= media_copies.EDIT_BASE]
     assert len(edited) == 12 and np.mean([got[i].component_id == got[i - media_copies.EDIT_BASE].component_id for i in edited]) >= 0.9
     plain = [i for i in range(120) if i % 10 != 3 and i != 4]
-    assert np.mean([got[i].n_links == 0 for i in plain]) > 0.97
-    assert got[500].component_id == 4 and got[500].n_links >= 1
-    assert got[900].class_id is None and got[901].n_links == 0 and got[902].n_links == got[903].n_links == 1
+    assert np.mean([got[i].component_id == i for i in plain]) == 1
+    assert got[500].component_id == 4
+    assert got[900].class_id is None and got[901].component_id == 901 and got[902].component_id == got[903].component_id == 902
+    assert got[902].class_id == got[903].class_id is not None
     assert media_copies.copies(images.limit(0)).count() == 0
 
 
@@ -64,39 +65,51 @@ def test_small_crops_of_large_pictures_are_found(spark):
     assert sum(got[100 + i] == i for i in range(6)) >= 5
 
 
+CORNER = "key long, cls long, x float, y float, scale float, angle float, low long, high long"
+
+
 @pytest.mark.parametrize("shift", [(0, 0), (16, 8), (8, 16), (15, 9), (3, -40)])
 @pytest.mark.parametrize("turned", [0.0, 0.26, 0.52, -0.01])
-def test_six_agreeing_votes_link_wherever_they_lie(spark, shift, turned):
-    """Votes that scatter by two pixels and a tenth of a turn cell; pair 1 and 3 has five corners only."""
+def test_agreeing_votes_link_wherever_they_lie(spark, shift, turned):
+    """Votes that scatter by two pixels and a tenth of a turn cell; pair 1 and 3 has a corner too few."""
     draw = random.Random(2)
     rows = []
-    for k in range(6):
+    n = media_copies.MIN_VOTES
+    for k in range(n):
         word = (draw.getrandbits(63), draw.getrandbits(63))
         off = 1 if k % 2 else -1
-        for a, b, n in ((0, 2, 6), (1, 3, 5)):
-            if k < n:
-                w = (word[0] ^ a, word[1] ^ -a)
+        for a, b, last in ((0, 2, n), (1, 3, n - 1)):
+            if k < last:
+                w = (word[0] ^ a, word[1] ^ a)
                 # Corners near the origin: their turn moves the shift by less than a tenth of a pixel.
-                rows += [(a, k * 1e-2, 0.0, 1.0, 0.0, *w), (b, shift[0] + off + k * 1e-2, float(shift[1] + off), 1.0, turned + off * 0.02, *w)]
-    corners = spark.createDataFrame(rows, "cls long, x float, y float, scale float, angle float, low long, high long")
-    assert [(r.a, r.b, r.votes) for r in media_copies._links(corners).collect()] == [(0, 2, 6)]
+                rows += [(k + 100 * a, a, k * 1e-2, 0.0, 1.0, 0.0, *w), (k + 100 * a, b, shift[0] + off + k * 1e-2, float(shift[1] + off), 1.0, turned + off * 0.02, *w)]
+    votes = media_copies._listed(spark.createDataFrame(rows, CORNER)).where("kind = 0")
+    assert [(r.a, r.b, r.votes) for r in media_copies._links(votes).collect()] == [(0, 2, n)]
 
 
-@pytest.mark.parametrize("others", [0, 300])
-def test_corners_meet_whatever_the_size_of_their_bucket(spark, monkeypatch, others):
-    """By brute force; corners 0 and 1 share their first band only, with 300 others too."""
-    monkeypatch.setattr(media_copies, "BLOCK", 16, raising=False)
+@pytest.mark.parametrize("short", [4, 64])
+def test_corners_meet_whatever_the_size_of_their_list(spark, monkeypatch, short):
+    """All near pairs of a list's corners vote, by brute force: at once in short lists; in long ones with the leader, and across components by blocks."""
+    monkeypatch.setattr(media_copies, "SHORT", short)
+    monkeypatch.setattr(media_copies, "BLOCK", 16)
     draw = random.Random(7)
-    flip = [0, (1 << 40) | (1 << 60), (1 << 5) | (1 << 40)]
-    words = [(77, 0), (77 ^ flip[1], flip[2])]
-    words += [(77 | draw.getrandbits(31) << 32, draw.getrandbits(63)) for _ in range(others)]
-    words += [(low ^ 1 << 33, high ^ 1 << draw.randrange(63)) for low, high in words[2:80]]
-    rows = [(i, float(i), 1.0, 1.0, 0.0, *w) for i, w in enumerate(words)]
-    corners = spark.createDataFrame(rows, "cls long, x float, y float, scale float, angle float, low long, high long")
-    bands = {r.cls: r.bands for r in corners.select("cls", F.array(*media_copies._bands()).alias("bands")).collect()}
-    near = [(i, j) for i, (a, b) in enumerate(words) for j, (c, d) in enumerate(words) if i < j and (a ^ c).bit_count() + (b ^ d).bit_count() <= media_copies.MAX_BITS and any(x == y for x, y in zip(bands[i], bands[j], strict=True))]
-    assert (0, 1) in near
-    assert {(r.a_cls, r.b_cls) for r in media_copies._met(corners).collect()} == set(near)
+    rows = []
+    for key, n in ((1, 1), (2, 2), (3, 4), (4, 5), (5, 200), (6, 300), (7, 2)):
+        base = (draw.getrandbits(63), draw.getrandbits(63))
+        for i in range(n):
+            w = (base[0] ^ sum(1 << draw.randrange(63) for _ in range(draw.randint(0, 6))), base[1] ^ (1 << draw.randrange(63)))
+            rows.append((key, draw.randrange(150), float(i), 1.0, 1.0, 0.0, *w))
+    near = {tuple(sorted((p[1], q[1]))) for k, p in enumerate(rows) for q in rows[:k] if p[0] == q[0] and p[1] != q[1] and (p[6] ^ q[6]).bit_count() + (p[7] ^ q[7]).bit_count() <= media_copies.MAX_BITS}
+    lists = media_copies._listed(spark.createDataFrame(rows, CORNER).repartition(3))
+    votes, entries = lists.where("kind = 0"), lists.where("kind = 1").select(*media_copies._CORNER_NAMES)
+    alone = spark.createDataFrame([], "v long, root long")
+    got = {(r.a, r.b) for r in votes.select("a", "b").union(media_copies._across(entries, alone).select("a", "b")).collect()}
+    assert got == near
+    # With some classes in one component already, pairs across components are still all tried.
+    joined = spark.createDataFrame([(c, c % 3) for c in range(100)], "v long, root long")
+    root = lambda c: c % 3 if c < 100 else c
+    some = {(r.a, r.b) for r in votes.select("a", "b").union(media_copies._across(entries, joined).select("a", "b")).collect()}
+    assert some <= near and {p for p in near if root(p[0]) != root(p[1])} <= some
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
