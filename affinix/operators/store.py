@@ -65,21 +65,54 @@ def counts(**tables: DataFrame) -> DataFrame:
     return out
 
 
+_ITEM = """struct<name:string,type:string,required_age:string,is_free:boolean,controller_support:string,dlc:array<bigint>,short_description:string,detailed_description:string,about_the_game:string,supported_languages:string,
+developers:array<string>,publishers:array<string>,platforms:struct<windows:boolean,mac:boolean,linux:boolean>,price_overview:struct<currency:string,initial:string,final:string,discount_percent:string>,metacritic:struct<score:string,url:string>,
+categories:array<struct<id:bigint,description:string>>,genres:array<struct<id:string,description:string>>,recommendations:struct<total:string>,achievements:struct<total:string>,release_date:struct<coming_soon:boolean,date:string>,header_image:string,
+content_descriptors:struct<ids:array<bigint>,notes:string>,website:string,support_info:struct<url:string>>"""
+_VOTED = "struct<name:string,developer:string,publisher:string,score_rank:string,positive:string,negative:string,userscore:string,owners:string,average_forever:string,average_2weeks:string,median_forever:string,median_2weeks:string,price:string,initialprice:string,discount:string,ccu:string,languages:string,genre:string,tags:map<string,bigint>>"
+
+
+def _filled(x: Column) -> Column:
+    """Null for the empty string."""
+    return F.nullif(x, F.lit(""))
+
+
+def _list(x: Column) -> Column:
+    return F.when(F.size(x) > 0, F.array_join(x, ", "))
+
+
+def _json(x: Column, n: Column) -> Column:
+    return F.when(n > 0, F.to_json(x))
+
+
 def parsed_item(json: Column) -> Column:
-    """Fields of an item's JSON description; what can't be read is null."""
-    shape = "struct<name:string,type:string,is_free:boolean,price_overview:struct<currency:string,initial:string,final:string>,metacritic:struct<score:string>,release_date:struct<coming_soon:boolean,date:string>,categories:array<struct<description:string>>,genres:array<struct<description:string>>,developers:array<string>,supported_languages:string>"
-    v = F.from_json(json, shape)
-    return F.struct(
-        v["name"].alias("name"),
-        v["type"].alias("type"),
-        v["is_free"].cast("int").alias("is_free"),
-        v["price_overview"]["currency"].alias("price_currency"),
-        v["price_overview"]["final"].try_cast("bigint").alias("price_final"),
-        v["metacritic"]["score"].try_cast("bigint").alias("metacritic"),
-        v["release_date"]["date"].alias("release_date"),
-        F.coalesce(v["release_date"]["coming_soon"].cast("int"), F.lit(0)).alias("coming_soon"),
-        F.to_json(v["categories"]).alias("categories_json"),
-        F.to_json(v["genres"]).alias("genres_json"),
-        F.array_join(v["developers"], ", ").alias("developers"),
-        v["supported_languages"].alias("languages"),
-    )
+    """The fields of an item's JSON description, all of them; what can't be read is null, flags are 0 or 1."""
+    v = F.from_json(json, _ITEM)
+    whole = lambda x: x.try_cast("bigint")
+    flag = lambda x: F.coalesce(x.cast("int"), F.lit(0))
+    price, score, day, seen = v["price_overview"], v["metacritic"], v["release_date"], v["platforms"]
+    fields = {"name": v["name"], "type": v["type"], "required_age": whole(v["required_age"]), "is_free": flag(v["is_free"]), "controller_support": v["controller_support"], "dlc_json": _json(v["dlc"], F.size(v["dlc"]))}
+    fields |= {k: _filled(v[k]) for k in ("short_description", "detailed_description", "about_the_game")}
+    fields |= {"languages": _filled(v["supported_languages"]), "developers": _list(v["developers"]), "publishers": _list(v["publishers"]), "win": flag(seen["windows"]), "mac": flag(seen["mac"]), "linux": flag(seen["linux"])}
+    fields |= {"price_final": whole(price["final"]), "price_initial": whole(price["initial"]), "price_discount": whole(price["discount_percent"]), "price_currency": price["currency"], "metacritic": whole(score["score"]), "metacritic_url": score["url"]}
+    fields |= {"categories_json": _json(v["categories"], F.size(v["categories"])), "genres_json": _json(v["genres"], F.size(v["genres"])), "recommendations_total": whole(v["recommendations"]["total"]), "achievements_total": whole(v["achievements"]["total"])}
+    fields |= {"release_date": day["date"], "coming_soon": flag(day["coming_soon"]), "header_image": v["header_image"], "content_descriptors_json": F.to_json(v["content_descriptors"]), "website": v["website"], "support_url": _filled(v["support_info"]["url"])}
+    return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+
+def parsed_votes(json: Column) -> Column:
+    """The fields of an item's vote and ownership document; numbers that can't be read are null, tags stay JSON."""
+    v = F.from_json(json, _VOTED)
+    numbers = ("positive", "negative", "userscore", "average_forever", "average_2weeks", "median_forever", "median_2weeks", "price", "initialprice", "discount", "ccu")
+    texts = ("name", "developer", "publisher", "owners", "languages", "genre")
+    return F.struct(*[v[k].alias(k) for k in texts], _filled(v["score_rank"]).alias("score_rank"), *[v[k].try_cast("bigint").alias(k) for k in numbers], _json(v["tags"], F.size(v["tags"])).alias("tags_json"))
+
+
+def today_utc() -> Column:
+    """The day, as text, in UTC whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd")
+
+
+def now_iso() -> Column:
+    """The moment, as text, in UTC to the second."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))

@@ -98,14 +98,14 @@ def _(spark, d):
 
 
 @query("ecdf_interp_weight", f"""{_GRID}, x AS (SELECT user_id, item_id, playtime, grid, len(list_filter(grid, lambda v: v <= playtime)) AS k FROM inter JOIN g USING (item_id))
-SELECT user_id, item_id, round(CASE WHEN playtime <= 0 THEN 0.0 WHEN grid[21] <= 0 THEN 0.5 WHEN k = 0 THEN 0.0 WHEN k >= 21 THEN 1.0
-  ELSE (k - 1) / 20.0 + (playtime - grid[k]) / (grid[k + 1] - grid[k]) / 20.0 END, 6) AS w FROM x""")
+SELECT user_id, item_id, round(round(CASE WHEN playtime <= 0 THEN 0.0 WHEN grid[21] <= 0 THEN 0.5 WHEN k = 0 THEN 0.0 WHEN k >= 21 THEN 1.0
+  ELSE (k - 1) / 20.0 + (playtime - grid[k]) / (grid[k + 1] - grid[k]) * (k / 20.0 - (k - 1) / 20.0) END, 9), 6) AS w FROM x""")
 def _(spark, d):
     inter = inter_of(spark, d)
     grid = features.playtime_grid(inter, inter.where("playtime > 0").select("item_id").distinct())
     levels = F.array(*[F.lit(k / 20) for k in range(21)])
     w = F.when(F.col("playtime") <= 0, 0.0).when(F.element_at("grid", -1) <= 0, 0.5).otherwise(interpolated(F.col("playtime"), F.col("grid"), levels))
-    return inter.join(grid, "item_id").select("user_id", "item_id", w.alias("w"))
+    return inter.join(grid, "item_id").select("user_id", "item_id", F.round(w, 9).alias("w"))
 
 
 # Scores.  Each oracle is SELECT user_id, item_id, <expression> over inter, through stages where needed.

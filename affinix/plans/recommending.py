@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from affinix.functions.maths import hashed_order
 from affinix.functions.windows import top_k
 from affinix.operators import catalogue, content, cooccurrence, ease, evaluation, metrics, recommend, scores, statistics
-from affinix.plans._sql import COOC, INTER, LIKED
+from affinix.plans._sql import COOC, INTER, LIKED, normal_cdf
 from affinix.plans.engagement import inter_of, rounded
 from affinix.plans.items import _CAT, _PAIRS, _POP, TAGS, catalogue_of, popularity_of, tags_of
 from affinix.sources import tables
@@ -59,7 +59,7 @@ def _(spark, d):
 
 _CF = f"""WITH {INTER}, {COOC}, prof AS (SELECT user_id, item_id, 1.0 + item_id % 3 AS w FROM lk),
 cf AS (SELECT user_id, j AS item_id, round(sum(w * round(sim, 9)), 9) AS score FROM prof JOIN sim ON i = item_id GROUP BY 1, 2),
-rec AS (SELECT cf.*, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cf WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM lk) AND score > 0)"""
+rec AS (SELECT cf.*, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cf WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.user_id = cf.user_id AND lk.item_id = cf.item_id) AND score > 0)"""
 
 
 def profiles_of(spark, d):
@@ -92,9 +92,8 @@ def _(spark, d):
 
 
 def _model(spark, d):
-    s = scores.pctl_game(inter_of(spark, d)).cache()
-    items, x, v, diag = ease.fit(s, ease.graph_users(s, cap=2000), lam=100.0)
-    return s, ease.weights(spark, items, x, v, diag, 100.0, k=64)
+    s = scores.pctl_game(inter_of(spark, d)).withColumn("s", F.round("s", 9))
+    return s, ease.weights(ease.fit(s, ease.graph_users(s)))
 
 
 @query("ease_b_topk")
@@ -203,7 +202,7 @@ def _(spark, d):
 
 
 # Ranking, filling, steering, fusion.
-@query("exclude_played", f"WITH {INTER}, {COOC}, cand AS (SELECT DISTINCT user_id, j AS item_id FROM lk JOIN sim ON i = item_id) SELECT user_id, count(*) AS n FROM cand WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM inter WHERE playtime > 0) GROUP BY user_id")
+@query("exclude_played", f"WITH {INTER}, {COOC}, cand AS (SELECT DISTINCT user_id, j AS item_id FROM lk JOIN sim ON i = item_id) SELECT user_id, count(*) AS n FROM cand WHERE NOT EXISTS (SELECT 1 FROM inter WHERE playtime > 0 AND inter.user_id = cand.user_id AND inter.item_id = cand.item_id) GROUP BY user_id")
 def _(spark, d):
     inter = inter_of(spark, d)
     seen = recommend.excluded(inter.where("playtime > 0"), liked_of(spark, d))
@@ -215,7 +214,7 @@ ps AS (SELECT user_id, tag, sum(w * weight) AS weight FROM prof JOIN u0 USING (i
 cs AS (SELECT user_id, item_id, round(sum(tp.weight * u0.weight), 9) AS sim FROM tp JOIN u0 USING (tag) GROUP BY 1, 2),
 warm AS (SELECT user_id, item_id, score, 0 AS o, rank AS r, 'cf' AS source FROM rec WHERE user_id % 100 = 0 AND rank <= 30),
 cold AS (SELECT user_id, item_id, sim AS score, 1 AS o, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, item_id) AS r, 'cold' AS source FROM cs
-  WHERE sim > 0 AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM lk) AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM warm)),
+  WHERE sim > 0 AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.user_id = cs.user_id AND lk.item_id = cs.item_id) AND NOT EXISTS (SELECT 1 FROM warm WHERE warm.user_id = cs.user_id AND warm.item_id = cs.item_id)),
 al AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o, r) AS rank FROM (SELECT * FROM warm UNION ALL SELECT * FROM cold)) SELECT user_id, item_id, round(score, 6) AS score, source, rank FROM al WHERE rank <= 60""")
 def _(spark, d):
     warm = recs_of(spark, d, 30).where("user_id % 100 = 0").select("user_id", "item_id", "score")
@@ -226,27 +225,37 @@ def _(spark, d):
 _STEER = f"{_CF.replace('WITH ', 'WITH ' + TAGS + ', unit AS (SELECT item_id, tag, weight / sqrt(sum(weight * weight) OVER (PARTITION BY item_id)) AS weight FROM tags), ', 1)}"
 
 
-@query("steered_rerank", f"""{_STEER}, ps AS (SELECT user_id, tag, sum(w * weight) AS weight FROM prof JOIN unit USING (item_id) WHERE user_id % 100 = 0 GROUP BY 1, 2), tp AS (SELECT user_id, tag, weight / sqrt(sum(weight * weight) OVER (PARTITION BY user_id)) AS weight FROM ps),
-cs AS (SELECT user_id, item_id, sum(tp.weight * unit.weight) AS sim FROM tp JOIN unit USING (tag) GROUP BY 1, 2),
+_CONTENT = "ps AS (SELECT user_id, tag, sum(w * weight) AS weight FROM prof JOIN unit USING (item_id) GROUP BY 1, 2), tp AS (SELECT user_id, tag, weight / sqrt(sum(weight * weight) OVER (PARTITION BY user_id)) AS weight FROM ps)"
+_OF_CANDS = "cs AS (SELECT rec.user_id, rec.item_id, sum(tp.weight * unit.weight) AS sim FROM rec JOIN unit ON unit.item_id = rec.item_id JOIN tp ON tp.user_id = rec.user_id AND tp.tag = unit.tag WHERE rank <= {k} GROUP BY 1, 2)"
+
+
+def content_of_candidates(spark, d, cands):
+    return content.candidate_scores(cands, tag_profiles_of(spark, d), content.unit_rows(tags_of(spark, d)))
+
+
+@query("steered_rerank", f"""{_STEER}, {_CONTENT}, {_OF_CANDS.format(k=100)},
 asp AS (SELECT item_id, count(*) / 2.0 AS aspect FROM tags WHERE tag IN ('red', 'ring') GROUP BY 1),
-c0 AS (SELECT rec.user_id, rec.item_id, rec.score, coalesce(sim, 0) AS sim, coalesce(aspect, 0) AS aspect FROM rec LEFT JOIN cs ON cs.user_id = rec.user_id AND cs.item_id = rec.item_id LEFT JOIN asp ON asp.item_id = rec.item_id WHERE rec.user_id % 100 = 0 AND rank <= 100),
+c0 AS (SELECT rec.user_id, rec.item_id, rec.score, round(coalesce(sim, 0), 9) AS sim, coalesce(aspect, 0) AS aspect FROM rec LEFT JOIN cs ON cs.user_id = rec.user_id AND cs.item_id = rec.item_id LEFT JOIN asp ON asp.item_id = rec.item_id WHERE rank <= 100),
 c1 AS (SELECT *, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-12) AS s, 1 - (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w + 1e-12) AS nv FROM c0 WINDOW w AS (PARTITION BY user_id))
 SELECT user_id, item_id, round(s * pow(least(greatest(nv, 1e-6), 1), 2.0) * (1 + aspect), 6) AS score FROM c1""")
 def _(spark, d):
-    cands = recs_of(spark, d, 100).where("user_id % 100 = 0").select("user_id", "item_id", "score")
-    return recommend.steered(cands, content_of(spark, d), recommend.STRENGTH["medium"], content.aspect_scores(tags_of(spark, d), ["red", "ring"]))
+    cands = recs_of(spark, d, 100).select("user_id", "item_id", "score")
+    sims = content_of_candidates(spark, d, cands).withColumn("sim", F.round("sim", 9))
+    return recommend.steered(cands, sims, recommend.STRENGTH["medium"], content.aspect_scores(tags_of(spark, d), ["red", "ring"]))
 
 
-@query("interleave", f"{_CF}, l AS (SELECT user_id AS list, item_id, rank AS pos FROM rec WHERE user_id % 100 = 0 AND rank <= 50), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos, list) AS n FROM l), g AS (SELECT item_id, list, pos, row_number() OVER (ORDER BY pos, list) AS rank FROM f WHERE n = 1) SELECT item_id, list, pos, rank FROM g WHERE rank <= 100")
+@query("interleave", f"{_CF}, l AS (SELECT user_id AS list, item_id, rank AS pos FROM rec WHERE rank <= 50), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos, list) AS n FROM l), g AS (SELECT item_id, list, pos, row_number() OVER (ORDER BY pos, list) AS rank FROM f WHERE n = 1) SELECT item_id, list, pos, rank FROM g WHERE rank <= 100")
 def _(spark, d):
-    lists = recs_of(spark, d, 50).where("user_id % 100 = 0").select(F.col("user_id").alias("list"), "item_id", F.col("rank").alias("pos"))
+    lists = recs_of(spark, d, 50).select(F.col("user_id").alias("list"), "item_id", F.col("rank").alias("pos"))
     return recommend.interleaved(lists, 100).select("item_id", "list", "pos", "rank")
 
 
-_FUSE = f"""{_CF}, sc2 AS (SELECT user_id, item_id, score / max(score) OVER (PARTITION BY user_id) AS s FROM cf WHERE user_id % 100 = 0 AND score > 0), nu AS (SELECT count(DISTINCT user_id) AS u FROM sc2),
-dense AS (SELECT us.user_id, it.item_id, coalesce(s, 0) AS s FROM (SELECT DISTINCT user_id FROM sc2) us CROSS JOIN (SELECT DISTINCT item_id FROM sc2) it LEFT JOIN sc2 ON sc2.user_id = us.user_id AND sc2.item_id = it.item_id)"""
-for _how, _expr in (("min", "min(s)"), ("geomean", "exp(avg(ln(s + 1e-9))) - 1e-9"), ("balanced", "avg(s) - 0.5 * stddev_pop(s)")):
-    query(f"fuse_{_how}", f"{_FUSE} SELECT item_id, round({_expr}, 6) AS score FROM dense GROUP BY item_id")(lambda spark, d, how=_how: recommend.fused(cf_of(spark, d).where("user_id % 100 = 0 and score > 0"), how))
+# Items that a user lacks count as 0 there; their number, not their rows, is what the sums need.
+_FUSE = f"""{_CF}, sc2 AS (SELECT user_id, item_id, score / max(score) OVER (PARTITION BY user_id) AS s FROM cf WHERE score > 0), nu AS (SELECT count(DISTINCT user_id)::DOUBLE AS u FROM sc2),
+f AS (SELECT item_id, count(*) AS c, min(s) AS low, sum(s) AS total, sum(s * s) AS squares, sum(ln(s + 1e-9)) AS logs, any_value(u) AS u FROM sc2 CROSS JOIN nu GROUP BY item_id)"""
+_HOW = {"min": "CASE WHEN c < u THEN least(low, 0.0) ELSE low END", "geomean": "exp((logs + (u - c) * ln(1e-9)) / u) - 1e-9", "balanced": "total / u - 0.5 * sqrt(greatest(squares / u - (total / u) * (total / u), 0.0))"}
+for _how, _expr in _HOW.items():
+    query(f"fuse_{_how}", f"{_FUSE} SELECT item_id, round({_expr}, 6) AS score FROM f")(lambda spark, d, how=_how: recommend.fused(cf_of(spark, d).where("score > 0"), how))
 
 
 @query("rank_fusion", f"""{_CF}, a AS (SELECT * FROM rec WHERE rank <= 50), b AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS rank FROM a)
@@ -257,19 +266,83 @@ def _(spark, d):
     return recommend.reciprocal_rank_fusion(a, b)
 
 
-@query("tag_gate", f"""{_STEER}, ps AS (SELECT user_id, tag, sum(w * weight) AS weight FROM prof JOIN unit USING (item_id) WHERE user_id % 100 = 0 GROUP BY 1, 2), tp AS (SELECT user_id, tag, weight / sqrt(sum(weight * weight) OVER (PARTITION BY user_id)) AS weight FROM ps),
-cs AS (SELECT user_id, item_id, round(sum(tp.weight * unit.weight), 9) AS sim FROM tp JOIN unit USING (tag) GROUP BY 1, 2),
-g0 AS (SELECT rec.user_id, rec.item_id, rec.rank, sim, (sim IS NULL OR sim >= 0.30) AS ok FROM rec LEFT JOIN cs ON cs.user_id = rec.user_id AND cs.item_id = rec.item_id WHERE rec.user_id % 100 = 0 AND rank <= 40),
+@query("tag_gate", f"""{_STEER}, {_CONTENT}, {_OF_CANDS.format(k=40)},
+g00 AS (SELECT rec.user_id, rec.item_id, rec.rank, round(sim, 9) AS sim FROM rec LEFT JOIN cs ON cs.user_id = rec.user_id AND cs.item_id = rec.item_id WHERE rank <= 40),
+g0 AS (SELECT *, (sim IS NULL OR sim >= 0.30) AS ok FROM g00),
 g1 AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE ok) OVER w AS kept, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(sim, 0) DESC, rank) AS best FROM g0 WINDOW w AS (PARTITION BY user_id))
 SELECT user_id, item_id, rank FROM g1 WHERE CASE WHEN kept >= 10 THEN ok ELSE best <= greatest(10, n // 2) END""")
 def _(spark, d):
-    cands = recs_of(spark, d, 40).where("user_id % 100 = 0").select("user_id", "item_id", "rank")
-    return recommend.tag_gated(cands, content_of(spark, d).withColumn("sim", F.round("sim", 9)))
+    cands = recs_of(spark, d, 40).select("user_id", "item_id", "rank")
+    return recommend.tag_gated(cands, content_of_candidates(spark, d, cands).withColumn("sim", F.round("sim", 9)))
+
+
+@query("coverage_counts", f"WITH {INTER}, {COOC}, r AS (SELECT DISTINCT i AS item_id FROM sim) SELECT count(*) AS n_pool, count(r.item_id) AS n_reachable, count(*) FILTER (WHERE r.item_id IS NULL) AS n_recovered FROM part LEFT JOIN r ON r.item_id = p_partkey")
+def _(spark, d):
+    return recommend.coverage_counts(tables.items(spark, d), cosines_of(spark, d).select(F.col("i").alias("item_id")))
+
+
+_GROUPS = f"""{_CF.replace('WITH ', f'WITH {_CAT}, ', 1)}, gm AS (SELECT DISTINCT user_id // 3 AS group_id, user_id FROM inter), gs AS (SELECT DISTINCT group_id, item_id FROM gm JOIN lk USING (user_id)),
+own AS (SELECT gm.group_id, cf.* FROM cf JOIN gm USING (user_id))"""
+_LEVELS = """lv AS (SELECT fl.*, 0 AS level FROM fl JOIN cat USING (item_id) WHERE coop AND korean UNION ALL SELECT fl.*, 1 FROM fl JOIN cat USING (item_id) WHERE korean UNION ALL SELECT fl.*, 2 FROM fl),
+en AS (SELECT group_id, min(level) FILTER (WHERE n >= 10) AS first FROM (SELECT group_id, level, count(*) AS n FROM lv GROUP BY 1, 2) GROUP BY 1),
+ch AS (SELECT lv.*, row_number() OVER (PARTITION BY lv.group_id ORDER BY place) AS rank FROM lv JOIN en ON en.group_id = lv.group_id WHERE level = coalesce(first, 2)) SELECT group_id, item_id, level, rank FROM ch WHERE rank <= 10"""
+
+
+def members_of(spark, d):
+    return inter_of(spark, d).select(F.floor(F.col("user_id") / 3).cast("long").alias("group_id"), "user_id").distinct()
+
+
+@query("group_interleave", f"""{_GROUPS}, l AS (SELECT *, row_number() OVER (PARTITION BY group_id, user_id ORDER BY score DESC, item_id) AS pos FROM own WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM gs WHERE gs.group_id = own.group_id AND gs.item_id = own.item_id)),
+f1 AS (SELECT *, row_number() OVER (PARTITION BY group_id, item_id ORDER BY pos, user_id) AS n FROM l WHERE pos <= 2000), fl AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY pos, user_id) AS place FROM f1 WHERE n = 1), {_LEVELS}""")
+def _(spark, d):
+    return recommend.group_plan(members_of(spark, d), cf_of(spark, d), liked_of(spark, d), catalogue_of(spark, d), {"coop": True, "korean": True}, 10)
+
+
+@query("group_balanced", f"""{_GROUPS}, sc2 AS (SELECT group_id, user_id, item_id, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE score END AS s FROM own WINDOW w AS (PARTITION BY group_id, user_id)), nu AS (SELECT group_id, count(DISTINCT user_id)::DOUBLE AS u FROM sc2 GROUP BY 1),
+fu AS (SELECT group_id, item_id, round(sum(s) / any_value(u) - 0.5 * sqrt(greatest(sum(s * s) / any_value(u) - (sum(s) / any_value(u)) * (sum(s) / any_value(u)), 0.0)), 9) AS score FROM sc2 JOIN nu USING (group_id) GROUP BY 1, 2),
+fl AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, item_id) AS place FROM fu WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM gs WHERE gs.group_id = fu.group_id AND gs.item_id = fu.item_id)), {_LEVELS}""")
+def _(spark, d):
+    return recommend.group_plan(members_of(spark, d), cf_of(spark, d), liked_of(spark, d), catalogue_of(spark, d), {"coop": True, "korean": True}, 10, "balanced")
+
+
+@query("plain_plan", f"""{_CF.replace('WITH ', f'WITH {_CAT}, ', 1)}, w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM cf WHERE score > 0),
+p AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY r) AS rank FROM w JOIN cat USING (item_id) WHERE r <= 200 AND coop AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.user_id = w.user_id AND lk.item_id = w.item_id)) SELECT user_id, item_id, rank FROM p WHERE rank <= 10""")
+def _(spark, d):
+    return recommend.plain_plan(cf_of(spark, d), liked_of(spark, d), catalogue_of(spark, d), {"coop": True}, 10)
+
+
+@query("provenance_tags", f"""{_CF.replace('WITH ', f'WITH {TAGS}, ', 1)}, part0 AS (SELECT p.user_id, p.item_id AS source, j AS item_id, w * round(sim, 9) AS part FROM prof p JOIN sim ON i = p.item_id JOIN rec r ON r.user_id = p.user_id AND r.item_id = j WHERE r.rank <= 5),
+pr AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY part DESC, source) AS rank FROM part0 WHERE part > 0), th AS (SELECT DISTINCT user_id, pr.item_id, tag FROM pr JOIN tags ON tags.item_id = source WHERE rank <= 3),
+tt AS (SELECT user_id, th.item_id, th.tag, row_number() OVER (PARTITION BY user_id, th.item_id ORDER BY weight DESC, th.tag) AS rank FROM th JOIN tags ON tags.item_id = th.item_id AND tags.tag = th.tag) SELECT user_id, item_id, tag, rank FROM tt WHERE rank <= 3""")
+def _(spark, d):
+    sources = recommend.contributions(profiles_of(spark, d), cosines_of(spark, d), recs_of(spark, d, 5))
+    return recommend.shared_tags(sources, tags_of(spark, d))
+
+
+_NEAR = "u1 AS (SELECT key, dim, weight / sqrt(sum(weight * weight) OVER (PARTITION BY key)) AS weight FROM kd), nb AS (SELECT a.key AS seed, b.key, round(sum(a.weight * b.weight), 9) AS sim FROM u1 a JOIN u1 b USING (dim) WHERE a.key IN (SELECT key FROM seeds) AND a.key <> b.key GROUP BY 1, 2), nr AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sim DESC, key) AS rank FROM nb)"
+
+
+@query("tag_neighbourhoods", f"""WITH {TAGS}, kd AS (SELECT tag AS key, item_id AS dim, weight FROM tags), wd AS (SELECT unnest(['steel', 'ring', 'economy', 'nothing']) AS word), sw AS (SELECT word, min(tag) AS seed FROM wd JOIN (SELECT DISTINCT tag FROM tags) ON contains(lower(tag), word) GROUP BY 1),
+seeds AS (SELECT seed AS key FROM sw), {_NEAR} SELECT word, nr.seed, key, round(sim, 6) AS sim, rank FROM sw JOIN nr ON nr.seed = sw.seed WHERE rank <= 10""")
+def _(spark, d):
+    return content.tag_neighbourhoods(tags_of(spark, d), ["steel", "ring", "economy", "nothing"])
+
+
+@query("item_spotcheck", f"""WITH {TAGS}, kd AS (SELECT item_id AS key, tag AS dim, weight FROM tags), seeds AS (SELECT p_partkey AS key FROM part ORDER BY 1 LIMIT 20), {_NEAR} SELECT seed, key, round(sim, 6) AS sim, rank FROM nr WHERE rank <= 10""")
+def _(spark, d):
+    rows = tags_of(spark, d).select(F.col("item_id").alias("key"), F.col("tag").alias("dim"), "weight")
+    return content.sparse_neighbours(rows, tables.items(spark, d).select(F.col("item_id").alias("key")).orderBy("key").limit(20), 10)
+
+
+_HELD = f"""WITH {INTER}, {LIKED}, sp AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ((item_id * 31 + user_id) * 7919 + 42) % 10007, item_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM lk), tr AS (SELECT user_id, item_id FROM sp WHERE n <= round_even(0.7 * c, 0)), ho AS (SELECT user_id, item_id FROM sp WHERE n > round_even(0.7 * c, 0)),
+dg AS (SELECT item_id, count(*) AS deg FROM lk GROUP BY 1), pc AS (SELECT a.item_id AS i, b.item_id AS j, count(*) AS c FROM lk a JOIN lk b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1, 2 HAVING count(*) >= 2), si AS (SELECT i, j, round(c / sqrt(x.deg * y.deg::DOUBLE), 9) AS sim FROM pc JOIN dg x ON x.item_id = i JOIN dg y ON y.item_id = j),
+cf AS (SELECT user_id, j AS item_id, round(sum(sim), 9) AS score FROM tr JOIN si ON i = item_id GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cf WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM tr WHERE tr.user_id = cf.user_id AND tr.item_id = cf.item_id)),
+h AS (SELECT user_id, count(*) AS hits FROM rk JOIN ho USING (user_id, item_id) WHERE rank <= 20 GROUP BY 1), n AS (SELECT user_id, count(*) AS n FROM ho GROUP BY 1)"""
 
 
-@query("coverage_counts", f"WITH {INTER}, {COOC}, r AS (SELECT DISTINCT i AS item_id FROM sim), {TAGS.split('votes AS', 1)[0]}votes AS {TAGS.split('votes AS', 1)[1]} SELECT count(*) AS n_pool, count(r.item_id) AS n_reachable, count(*) FILTER (WHERE r.item_id IS NULL AND p_partkey IN (SELECT item_id FROM tags)) AS n_recovered FROM part LEFT JOIN r ON r.item_id = p_partkey")
+@query("holdout_recall", f"{_HELD} SELECT count(*) AS n_users, round(avg(coalesce(hits, 0) / n::DOUBLE), 6) AS recall FROM n LEFT JOIN h USING (user_id)")
 def _(spark, d):
-    return recommend.coverage_counts(tables.items(spark, d), cosines_of(spark, d).select(F.col("i").alias("item_id")), tags_of(spark, d))
+    return evaluation.holdout_recall(liked_of(spark, d), cosines_of(spark, d), 20)
 
 
 @query("filter_pipeline", f"""{_CF.replace('WITH ', f'WITH {_CAT}, ', 1)} SELECT rec.user_id, rec.item_id, rank FROM rec JOIN cat ON cat.item_id = rec.item_id WHERE rank <= 200 AND (is_free OR price IS NOT NULL) AND coop""")
@@ -359,9 +432,15 @@ def _(spark, d):
     return metrics.novelty_calibration(recs_of(spark, d), metrics.popularity_percentile(popularity_of(spark, d)))
 
 
-@query("six_metrics", f"""{_CF} SELECT count(*) AS n FROM (SELECT DISTINCT user_id FROM rec WHERE rank <= 10 AND user_id IN (SELECT user_id FROM sc WHERE s > 0 AND s < 0.5))""")
+@query("six_metrics", f"""{_CF.replace('WITH ', f'WITH {_POP}, {_POPTOP}, {_VEC}, ', 1)}, truth AS (SELECT user_id, item_id FROM sc WHERE s > 0 AND s < 0.5), r10 AS (SELECT * FROM rec WHERE rank <= 10),
+h AS (SELECT user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM r10 JOIN truth USING (user_id, item_id) GROUP BY 1), n AS (SELECT user_id, count(*) AS n_true FROM truth GROUP BY 1),
+m AS (SELECT user_id, rank, v FROM r10 JOIN vec USING (item_id)), p AS (SELECT a.user_id, avg(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) AS ild FROM m a JOIN m b ON a.user_id = b.user_id AND a.rank < b.rank GROUP BY 1),
+nv AS (SELECT user_id, avg(-log2(greatest(popularity / (SELECT sum(popularity) FROM pop), 1e-12))) AS novelty FROM r10 JOIN pop USING (item_id) GROUP BY user_id),
+se AS (SELECT r10.user_id, avg(CASE WHEN truth.item_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pt WHERE pt.item_id = r10.item_id) THEN 1.0 ELSE 0.0 END) AS serendipity FROM r10 LEFT JOIN truth ON truth.user_id = r10.user_id AND truth.item_id = r10.item_id GROUP BY 1)
+SELECT user_id, round(coalesce(hits, 0) / n_true::DOUBLE, 6) AS recall, round(coalesce(hits, 0) / 10.0, 6) AS precision, round(coalesce(dcg, 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n_true, 10) + 1)]), 6) AS ndcg,
+  round(coalesce(ild, 0), 6) AS ild, round(novelty, 6) AS novelty, round(serendipity, 6) AS serendipity FROM n JOIN nv USING (user_id) JOIN se USING (user_id) LEFT JOIN h USING (user_id) LEFT JOIN p USING (user_id)""")
 def _(spark, d):
-    return metrics.evaluate(recs_of(spark, d, 10), truth_of(spark, d), item_vectors_of(spark, d), popularity_of(spark, d), popular_of(spark, d), 10).agg(F.count("*").alias("n"))
+    return metrics.evaluate(recs_of(spark, d, 10), truth_of(spark, d), item_vectors_of(spark, d), popularity_of(spark, d), popular_of(spark, d), 10)
 
 
 # Labels and validation.
@@ -420,10 +499,12 @@ def _(spark, d):
     return statistics.paired_bootstrap(*_two(spark, d), "id", "x")
 
 
-@query("wilcoxon", """WITH a AS (SELECT o_custkey AS id, round(avg(o_totalprice), 2) AS x, round(median(o_totalprice), 2) AS y FROM orders GROUP BY 1), d AS (SELECT round(y - x, 12) AS d FROM a WHERE round(y - x, 12) <> 0),
-r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d) SELECT count(*) AS n, round(least(sum(r) FILTER (WHERE d > 0), sum(r) - sum(r) FILTER (WHERE d > 0))::DOUBLE, 6) AS w FROM r""")
+@query("wilcoxon", f"""WITH a AS (SELECT o_custkey AS id, round(avg(o_totalprice), 2) AS x, round(median(o_totalprice), 2) AS y FROM orders GROUP BY 1), d AS (SELECT round(y - x, 12) AS d FROM a WHERE round(y - x, 12) <> 0),
+r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY abs(d)) AS c FROM d),
+t AS (SELECT count(*) AS n, least(sum(r) FILTER (WHERE d > 0), sum(r) - sum(r) FILTER (WHERE d > 0))::DOUBLE AS w, sum(c::DOUBLE * c - 1) AS ties FROM r),
+z AS (SELECT n, w, (w - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM t) SELECT n, round(w, 6) AS w, round(least(2 * {normal_cdf("z")}, 1.0), 6) AS p FROM z""")
 def _(spark, d):
-    return statistics.wilcoxon(*_two(spark, d), "id", "x").drop("p")
+    return statistics.wilcoxon(*_two(spark, d), "id", "x")
 
 
 @query("false_discovery_rate", """WITH t AS (SELECT p_brand AS name, avg(p_size) / 1000.0 AS p FROM part GROUP BY 1), r AS (SELECT name, p, p * count(*) OVER () / row_number() OVER (ORDER BY round(p, 9), name) AS raw, row_number() OVER (ORDER BY round(p, 9), name) AS n FROM t)

@@ -57,3 +57,13 @@ def json_list(spark: SparkSession, path: str, value: str = "value") -> DataFrame
     """A JSON array of strings as rows (position, value)."""
     text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", "array<string>")).alias("position", value))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """df as CSV parts with a header, beside each other in a new folder."""
+    df.write.mode("error").option("header", True).csv(path)
+
+
+def write_stats(df: DataFrame, path: str) -> None:
+    """A table of statistics as JSON lines in a new folder."""
+    df.write.mode("error").json(path)

@@ -90,22 +90,33 @@ def test_ease_matches_a_dense_solution(spark):
     draw = np.random.default_rng(7)
     rows = [(u, 10 + int(i), float(draw.uniform(0.1, 1))) for u in range(30) for i in draw.choice(12, draw.integers(3, 8), replace=False)]
     s = spark.createDataFrame(rows, "user_id long, item_id long, s double")
-    items, x, v, diag = ease.fit(s, ease.graph_users(s, least=1), lam=10.0)
+    model = ease.fit(s, ease.graph_users(s, least=1), lam=10.0)
     dense = np.zeros((30, 12))
     for u, i, w in rows:
         dense[u, i - 10] = w
     p = np.linalg.inv(dense.T @ dense + 10 * np.eye(12))
     b = -p / np.diag(p)
     np.fill_diagonal(b, 0)
-    full = ease.weights(spark, items, x, v, diag, 10.0, k=12, rows=5).toPandas()
+    full = ease.weights(model, k=12, item_block=5, rows=5).toPandas()
     got = np.zeros((12, 12))
     got[full["i"] - 10, full["j"] - 10] = full["sim"]
     assert np.allclose(got, b, atol=1e-5) and (got < 0).any()
-    cut = ease.weights(spark, items, x, v, diag, 10.0, k=4).toPandas()
+    cut = ease.weights(model, k=4, item_block=5).toPandas()
     for i, g in cut.groupby("i"):
         assert len(g) <= 4 and np.allclose(sorted(abs(g["sim"])), sorted(np.abs(b[i - 10]))[-4:], atol=1e-5)
-    profile = draw.random(12).astype(np.float32)
-    assert np.allclose(ease.exact_scores(x, v, diag, 10.0, profile), profile @ b, rtol=1e-3, atol=1e-4)
+    profile = draw.random(12)
+    profile[3] = 0
+    asked = spark.createDataFrame([(1, 10 + i, float(w)) for i, w in enumerate(profile) if w], "user_id long, item_id long, w double")
+    scored = {r.item_id - 10: r.score for r in ease.exact_scores(model, asked).collect()}
+    assert np.allclose([scored[i] for i in range(12)], profile @ b, rtol=1e-3, atol=1e-4)
+    with pytest.raises(ValueError):
+        ease.fit(s, ease.graph_users(s, least=1), max_side=5)
+
+
+def test_gram_of_a_heavy_user(spark):
+    rows = spark.createDataFrame([(1, i, 1.0) for i in range(50)] + [(2, 3, 2.0), (2, 4, 0.5)], "user_id long, item_id long, s double")
+    got = {(r.i, r.j): r.c for r in ease.gram(rows, block=8).collect()}
+    assert len(got) == 50 * 51 // 2 and got[3, 4] == 2.0 and got[3, 3] == 5.0 and got[0, 49] == 1.0
 
 
 def test_cooccurrence_and_containment(spark):
@@ -115,17 +126,18 @@ def test_cooccurrence_and_containment(spark):
 
 
 def test_relaxation_and_fallback(spark):
-    assert recommend.relaxed({"coop": True, "max_price": 10}) == ({"coop": True, "max_price": 15.0}, "max_price×1.5")
-    assert recommend.relaxed({"coop": True, "free": None}) == ({"free": None}, "drop:coop")
+    assert recommend.relaxed({"coop": True, "max_price": 10}) == ({"coop": True, "max_price": 15.0}, "looser max_price")
+    assert recommend.relaxed({"max_price": 0, "korean": True}) == ({"max_price": 0.0, "korean": True}, "looser max_price")
+    assert recommend.relaxed({"coop": True, "free": None}) == ({"free": None}, "without coop")
     assert recommend.relaxed({}) == ({}, None)
     cat = spark.createDataFrame([(1, True, False, 5.0, "KRW"), (2, False, False, 50.0, "KRW")], "item_id long, coop boolean, is_free boolean, price double, currency string").withColumns({c: F.lit(False) for c in ("multiplayer", "single_player", "korean")}).withColumn("release", F.lit(None).cast("string"))
     cands = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "user_id long, item_id long")
     kept, done = recommend.filtered_or_relaxed(cands, cat, {"coop": True, "max_price": 3}, 1)
     assert {r.item_id for r in kept.collect()} == {1, 2, 3} or done  # relaxed at most twice
     kept, done = recommend.filtered_or_relaxed(cands, cat, {"coop": True}, 2)
-    assert done == ["drop:coop"] and kept.count() == 3
+    assert done == ["without coop"] and kept.count() == 3
     kept, done = recommend.filtered_or_relaxed(cands, cat, {"coop": True}, 2, refilter_last=False)
-    assert done == ["drop:coop"] and {r.item_id for r in kept.collect()} == {1}
+    assert done == ["without coop"] and {r.item_id for r in kept.collect()} == {1}
 
 
 def test_routes():
@@ -155,13 +167,45 @@ def test_statistics(spark):
     assert {r.name: round(r.q, 6) for r in statistics.benjamini_hochberg(tests).collect()} == {"a": 0.03, "b": 0.04, "c": 0.04}
 
 
-def test_verdicts():
-    means = {"random": 0.01, "popularity": 0.1, "oracle": 1.0, "oracle_drop5": 0.9, "oracle_drop10": 0.8}
-    assert evaluation.verdicts(means, {"x": 0.3, "y": 0.2})["verdict"] == "USE"
-    assert evaluation.verdicts(means | {"popularity": 0.2}, {"x": 0.3, "y": 0.2})["verdict"] == "USE+DEBIAS"
-    assert evaluation.verdicts(means, {"x": 0.3})["verdict"] == "WEAK"
-    assert evaluation.verdicts(means | {"oracle": 0.5}, {})["verdict"] == "DEMOTE"
-    assert "oracle" in evaluation.report(means, evaluation.verdicts(means, {}))
+def test_verdicts(spark):
+    anchors = {"random": 0.01, "popularity": 0.1, "oracle": 1.0, "oracle_drop5": 0.9, "oracle_drop10": 0.8}
+
+    def verdict(real, **other):
+        rows = [*(anchors | other).items(), *real.items()]
+        return evaluation.verdicts(spark.createDataFrame(rows, "system string, recall double"), list(real)).first()
+
+    assert verdict({"x": 0.3, "y": 0.2}).verdict == "USE"
+    assert verdict({"x": 0.3, "y": 0.2}, popularity=0.2).verdict == "USE+DEBIAS"
+    assert verdict({"x": 0.3}).verdict == "WEAK"
+    last = verdict({}, oracle=0.5)
+    assert last.verdict == "DEMOTE" and last.spread == 0
+    assert "oracle" in evaluation.report(anchors, last.asDict())
+
+
+def test_cold_fill_gates_and_steered_fallback(spark):
+    warm = spark.createDataFrame([(1, 10, 5.0, 1)], "user_id long, item_id long, score double, rank int")
+    sims = spark.createDataFrame([(1, 20, 0.9), (1, 21, 0.8), (1, 22, 0.7), (2, 22, 0.6), (2, 23, 0.0)], "user_id long, item_id long, sim double")
+    pool = spark.createDataFrame([(i,) for i in (10, 20, 21, 22, 23)], "item_id long")
+    none = spark.createDataFrame([], "user_id long, item_id long")
+    cat = spark.createDataFrame([(20, False, None), (21, False, 5.0), (22, True, 0.0)], "item_id long, is_free boolean, price double")
+    signals = spark.createDataFrame([(21, None, 0.1, 0.5)], "item_id long, metacritic double, quality_pct double, pop_pct double")
+    got = recommend.cold_filled(warm, sims, pool, none, 2, cat, signals)
+    assert sorted((r.user_id, r.item_id, r.source) for r in got.collect()) == [(1, 10, "cf"), (1, 22, "cold"), (2, 22, "cold")]
+    steered = recommend.steered_list(warm, sims, 1.0, 5, signals, got)
+    assert sorted((r.user_id, r.item_id, r.source) for r in steered.collect()) == [(1, 10, "steer"), (2, 22, "cold")]
+
+
+def test_group_plan_relaxes_each_group_on_its_own(spark):
+    members = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "group_id long, user_id long")
+    scores = spark.createDataFrame([(1, 5, 3.0), (1, 6, 2.0), (1, 9, 1.0), (2, 7, 4.0), (2, 5, 1.0), (3, 5, 1.0), (3, 6, 0.5), (3, 7, -1.0)], "user_id long, item_id long, score double")
+    seen = spark.createDataFrame([(2, 9)], "user_id long, item_id long")
+    cat = spark.createDataFrame([(5, True, False), (6, False, True), (7, True, True)], "item_id long, coop boolean, korean boolean").withColumns({c: F.lit(False) for c in ("multiplayer", "single_player", "is_free")})
+    got = recommend.group_plan(members, scores, seen, cat, {"coop": True, "korean": False}, 2)
+    assert [(r.group_id, r.item_id, r.level) for r in got.orderBy("group_id", "rank").collect()] == [(1, 5, 0), (1, 7, 0), (2, 5, 1), (2, 6, 1)]
+    low = recommend.group_plan(members, scores, seen, cat, {}, 3, "min")
+    assert {r.item_id for r in low.where("group_id = 1").collect()} == {5}
+    assert [(r.user_id, r.item_id) for r in recommend.plain_plan(scores, seen, cat, {"coop": True}, 5, window=2).orderBy("user_id", "rank").collect()] == [(1, 5), (2, 7), (2, 5), (3, 5)]
+
 
 
 def test_oracle_lists(spark):
