@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from affinix.functions.maths import hashed_order
 from affinix.functions.windows import top_k
 from affinix.operators import catalogue, content, cooccurrence, ease, evaluation, metrics, recommend, scores, statistics
+from affinix.plans._frames import frames, once
 from affinix.plans._sql import COOC, INTER, LIKED, normal_cdf
-from affinix.plans.engagement import inter_of, rounded
+from affinix.plans.engagement import inter_of as made_inter_of
+from affinix.plans.engagement import rounded
 from affinix.plans.items import _CAT, _PAIRS, _POP, TAGS, catalogue_of, popularity_of, tags_of
 from affinix.sources import tables
 
@@ -23,7 +25,11 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(f):
-        QUERIES[name] = lambda spark, d: rounded(f(spark, d))
+        def run(spark, d):
+            with frames():
+                return rounded(f(spark, d))
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return f
@@ -31,12 +37,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def inter_of(spark, d):
+    return once(spark, "interactions", lambda: made_inter_of(spark, d))
+
+
 def liked_of(spark, d):
-    return cooccurrence.liked(scores.pctl_game(inter_of(spark, d)))
+    return once(spark, "liked", lambda: cooccurrence.liked(scores.pctl_game(inter_of(spark, d))))
 
 
 def cosines_of(spark, d):
-    return cooccurrence.conditional_cosine(liked_of(spark, d), min_count=2).withColumn("sim", F.round("sim", 9))
+    return once(spark, "cosines", lambda: cooccurrence.conditional_cosine(liked_of(spark, d), min_count=2).withColumn("sim", F.round("sim", 9)))
 
 
 @query("cooccurrence", f"WITH {INTER}, {COOC} SELECT i, j, c FROM half")
@@ -67,7 +77,7 @@ def profiles_of(spark, d):
 
 
 def cf_of(spark, d):
-    return cooccurrence.cf_scores(cosines_of(spark, d), profiles_of(spark, d)).withColumn("score", F.round("score", 9))
+    return once(spark, "scores", lambda: cooccurrence.cf_scores(cosines_of(spark, d), profiles_of(spark, d)).withColumn("score", F.round("score", 9)))
 
 
 def recs_of(spark, d, k=20):
