@@ -28,9 +28,14 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below /tmp/checkpoints where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{top.rstrip('/')}/affinix-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir.
+
+    Where that is unset, as in tests, below /tmp/checkpoints if executors run in the driver's process; on a cluster they don't share it, so it is refused.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(top or 'file:///tmp/checkpoints').rstrip('/')}/affinix-{uuid.uuid4().hex}"
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from affinix.functions.windows import top_k
 from affinix.llm._components import components
-from affinix.llm._shared import chunks, gram_hashes, mixed, shared_folder, span_hashes, word_bounds, written
+from affinix.llm._shared import chunks, free_name, gram_hashes, mixed, shared_folder, span_hashes, word_bounds, written
 
 SHINGLE = 5
 #: Cells of the sketch (a power of two) and the blocks that it is summed in.
@@ -340,15 +340,18 @@ def linked_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """docs with one row of each component, that with the lowest doc_id; all columns stay.
+    """docs with one row of each component, that with the lowest doc_id; all columns stay, whatever their names.
 
-    Rows without words are in no component: all stay, but of wholly equal ids and texts one stays.
+    Rows without words (null, empty or white texts) are in no component: all stay, but of wholly equal
+    ids and texts one stays.  A null doc_id is the lowest only where there is no other; ties go by a hash of the text.
+    An empty table stays empty.
     """
     found = _linked(docs, folder or shared_folder(docs.sparkSession))
-    keep = found.groupBy(F.coalesce("root", "row").alias("of"), F.col("root").isNull().alias("empty")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
+    name = free_name(docs, "_row")
+    keep = found.groupBy(F.coalesce("root", "row").alias("of"), F.col("root").isNull().alias("empty")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(name))
     base = docs.columns
-    kept = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(keep.distinct(), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*base)
+    kept = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(keep.distinct(), name, "left_semi")
+    return kept.dropDuplicates([name]).select(*base)
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,8 +79,13 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found = []
     for kind, pattern, group, least in BASE:
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    base = [(s, e) for _, s, e in found]
-    found += [("entropy", s, e) for s, e in entropy_spans(text) if not any(a <= s and e <= b for a, b in base)]
+    # A base span covers a run if, of those that begin no later, one ends no earlier.
+    base = sorted((s, e) for _, s, e in found)
+    starts, far = [s for s, _ in base], list(accumulate((e for _, e in base), max))
+    for s, e in entropy_spans(text):
+        before = bisect_right(starts, s)
+        if not before or far[before - 1] < e:
+            found.append(("entropy", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -90,8 +97,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): counts of each kind, all spans, and the digest of the base spans.
 
     One pass without a shuffle.  Null and empty texts have no spans (empty
-    string; the digest is that of the empty string).  Repeated rows give
-    repeated results; other columns are not looked at.
+    string; the digest is that of the empty string); texts of any length are read whole, in
+    time in proportion to it.  Spans that begin together come in the order of KINDS.  Repeated rows give
+    repeated results, an empty table none; other columns, whatever their names, are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +115,10 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with every span of every kind replaced by mask; all columns stay."""
+    """docs with every span of every kind replaced by mask, overlapping ones by one; all columns stay.
+
+    Null stays null, empty stays empty, repeated rows are treated alike.
+    """
     names = docs.columns
     at = names.index("text")
 

@@ -154,6 +154,78 @@ def test_pseudonyms(spark):
     assert out.where("text = ''").count() == 1 and pii.pseudonymised(docs.limit(0)).count() == 0
 
 
+def brute_feistel(a, m, b, n, kind, key):
+    for r in range(pii.ROUNDS):
+        shift = int(hashlib.sha256(f"{key}|{kind}|{r}|{b}|{m}".encode()).hexdigest()[:15], 16)
+        a, b, m, n = b, (a + shift) % m, n, m
+    return a, b
+
+
+def luhn(body):
+    total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(body)))
+    return str(-total % 10)
+
+
+def brute_pseudonym(m, key):
+    """The pseudonym of a match whose kind its shape tells."""
+    import datetime
+
+    digits = re.sub(r"\D", "", m)
+
+    def laid(new):
+        new = iter(new)
+        return re.sub(r"\d", lambda _: next(new), m)
+
+    if "@" in m:
+        local, domain = m.split("@")
+        return "u" + hashlib.sha256(f"{key}|email|{local.lower()}".encode()).hexdigest()[:10] + "@" + domain
+    if m.count(".") == 3:
+        o = [int(x) for x in m.split(".")]
+        a, b = brute_feistel(o[0] * 256 + o[1], 65536, o[2] * 256 + o[3], 65536, "ip", key)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if m.startswith("+1"):
+        area, exchange, line = int(digits[1:4]), int(digits[4:7]), int(digits[7:])
+        if area >= 200 and exchange >= 200:
+            a, b = brute_feistel((area - 200) * 800 + exchange - 200, 640_000, line, 10_000, "phone", key)
+            return laid(f"1{a // 800 + 200}{a % 800 + 200}{b:04}")
+        a, b = brute_feistel(area * 100 + exchange // 10, 100_000, exchange % 10 * 10_000 + line, 100_000, "loose-phone", key)
+        return laid(f"1{a:05}{b:05}")
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+        area, group, serial = (int(x) for x in m.split("-"))
+        if 0 < area < 900 and area != 666 and group and serial:
+            a, b = brute_feistel(area - 2 if area > 666 else area - 1, 898, (group - 1) * 9999 + serial - 1, 99 * 9999, "ssn", key)
+            return laid(f"{a + 2 if a >= 665 else a + 1:03}{b // 9999 + 1:02}{b % 9999 + 1:04}")
+        a, b = brute_feistel(area, 1000, group * 10_000 + serial, 10**6, "loose-ssn", key)
+        return laid(f"{a:03}{b:06}")
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", m):
+        try:
+            day = (datetime.date.fromisoformat(m) - datetime.date(1900, 1, 1)).days
+        except ValueError:
+            return m
+        a, b = brute_feistel(day // 4297, 17, day % 4297, 4297, "date", key)
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(a * 4297 + b))
+    valid = luhn(digits[:-1]) == digits[-1]
+    inner = len(digits) - (2 if valid else 1)
+    left = inner // 2
+    a, b = brute_feistel(int(digits[1 : 1 + left]), 10**left, int(digits[1 + left : 1 + inner]), 10 ** (inner - left), "card" if valid else "number", key)
+    body = digits[0] + f"{a:0{left}}" + f"{b:0{inner - left}}"
+    return laid(body + luhn(body) if valid else body)
+
+
+def test_pseudonyms_by_brute_force(spark):
+    draw = random.Random(3)
+    n = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
+    made = []
+    for _ in range(60):
+        body = draw.choice("3456") + n(14)
+        made += [body + luhn(body), draw.choice("3456") + n(15), f"+1 ({n(3)}) {n(3)}-{n(4)}", f"+1-{n(3)}-{n(3)}-{n(4)}", f"{n(3)}-{n(2)}-{n(4)}", f"{draw.choice((19, 20))}{n(2)}-{draw.choice('01')}{draw.choice('012')}-{draw.choice('0123')}{n(1)}", ".".join(str(draw.randrange(256)) for _ in range(4)), f"Ab.{n(3)}@mail.example.org"]
+    rows = [(i, f"a {m}; b {draw.choice(made)} c") for i, m in enumerate(made)]
+    got = {r.doc_id: r.text for r in pii.pseudonymised(frame(spark, rows)).collect()}
+    for i, t in rows:
+        parts = re.fullmatch(r"a (.*); b (.*) c", t)
+        assert got[i] == f"a {brute_pseudonym(parts[1], pii.KEY)}; b {brute_pseudonym(parts[2], pii.KEY)} c", t
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(17 * 40).select(F.floor(F.col("id") / 40).alias("a"), (F.col("id") % 40).alias("b"))
     out = pairs.select(pii.feistel(F.col("a"), 17, F.col("b"), 40, "t", "k").alias("f")).select("f.a", "f.b").distinct()
@@ -351,6 +423,79 @@ def test_secrets(spark):
     assert [r.text for r in secret_scan.redacted(frame(spark, [(1, texts[3] + " z"), (2, None)])).orderBy("doc_id").collect()] == ["x [secret] y 0123456789abcde z", None]
 
 
+def brute_base(text):
+    """The base kinds by trying every place, without regular expressions."""
+    low = text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text)
+    out, alnum = [], set(string.ascii_letters + string.digits)
+    value = alnum | set("+/_.=-")
+
+    def run(i, allowed):
+        j = i
+        while j < len(text) and text[j] in allowed:
+            j += 1
+        return j
+
+    i = 0
+    while i < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, i):
+                for quote in (1, 0):  # greedy, then without
+                    j = i + len(word)
+                    if quote:
+                        if text[j : j + 1] not in ("'", '"') or not text[j : j + 1]:
+                            continue
+                        j += 1
+                    j = run(j, " ")
+                    if text[j : j + 1] in (":", "=") and text[j : j + 1]:
+                        j = run(j + 1, " ")
+                        if text[j : j + 1] in ("'", '"') and text[j : j + 1]:
+                            j += 1
+                        if run(j, value) > j:
+                            end, begin = run(j, value), j
+                            break
+            if end:
+                break
+        if end:
+            if end - begin >= 12:
+                out.append((i, 0, f"assign:{i}:{end}"))
+            i = end
+        else:
+            i += 1
+    for kind, head, allowed, least in ((1, "AKIA", set(string.ascii_uppercase + string.digits), 18), (2, "", set("0123456789abcdef"), 16)):
+        i = 0
+        while i < len(text):
+            end = run(i + len(head), allowed) if text.startswith(head, i) else i
+            if end > i + len(head):
+                if end - i >= least:
+                    out.append((i, kind, f"{'assign access hex'.split()[kind]}:{i}:{end}"))
+                i = end
+            else:
+                i += 1
+    return [x for _, _, x in sorted(out)]
+
+
+def test_base_secrets_by_brute_force(spark):
+    draw = random.Random(18)
+    bits = ["password", "Secret", "TOKEN", "api_key", "apikey", "passwd", " ", "=", ":", '"', "'", "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "dead", "x9", "é", ".", "longvalue123"]
+    rows = [(i, "".join(draw.choice(bits) for _ in range(draw.randint(0, 25)))) for i in range(1500)] + [(5000, None), (5001, ""), (5002, "token=" + "a1" * 20_000), (5003, "secret: " * 20_000), (7, "token = abcdefabcdefabcdef01"), (7, "token = abcdefabcdefabcdef01")]
+    got = sorted([(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secret_scan.secret_spans(frame(spark, rows)).collect()])
+    want = []
+    for d, t in rows:
+        spans = brute_base(t or "")
+        want.append((d, *[sum(x.startswith(k) for x in spans) for k in ("assign", "access", "hex")], hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    assert got == sorted(want) and sum(x[1] for x in got) > 100 and sum(x[3] for x in got) > 50
+    assert secret_scan.secret_spans(frame(spark, [])).count() == 0 and secret_scan.redacted(frame(spark, [])).count() == 0
+
+
+def test_a_long_text_full_of_spans_is_scanned_in_time():
+    import time
+
+    began = time.time()
+    found = secret_scan.scan(" ".join(f"token=a{k:015} 9fQ2xL7vB4nK8sT1mW6zR3{k:04}" for k in range(20_000)))
+    assert len(found) == 60_000 and time.time() - began < 30
+
+
 def test_sliding_entropy():
     draw = random.Random(8)
     for _ in range(50):
