@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,11 +35,28 @@ def average_percent_rank(value: Column | str, by: Column | str) -> Column:
     return F.when(n > 1, (average_rank(value, [by]) - 1) / (n - 1)).otherwise(1.0)
 
 
-def ordinal_percent(value: Column | str, tie: Column | str, by: list[Column | str] | None = None) -> Column:
-    """Place from 0 by (value, tie) over n - 1, 0 for a single row."""
-    keys = [col(b) for b in by] if by else [F.lit(0)]
-    w = Window.partitionBy(*keys)
-    return (F.row_number().over(w.orderBy(col(value), col(tie))) - 1) / F.greatest(F.count(F.lit(1)).over(w) - 1, F.lit(1))
+def placed(df: DataFrame, value: str, tie: str, name: str = "place", total: str = "n_rows", parts: int = 64) -> DataFrame:
+    """df with each row's place from 0 by (value, tie), both numbers, nulls first, and the number of rows.
+
+    Rows are numbered within ranges between approximate quantiles, and the sizes of
+    the ranges before are added.  A value that is a quantile itself has a range of its
+    own, which is cut again by the ties' quantiles; so a common value is many ranges too.
+    """
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, shares, 10_000))).alias("_vs"), F.percentile_approx(tie, shares, 10_000).alias("_ts"))
+    below = lambda cut, x: F.size(F.filter(cut, lambda c: c < F.col(x)))
+    own = F.array_contains("_vs", F.col(value))
+    ranged = df.join(F.broadcast(cuts)).withColumn("_a", F.when(F.col(value).isNull(), -1).otherwise(2 * below("_vs", value) + own.cast("int"))).withColumn("_b", F.when(own, below("_ts", tie)).otherwise(0)).drop("_vs", "_ts")
+    sizes = ranged.groupBy("_a", "_b").agg(F.count("*").alias("_n"))  # parts * (parts + 1) rows at most
+    order = Window.orderBy("_a", "_b")
+    before = sizes.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).withColumn(total, F.sum("_n").over(Window.partitionBy(F.lit(0)))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(value, tie)) - 1
+    return ranged.withColumn("_place", place).join(F.broadcast(before), ["_a", "_b"]).withColumn(name, F.col("_before") + F.col("_place")).drop("_a", "_b", "_place", "_before")
+
+
+def ordinal_percent(df: DataFrame, value: str, tie: str, name: str = "pct") -> DataFrame:
+    """df with the place from 0 by (value, tie) over n - 1, 0 for a single row."""
+    return placed(df, value, tie, "_at", "_total").withColumn(name, F.col("_at") / F.greatest(F.col("_total") - 1, F.lit(1))).drop("_at", "_total")
 
 
 def top_k(df, k: int, by: list[str], order: list[Column], rank: str = "rank"):

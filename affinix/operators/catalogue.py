@@ -88,7 +88,7 @@ def score_quality(reviews: DataFrame, prior: float = 20.0) -> DataFrame:
 
 def quality_percentile(quality: DataFrame, least_reviews: int = 5) -> DataFrame:
     """(item_id, pct): place by q among items with enough reviews."""
-    return quality.where(F.col("n") >= least_reviews).select("item_id", ordinal_percent("q", "item_id").alias("pct"))
+    return ordinal_percent(quality.where(F.col("n") >= least_reviews).select("item_id", "q"), "q", "item_id").select("item_id", "pct")
 
 
 def popularity_floor(pool: DataFrame, rates: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def gini(values: DataFrame, value: str = "value") -> DataFrame:
 
 
 def popularity_percentile(popularity: DataFrame) -> DataFrame:
-    return popularity.select("item_id", ordinal_percent("popularity", "item_id").alias("pct"))
+    return ordinal_percent(popularity.select("item_id", "popularity"), "popularity", "item_id").select("item_id", "pct")
 
 
 def novelty_calibration(recs: DataFrame, percentiles: DataFrame) -> DataFrame:

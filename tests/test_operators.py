@@ -113,6 +113,19 @@ def test_ease_matches_a_dense_solution(spark):
         ease.fit(s, ease.graph_users(s, least=1), max_side=5)
 
 
+def test_places_with_ties_and_nulls(spark):
+    from affinix.functions.windows import ordinal_percent, placed
+
+    draw = np.random.default_rng(2)
+    rows = [(i, None if i % 50 == 0 else float(draw.integers(0, 5)) if i % 2 else float(draw.normal())) for i in range(3000)]
+    got = {r.i: (r.place, r.n_rows) for r in placed(spark.createDataFrame(rows, "i long, v double").repartition(5), "v", "i", parts=8).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[0]))
+    assert got == {i: (k, 3000) for k, (i, _) in enumerate(want)}
+    same = ordinal_percent(spark.range(101).select("id", F.lit(1.0).alias("v")), "v", "id")
+    assert {r.id: r.pct for r in same.collect()} == {i: i / 100 for i in range(101)}
+    assert ordinal_percent(spark.createDataFrame([(1, 2.0)], "i long, v double"), "v", "i").first().pct == 0
+
+
 def test_gram_of_a_heavy_user(spark):
     rows = spark.createDataFrame([(1, i, 1.0) for i in range(50)] + [(2, 3, 2.0), (2, 4, 0.5)], "user_id long, item_id long, s double")
     got = {(r.i, r.j): r.c for r in ease.gram(rows, block=8).collect()}
