@@ -18,6 +18,7 @@ TAG_ALIASES = {
 }
 #: How a title's series name ends.
 SERIES_END = r"\s+(?:[ivx]+|\d+)(?:\s|:|$)|\s*:\s*"
+#: Words that mean yes, and the formats of dates in the order in which they are tried.
 TRUE_WORDS = ["1", "true", "t", "y", "yes"]
 DATE_FORMATS = ["MMM d, yyyy", "d MMM, yyyy", "MMM yyyy", "yyyy"]
 

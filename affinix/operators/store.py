@@ -29,9 +29,9 @@ def updated(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str])
 
 
 def interned(known: DataFrame, names: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
-    """known(keys, id) with ids added for new names: above the highest, in order of the keys, without gaps.
+    """known(keys, id) with ids added for new names: above the highest, without gaps.
 
-    Ranks are within ranges of a hash, whose sizes are added up, so no task sorts all names.
+    New ids follow ranges of a hash of the first key, and within a range the keys' order; ranks are within those ranges, whose sizes are added up, so no task sorts all names.
     """
     fresh = names.select(*keys).distinct().join(known.select(*keys), keys, "left_anti").withColumn("_part", F.pmod(F.xxhash64(keys[0]), F.lit(256)))
     sizes = fresh.groupBy("_part").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

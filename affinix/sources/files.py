@@ -25,9 +25,13 @@ def summary(info: DataFrame) -> DataFrame:
     return info.groupBy(F.lower(F.regexp_extract("name", r"(\.[^.]*)?$", 1)).alias("extension")).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
-def account_numbers(texts: DataFrame, text: str, benign: list[str]) -> DataFrame:
+#: Fixed value: how an account number looks.
+ACCOUNT = r"7656119\d{10}"
+
+
+def account_numbers(texts: DataFrame, text: str, benign: list[str], pattern: str = ACCOUNT) -> DataFrame:
     """Rows whose text holds account numbers that aren't known to be harmless, with those numbers."""
-    found = F.array_distinct(F.array_except(F.regexp_extract_all(text, F.lit(r"(7656119\d{10})"), F.lit(1)), F.array(*[F.lit(b) for b in benign]).cast("array<string>")))
+    found = F.array_distinct(F.array_except(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(*[F.lit(b) for b in benign]).cast("array<string>")))
     return texts.withColumn("numbers", found).where("size(numbers) > 0")
 
 
