@@ -45,8 +45,8 @@ BANDS = 4
 MAX_BITS = 12
 MIN_VOTES = 4
 #: Corners of a list that vote all with all; and entries of a block of a longer one.
-SHORT = 256
-BLOCK = 64
+SHORT = 16
+BLOCK = 128
 IMAGE_SCHEMA = "image_id long, width int, height int, pixels binary"
 
 
@@ -135,14 +135,28 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-_CORNER = "key long, cls long, x float, y float, scale float, angle float, low long, high long"
+_CORNER = "key long, cls long, place long, low long, high long"
 _CORNER_NAMES = [c.split()[0] for c in _CORNER.split(", ")]
 _VOTE = "a long, b long, at long, s int, t int, u int, v int"
 _VOTE_NAMES = [c.split()[0] for c in _VOTE.split(", ")]
 
 
+def packed_places(x: np.ndarray, y: np.ndarray, scale: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """Corners in 64 bits: x and y in 64ths of a pixel (22 bits each, so up to 65,535 pixels), the scale's eighth octave (8), and the angle (12)."""
+    turn = np.rint(np.asarray(angle) / (2 * np.pi) * 4096).astype(np.int64) % 4096
+    octave = np.rint(-8 * np.log2(scale)).astype(np.int64)
+    return np.rint(np.asarray(x) * 64).astype(np.int64) << 42 | np.rint(np.asarray(y) * 64).astype(np.int64) << 20 | octave << 12 | turn
+
+
+def _opened(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, scale and angle of packed corners."""
+    p = place.view(np.uint64)
+    part = lambda at, bits: (p >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.float64)
+    return part(42, 22) / 64, part(20, 22) / 64, 2.0 ** (-part(12, 8) / 8), part(0, 12) / 4096 * 2 * np.pi
+
+
 def _described(images: DataFrame) -> DataFrame:
-    """A row per corner and band: key (the band's number and bits), cls, x, y, scale, angle, low and high (the 128 bits)."""
+    """A row per corner and band: key (the band's number and bits), cls, place (see packed_places), low and high (the 128 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +171,7 @@ def _described(images: DataFrame) -> DataFrame:
                     packed = np.packbits(bits, axis=1, bitorder="little")
                     words, bands = packed.reshape(-1).view("<i8").reshape(-1, 2), packed.reshape(-1).view("<u4").reshape(-1, BANDS).astype(np.int64)
                     key = (bands | np.arange(BANDS) << 32).T.ravel()
-                    rest = [cls[rows][image], x.astype(np.float32), y.astype(np.float32), scale.astype(np.float32), angle.astype(np.float32), words[:, 0], words[:, 1]]
+                    rest = [cls[rows][image], packed_places(x, y, scale, angle), words[:, 0], words[:, 1]]
                     yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.tile(c, BANDS)) for c in rest]], _CORNER_NAMES)
 
     return images.select("cls", "width", "height", "pixels").mapInArrow(run, _CORNER)
@@ -170,13 +184,13 @@ def _votes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.nd
     i, j = i[keep], j[keep]
     i, j = np.where(c["cls"][i] < c["cls"][j], i, j), np.where(c["cls"][i] < c["cls"][j], j, i)
     full = 2 * np.pi
-    turn = (c["angle"][j].astype(float) - c["angle"][i]) % full
-    ratio = c["scale"][i].astype(float) / c["scale"][j]
-    x, y = c["x"][i].astype(float), c["y"][i].astype(float)
+    x, y, size, angle = _opened(c["place"][i])
+    to_x, to_y, to_size, to_angle = _opened(c["place"][j])
+    turn, ratio = (to_angle - angle) % full, size / to_size
     # Where a's origin comes to lie in b under that turn and scale.
-    dx = c["x"][j] - ratio * (np.cos(turn) * x - np.sin(turn) * y)
-    dy = c["y"][j] - ratio * (np.sin(turn) * x + np.cos(turn) * y)
-    at = (np.rint(x * 100).astype(np.int64) << 32) + np.rint(y * 100).astype(np.int64)
+    dx = to_x - ratio * (np.cos(turn) * x - np.sin(turn) * y)
+    dy = to_y - ratio * (np.sin(turn) * x + np.cos(turn) * y)
+    at = c["place"][i] >> 20
     cells = (np.rint(4 * np.log2(ratio)), np.floor(turn / full * 24) % 24, np.floor(dx / 8), np.floor(dy / 8))
     return [c["cls"][i], c["cls"][j], at, *[v.astype(np.int32) for v in cells]]
 
@@ -192,7 +206,7 @@ def _listed(corners: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", *_VOTE_NAMES, *_CORNER_NAMES]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), *[pa.float32()] * 4, pa.int64(), pa.int64()]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * len(_CORNER_NAMES)]
 
         def made(votes: list[np.ndarray] | None, entries: dict[str, np.ndarray] | None) -> pa.RecordBatch:
             n, m = (len(votes[0]) if votes else 0), (len(entries["key"]) if entries else 0)
@@ -304,8 +318,8 @@ def _across(entries: DataFrame, roots: DataFrame) -> DataFrame:
     by_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
     lists = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("length"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1").drop("roots")
     torn = placed.join(lists, "key")
-    part = F.expr(f"pmod(xxhash64(cls, x, y, scale), greatest(1, cast(length / {BLOCK} as int)))")
-    fields = ("cls", "root", "x", "y", "scale", "angle", "low", "high")
+    part = F.expr(f"pmod(xxhash64(cls, place), greatest(1, cast(length / {BLOCK} as int)))")
+    fields = ("cls", "root", "place", "low", "high")
     blocks = torn.groupBy("key", part.alias("part")).agg(*[F.collect_list(c).alias(f"b_{c}") for c in fields]).drop("part")
     met = torn.where("root <> main").select("key", *fields).join(blocks, "key").drop("key")
 
