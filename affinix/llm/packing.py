@@ -226,6 +226,10 @@ def _packed_shard(pdf: pd.DataFrame, capacity: int, level: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["key", "length", "sequence_id", "offset", "fill"])
 
 
+def _shard_packer(capacity: int, level: int):
+    return lambda pdf: _packed_shard(pdf, capacity, level)
+
+
 def placed_pieces(pieces: DataFrame, folder: str, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """(key, sequence_id, offset), written, for pieces(key, length); as few sequences as best fit with local search finds.
 
@@ -240,7 +244,7 @@ def placed_pieces(pieces: DataFrame, folder: str, capacity: int = CAPACITY, shar
         if not n:
             break
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(level)), F.lit(shards)).cast("int")).repartition(shards, "shard")
-        made = written(dealt.groupBy("shard").applyInPandas(lambda pdf, level=level: _packed_shard(pdf, capacity, level), "key long, length long, sequence_id long, offset long, fill long"), f"{folder}/level-{level}")
+        made = written(dealt.groupBy("shard").applyInPandas(_shard_packer(capacity, level), "key long, length long, sequence_id long, offset long, fill long"), f"{folder}/level-{level}")
         again = F.lit(shards > 1) & (2 * F.col("fill") <= capacity)
         out.append(made.where(~again).select("key", "sequence_id", "offset"))
         left, level = made.where(again).select("key", "length"), level + 1
