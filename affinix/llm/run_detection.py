@@ -299,13 +299,15 @@ def with_runs(docs: DataFrame, text: str = "text", names: tuple[str, str] = ("ru
 
 def with_planted_tail(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) in which a tenth of the texts, by a checksum of doc_id, end in repetitions of their own words; a null doc_id or text is left alone."""
-    words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
-    h = F.crc32(F.col("doc_id").cast("string"))
-    g, n = F.floor(h / 10).cast("long"), F.size(words).cast("long")
+    w, h = free_name(docs, "words"), F.crc32(F.col("doc_id").cast("string"))
+    listed = docs.withColumn(w, F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))))
+    g, n = F.floor(h / 10).cast("long"), F.size(w).cast("long")
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
-    return docs.withColumn("text", F.when((h % 10 == 0) & F.rlike("text", F.lit(WORDS)), made).otherwise(F.col("text")))
+    whole = lambda x: x.cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(w, whole(a + 1), whole(p)), whole(F.ceil((n - a) / p))))
+    made = F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), whole(a)), tail), F.lit(1), whole(n)), " ")
+    return listed.withColumn("text", F.when(F.size(w) > 0, made).otherwise(F.col("text"))).drop(w)
 
 
 def run_digests(found: DataFrame) -> DataFrame:
