@@ -16,6 +16,7 @@ helps.  A bin's pieces count by length: two of one length can't be told apart.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -38,11 +39,12 @@ LEVEL_BITS, SHARD_BITS = 57, 24
 
 
 def write_pieces(docs: DataFrame, folder: str, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
-    """(key, doc_id, piece, start, length, ids), written: the pieces of each text's ids and the end id behind them.
+    """(key, doc_id, piece, start, length, width, ids, ids_crc32), written: the pieces of each text's ids and the end id behind them.
 
     A null or empty text is the end id alone.  Texts of any length are encoded whole; a
     null doc_id stays null, and rows that repeat are pieces as often as they come: key tells them apart.
-    ids: little-endian unsigned 32-bit.  Other columns, whatever their names, are not looked at.
+    ids: little-endian, unsigned, of width bytes: 2 where the vocabulary allows it, else 4; ids_crc32 is the
+    unsigned checksum of the same ids in 4 bytes.  Other columns, whatever their names, are not looked at.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -51,6 +53,7 @@ def write_pieces(docs: DataFrame, folder: str, tokenizer_path: str, capacity: in
 
         key = TaskContext.get().partitionId() << KEY_BITS
         encoder = shared_encoder(tokenizer_path, special_as_text)
+        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -58,15 +61,16 @@ def write_pieces(docs: DataFrame, folder: str, tokenizer_path: str, capacity: in
                 for doc_id, made in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids = made + end
                     n = len(ids) // 4
-                    cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        rows.append((key, doc_id, k, a, b - a, ids[4 * a : 4 * b]))
-                        key += 1
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "piece", "start", "length", "ids"])
+                    short = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
+                    a = 0
+                    for k, b in enumerate(range((n - 1) % capacity + 1, n + 1, capacity)):
+                        rows.append((key, doc_id, k, a, b - a, width, short[width * a : width * b], zlib.crc32(ids[4 * a : 4 * b])))
+                        a, key = b, key + 1
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "doc_id", "piece", "start", "length", "width", "ids", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(encode, "key long, doc_id long, piece int, start long, length long, ids binary"), folder, compression="zstd")
+    return written(rows.mapInArrow(encode, "key long, doc_id long, piece int, start long, length long, width int, ids binary, ids_crc32 long"), folder, compression="zstd")
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
@@ -271,5 +275,4 @@ def op12_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces, placed = packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
-    digests = pieces.select("key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return digests.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pieces.drop("ids", "width").join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -151,7 +151,8 @@ def test_packed_documents_against_the_tokenizer(spark, shard):
     docs = collections.defaultdict(list)
     got = pieces.join(placed, "key").orderBy("key").collect()
     for r in got:
-        ids = np.frombuffer(r.ids, "<u4").tolist()
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert r.width == 2 and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         assert len(ids) == r.length <= 256 and (r.length == 256 or r.piece == 0)
         if r.piece == 0:
             assert r.start == 0
@@ -168,7 +169,7 @@ def test_packed_documents_against_the_tokenizer(spark, shard):
     least = packing.least_bins(np.array([r.length for r in got]), 256)
     assert least <= len(places) <= least + 2
     whole = packing.sequences(pieces, placed).collect()
-    assert len(whole) == len(places) and all(len(r.ids) == 4 * r.n_ids for r in whole)
+    assert len(whole) == len(places) and all(len(r.ids) == 2 * r.n_ids for r in whole)
     by_place = {(r.sequence_id, r.offset): r.ids for r in got}
     assert all(bytes(r.ids) == b"".join(bytes(by_place[r.sequence_id, o]) for o in r.starts) for r in whole)
 
