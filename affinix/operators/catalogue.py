@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinix.functions import text
 from affinix.functions.text import apply_alias, json_weights, normalize_tag, price_of, split_list
 from affinix.functions.windows import ordinal_percent, top_k
 
@@ -141,3 +142,41 @@ def neighbours_by_tags(rows: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     both = left.join(rows.select("item_id", "tag"), "tag").where("seed <> item_id").groupBy("seed", "item_id").agg(F.count("*").alias("c"))
     sim = both.join(sizes.select(F.col("item_id").alias("seed"), F.col("n").alias("ns")), "seed").join(sizes, "item_id").select("seed", "item_id", (F.col("c") / (F.col("ns") + F.col("n") - F.col("c"))).alias("sim"))
     return top_k(sim, k, ["seed"], [F.desc("sim"), F.asc("item_id")])
+
+
+#: Characters of the pieces by which titles are looked up.
+GRAM = 4
+
+
+def _grams(x: Column, n: int | Column) -> Column:
+    """The distinct pieces of n characters; none of a shorter text."""
+    return F.when(F.length(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n) if isinstance(n, int) else n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _parts_of(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataFrame:
+    """(part, whole) of texts that hold another of GRAM characters or more, found by that one's rarest piece."""
+    pieces = wholes.select(whole, F.explode(_grams(F.col(whole), GRAM)).alias("_g"))
+    counts = pieces.groupBy("_g").agg(F.count("*").alias("_c"))
+    own = parts.where(F.length(part) >= GRAM).select(part, F.explode(_grams(F.col(part), GRAM)).alias("_g")).join(counts, "_g", "left")
+    # A piece that no text holds rules its title out: it is the rarest of all.
+    rarest = own.groupBy(part).agg(F.min_by("_g", F.struct(F.coalesce("_c", F.lit(0)), "_g")).alias("_g"))
+    return rarest.join(pieces, "_g").where(F.contains(whole, part)).select(part, whole)
+
+
+def title_matches(wanted: DataFrame, titles: DataFrame) -> DataFrame:
+    """(wanted, title): which of titles(title) each of wanted(wanted) means, as text.titles_match says, without comparing all with all.
+
+    Titles within each other are found by pieces of GRAM characters and then compared (wanted ones of two or
+    three characters by pieces of their length); series by the beginnings of a title that end with a word.  Null and repeated ones are passed over.
+    """
+    w = wanted.where("wanted is not null").select("wanted", F.lower(F.trim("wanted")).alias("_w")).distinct().where(F.length("_w") >= 2)
+    t = titles.where("title is not null").select("title", F.lower(F.trim("title")).alias("_t")).distinct()
+    ws, ts = w.select("_w").distinct(), t.select("_t").distinct()
+    within = _parts_of(ts, "_t", ws, "_w").select("_w", "_t").union(_parts_of(ws, "_w", ts, "_t").select("_w", "_t"))
+    short = ws.where(F.length("_w") < GRAM)
+    pieces = ts.select("_t", F.explode(F.concat(*[_grams(F.col("_t"), n) for n in range(2, GRAM)])).alias("_w"))
+    begun = F.transform(F.filter(F.sequence(F.lit(1), F.length("_t")), lambda i: F.substr(F.col("_t"), i + 1, F.lit(1)).isin(" ", ":", "")), lambda i: F.substr(F.col("_t"), F.lit(1), i))
+    starts = ts.where(F.length("_t") > 0).select("_t", F.explode(F.array_distinct(begun)).alias("_p"))
+    series = ws.withColumn("_p", text.series_prefix(F.col("_w"))).where(F.length("_p") >= 4).join(starts, "_p").select("_w", "_t")
+    pairs = within.union(short.join(pieces, "_w").select("_w", "_t")).union(series).distinct()
+    return pairs.join(w, "_w").join(t, "_t").select("wanted", "title")

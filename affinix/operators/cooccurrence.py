@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinix.functions.windows import top_k
@@ -17,15 +17,43 @@ def liked(scores: DataFrame, pool: DataFrame | None = None, threshold: float = 0
     return rows.join(enough, "user_id", "left_semi")
 
 
-def pair_counts(rows: DataFrame, value: str | None = None) -> DataFrame:
-    """(i, j, c), i < j: over users that have both, their number, or the sum of the product of their values.
+#: Items of a block of a user's items; users with more are met block by block.
+BLOCK = 256
 
-    The pool filter belongs before this join: a user's pairs grow with the square of the user's items.
+
+def item_pairs(rows: DataFrame, columns: list[str], same: bool = False, block: int = BLOCK) -> DataFrame:
+    """(user_id, i, j, a_<column>, b_<column> ...), i < j (same: i <= j): every pair of a user's items, once.
+
+    A user of more than block items is cut into blocks of like size by a hash of the item,
+    and each pair of blocks is a key of its own; so a heavy user is many tasks, and others are joined as they are.
+    """
+    sized = rows.select("user_id", "item_id", *columns).withColumn("_n", F.ceil(F.count("*").over(Window.partitionBy("user_id")) / block).cast("int"))
+    meet = F.col("i") <= F.col("j") if same else F.col("i") < F.col("j")
+
+    def side(d: DataFrame, item: str, mark: str, *more: str) -> DataFrame:
+        return d.select("user_id", F.col("item_id").alias(item), *[F.col(c).alias(f"{mark}_{c}") for c in columns], *more)
+
+    light = sized.where("_n = 1")
+    few = side(light, "i", "a").join(side(light, "j", "b"), "user_id").where(meet)
+    heavy = sized.where("_n > 1").withColumn("_own", F.pmod(F.xxhash64("item_id"), F.col("_n")).cast("int"))
+    left = side(heavy.withColumn("_other", F.explode(F.sequence("_own", F.col("_n") - 1))), "i", "a", "_own", "_other")
+    right = side(heavy.withColumn("_other", F.col("_own")).withColumn("_own", F.explode(F.sequence(F.lit(0), F.col("_own")))), "j", "b", "_own", "_other")
+    many = left.join(right, ["user_id", "_own", "_other"]).where((F.col("_own") < F.col("_other")) | meet)
+    # Items of different blocks meet in the order of their blocks.
+    turn = F.col("i") > F.col("j")
+    swapped = [F.when(turn, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}") for c in columns for x, y in (("a", "b"), ("b", "a"))]
+    many = many.select("user_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), *swapped)
+    return few.select(*many.columns).union(many)
+
+
+def pair_counts(rows: DataFrame, value: str | None = None, same: bool = False, block: int = BLOCK) -> DataFrame:
+    """(i, j, c), i < j (same: i <= j): over users that have both, their number, or the sum of the product of their values.
+
+    Sums are made in the tasks that make the pairs, before they are shuffled.
     """
-    a = rows.select("user_id", F.col("item_id").alias("i"), *([F.col(value).alias("x")] if value else []))
-    b = rows.select("user_id", F.col("item_id").alias("j"), *([F.col(value).alias("y")] if value else []))
-    c = F.sum(F.col("x") * F.col("y")) if value else F.count("*")
-    return a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(c.alias("c"))
+    pairs = item_pairs(rows, [value] if value else [], same, block)
+    c = F.sum(F.col(f"a_{value}") * F.col(f"b_{value}")) if value else F.count("*")
+    return pairs.groupBy("i", "j").agg(c.alias("c"))
 
 
 def degrees(rows: DataFrame) -> DataFrame:
@@ -46,12 +74,27 @@ def neighbours(cosines: DataFrame, n: int) -> DataFrame:
     return top_k(cosines, n, ["i"], [F.desc("sim"), F.asc("j")])
 
 
-def containment_pairs(rows: DataFrame, threshold: float = 0.98, min_own: int = 3) -> DataFrame:
-    """(i, j), both ways round: items of which nearly all owners of the rarer own the other too."""
+def containment_pairs(rows: DataFrame, threshold: float = 0.98, min_own: int = 3, block: int = BLOCK) -> DataFrame:
+    """(i, j), both ways round: items of which nearly all owners of the rarer own the other too.
+
+    Owners are put in an order, those with the fewest items first.  Of the d owners of the rarer item
+    all but d - ceil(threshold * d) have the other, so one of its first d - ceil(threshold * d) + 1
+    has it: only what these own is a candidate, and is counted whole.  Items owned equally often go by id.
+    """
     d = degrees(rows.select("user_id", "item_id")).where(F.col("deg") >= min_own)
-    owned = rows.select("user_id", "item_id").join(d.select("item_id"), "item_id", "left_semi")
-    di, dj = d.select(F.col("item_id").alias("i"), F.col("deg").alias("di")), d.select(F.col("item_id").alias("j"), F.col("deg").alias("dj"))
-    half = pair_counts(owned).join(di, "i").join(dj, "j").where(F.col("c") >= threshold * F.least("di", "dj")).select("i", "j")
+    owned = rows.select("user_id", "item_id").join(d, "item_id")
+    sized = owned.withColumn("_size", F.count("*").over(Window.partitionBy("user_id")))
+    # Counts and thresholds are compared as in c >= threshold * d; the margin keeps rounding from cutting a prefix short.
+    need = F.ceil(threshold * F.col("deg") - 1e-9)
+    first = sized.withColumn("_r", F.row_number().over(Window.partitionBy("item_id").orderBy("_size", "user_id"))).where(F.col("_r") <= F.col("deg") - need + 1)
+    # A user's items are cut into blocks, each of which meets the prefixes that hold the user.
+    blocks = F.ceil(F.col("_size") / block).cast("int")
+    probes = first.select("user_id", F.col("item_id").alias("i"), F.col("deg").alias("di"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"))
+    theirs = sized.select("user_id", F.col("item_id").alias("j"), F.col("deg").alias("dj"), F.pmod(F.xxhash64("item_id"), blocks).cast("int").alias("_b"))
+    rarer = (F.col("di") < F.col("dj")) | ((F.col("di") == F.col("dj")) & (F.col("i") < F.col("j")))
+    candidates = probes.join(theirs, ["user_id", "_b"]).where(rarer).select("i", "j", "di").distinct()
+    both = candidates.join(owned.select("user_id", F.col("item_id").alias("i")), "i").join(owned.select("user_id", F.col("item_id").alias("j")), ["user_id", "j"], "left_semi")
+    half = both.groupBy("i", "j").agg(F.count("*").alias("c"), F.first("di").alias("di")).where(F.col("c") >= threshold * F.col("di")).select("i", "j")
     return half.union(half.select("j", "i"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinix.functions.maths import cosine
-from affinix.functions.windows import ordinal_percent
+from affinix.functions.windows import ordinal_percent, scanned
 
 
 def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -69,11 +69,10 @@ def catalog_coverage(recs: DataFrame, n_items: DataFrame) -> DataFrame:
 def gini(values: DataFrame, value: str = "value") -> DataFrame:
     """One row: the Gini coefficient; 0 if there is nothing or it sums to 0.
 
-    Equal values are counted first, so what is ordered is one row for each distinct value.
+    Equal values are counted first; running counts are made in ranges of the distinct values.
     """
     counts = values.groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value)
-    placed = counts.withColumn("_before", F.sum("c").over(w) - F.col("c"))
+    placed = scanned(counts, value, value, {"_upto": "c"}).withColumn("_before", F.col("_upto") - F.col("c"))
     weighted = F.sum(F.col(value) * (F.col("c") * F.col("_before") + F.col("c") * (F.col("c") + 1) / 2))
     return placed.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), weighted.alias("ranked"), F.sum(F.col(value) * F.col("c")).alias("total")).select(F.when((F.col("n") > 0) & (F.coalesce("total", F.lit(0.0)) != 0), 2 * F.col("ranked") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")).otherwise(0.0).alias("gini"))
 

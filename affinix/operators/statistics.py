@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import exp, factorial
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinix.functions.maths import normal_cdf
+from affinix.functions.windows import placed, scanned
 
 
 def finite(df: DataFrame, *names: str) -> DataFrame:
@@ -14,18 +17,29 @@ def finite(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+#: Fixed value: a prime below 2^31, so that products of two residues fit 63 bits.
+PRIME = 2_147_483_647
+
+
+def drawn(key: Column, resample: Column, seed: int) -> Column:
+    """A pseudo-random residue of PRIME for a whole-number key and a resample, by integer arithmetic that every engine shares."""
+    x = (F.pmod(key.cast("long"), F.lit(PRIME)) * 48_271 + resample * 69_621 + seed) % PRIME
+    for add in (40_692, 16_807, 950_706):  # squares part what lines leave together
+        x = (x * x + x * add + add) % PRIME
+    return x
+
+
+#: The distribution function of a Poisson variable of mean 1, below which its values 0, 1, ... lie.
+POISSON = tuple(sum(exp(-1) / factorial(j) for j in range(i + 1)) for i in range(12))
+
+
 def bootstrap_means(values: DataFrame, value: str, key: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """(b, mean): means of resamples, each value weighted by a Poisson(1) count hashed from its key, the resample and the seed.
+    """(b, mean): means of resamples, each value weighted by a Poisson(1) count drawn from its key, a whole number, the resample and the seed.
 
     The Poisson form of the bootstrap needs no row numbers, and only sums are shuffled.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("b"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    steps, total, p = [], 0.0, 2.718281828459045**-1
-    for i in range(12):
-        total += p
-        p /= i + 1
-        steps.append(total)
-    count = sum((F.when(F.col("u") >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    u = drawn(F.col(key), F.col("b"), seed).alias("u")
+    count = sum((F.when(F.col("u") >= int(s * PRIME), 1).otherwise(0) for s in POISSON), F.lit(0))
     many = finite(values, value).select(key, F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select("b", "v", u).withColumn("n", count)
     return many.groupBy("b").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("mean")).where("mean is not null")
 
@@ -45,11 +59,11 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, key: str, value: str, resamples
 def wilcoxon(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """One row: n (without zero differences), w (the smaller rank sum) and p, two-sided by the normal approximation with ties; null p if all are equal.
 
-    Equal absolute differences are counted first; what is ordered is one row for each.
+    Equal absolute differences are counted first; running counts are made in ranges of them.
     """
     d = finite(a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key), "x", "y").select(F.round(F.col("y") - F.col("x"), 12).alias("d")).where("d <> 0")
     sizes = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("c"), F.count(F.when(F.col("d") > 0, 1)).alias("up"))
-    placed = sizes.withColumn("r", F.sum("c").over(Window.orderBy("size")) - (F.col("c") - 1) / 2)
+    placed = scanned(sizes, "size", "size", {"_upto": "c"}).withColumn("r", F.col("_upto") - (F.col("c") - 1) / 2)
     s = placed.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.col("up") * F.col("r")).alias("plus"), F.sum(F.col("r") * F.col("c")).alias("all"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
     n = F.col("n").cast("double")
     w = F.least("plus", F.col("all") - F.col("plus"))
@@ -58,8 +72,10 @@ def wilcoxon(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", key: str = "name") -> DataFrame:
-    """tests with q: the lowest p * m / rank over the ranks from its own on, 1 at most."""
-    w = Window.orderBy(p, key)
-    m = F.count("*").over(Window.partitionBy(F.lit(0)))
-    d = tests.withColumn("_raw", F.col(p) * m / F.row_number().over(w))
-    return d.withColumn("q", F.least(F.min("_raw").over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))).drop("_raw")
+    """tests with q: the lowest p * m / rank over the ranks from its own on, 1 at most; ties of p go by a hash of the key.
+
+    Ranks and the lowest values behind them are made in ranges of p.
+    """
+    ranked = placed(tests.withColumn("_tie", F.xxhash64(key)), p, "_tie", "_at", "_m")
+    d = ranked.withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_at") + 1))
+    return scanned(d, p, "_tie", lows={"_low": "_raw"}).withColumn("q", F.least("_low", F.lit(1.0))).select(*tests.columns, "q")

@@ -245,9 +245,8 @@ SELECT wanted, p_partkey AS item_id FROM p JOIN part ON contains(lower(p_name),
 def _(spark, d):
     items = tables.items(spark, d)
     wanted = items.select(F.lower(F.concat("type", F.lit(" "), "name")).alias("wanted")).distinct()
-    names = items.select("name").distinct()
-    hits = names.join(F.broadcast(wanted), text.titles_match(F.col("wanted"), F.col("name")))
-    return items.join(hits, "name").select("wanted", "item_id")
+    hits = catalogue.title_matches(wanted, items.select(F.col("name").alias("title")))
+    return items.join(hits, items["name"] == hits["title"]).select("wanted", "item_id")
 
 
 @query("vote_words", "SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS voted FROM lineitem")

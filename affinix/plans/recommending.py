@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from affinix.functions.maths import hashed_order
 from affinix.functions.windows import top_k
-from affinix.operators import catalogue, content, cooccurrence, ease, evaluation, metrics, recommend, scores, statistics
-from affinix.plans._frames import frames, once
+from affinix.operators import catalogue, content, cooccurrence, ease, evaluation, metrics, recommend, scores, statistics, vector_search
+from affinix.plans._frames import frames, new_folder, once
 from affinix.plans._sql import COOC, INTER, LIKED, normal_cdf
 from affinix.plans.engagement import inter_of as made_inter_of
 from affinix.plans.engagement import rounded
@@ -103,7 +103,8 @@ def _(spark, d):
 
 def _model(spark, d):
     s = scores.pctl_game(inter_of(spark, d)).withColumn("s", F.round("s", 9))
-    return s, ease.weights(ease.fit(s, ease.graph_users(s)))
+    model = ease.fit(s, ease.graph_users(s), folder=new_folder(spark))
+    return s, ease.weights(model, folder=new_folder(spark))
 
 
 @query("ease_b_topk")
@@ -118,6 +119,50 @@ def _(spark, d):
     return recommend.ranked(ease.model_scores(played, b), 20, played)
 
 
+# The model of few items: six classes of parts, so that SQL can invert their matrix by elimination.
+_CLASSES = 6
+
+
+def class_scores_of(spark, d):
+    """(user_id, item_id, s): a class's share of what a user has played, for users that ease.graph_users takes."""
+    rows = inter_of(spark, d).where("playtime > 0").groupBy("user_id", (F.col("item_id") % _CLASSES).cast("long").alias("item_id")).agg(F.sum("playtime").alias("p"))
+    return rows.select("user_id", "item_id", F.round(F.col("p") / F.sum("p").over(Window.partitionBy("user_id")), 4).alias("s"))
+
+
+def _eliminated() -> str:
+    """Gauss-Jordan elimination of (i, j, v) in g with unit columns beside it, one common table for each pivot."""
+    n = _CLASSES
+    steps = ["m0 AS (SELECT i, j, v FROM g UNION ALL SELECT i, i + %d, 1.0 FROM (SELECT DISTINCT i FROM g) UNION ALL SELECT a.i, b.i + %d, 0.0 FROM (SELECT DISTINCT i FROM g) a JOIN (SELECT DISTINCT i FROM g) b ON a.i <> b.i)" % (n, n)]
+    for p in range(n):
+        steps.append(f"p{p} AS MATERIALIZED (SELECT j, v / (SELECT v FROM m{p} WHERE i = {p} AND j = {p}) AS v FROM m{p} WHERE i = {p}), m{p + 1} AS MATERIALIZED (SELECT r.i, r.j, CASE WHEN r.i = {p} THEN q.v ELSE r.v - f.v * q.v END AS v FROM m{p} r JOIN p{p} q ON q.j = r.j JOIN m{p} f ON f.i = r.i AND f.j = {p})")
+    return ", ".join([*steps, f"pm AS (SELECT i, j - {n} AS j, v FROM m{n} WHERE j >= {n})"])
+
+
+_EASE = f"""WITH {INTER}, ps AS (SELECT user_id, item_id % {_CLASSES} AS item_id, sum(playtime) AS p FROM inter WHERE playtime > 0 GROUP BY 1, 2), cs AS (SELECT user_id, item_id, round(p / sum(p) OVER (PARTITION BY user_id), 4) AS s FROM ps),
+gu AS (SELECT user_id FROM cs WHERE s > 0 GROUP BY 1 HAVING count(*) >= 5 ORDER BY (user_id * 7919 + 20260720) % 1000003, user_id LIMIT 12000), k AS (SELECT * FROM cs WHERE s > 0 AND user_id IN (SELECT user_id FROM gu)),
+g AS MATERIALIZED (SELECT x.item_id AS i, y.item_id AS j, sum(x.s * y.s) + CASE WHEN x.item_id = y.item_id THEN 100.0 ELSE 0.0 END AS v FROM k x JOIN k y ON x.user_id = y.user_id GROUP BY 1, 2), {_eliminated()},
+bw AS (SELECT a.i, a.j, -a.v / d.v AS sim FROM pm a JOIN pm d ON d.i = a.j AND d.j = a.j WHERE a.i <> a.j)"""
+
+
+def _class_model(spark, d):
+    s = class_scores_of(spark, d)
+    return s, ease.fit(s, ease.graph_users(s))
+
+
+@query("ease_class_weights", f"{_EASE}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY abs(sim) DESC, j) AS n FROM bw WHERE sim <> 0) SELECT i, j, round(sim, 6) AS sim FROM r WHERE n <= 3")
+def _(spark, d):
+    return ease.weights(_class_model(spark, d)[1], 3)
+
+
+@query("ease_class_recommend", f"""{_EASE}, sc AS (SELECT user_id, j AS item_id, round(sum(s * sim), 9) AS score FROM cs JOIN bw ON i = item_id WHERE s > 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.user_id = sc.user_id AND cs.item_id = sc.item_id AND cs.s >= 0.2)) SELECT user_id, item_id, round(score, 6) AS score, rank FROM r WHERE rank <= 4""")
+def _(spark, d):
+    """Ranks whole score vectors, negative scores among them, without the classes that make up a fifth of a user's time."""
+    s, model = _class_model(spark, d)
+    made = ease.model_scores(s.withColumnRenamed("s", "w"), ease.weights(model, _CLASSES)).withColumn("score", F.round("score", 9))
+    return recommend.ranked(made, 4, s.where("s >= 0.2"))
+
+
 @query("provenance", f"""{_CF}, part AS (SELECT p.user_id, p.item_id AS source, j AS item_id, w * round(sim, 9) AS part FROM prof p JOIN sim ON i = p.item_id JOIN rec r ON r.user_id = p.user_id AND r.item_id = j WHERE r.rank <= 5),
 pr AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY part DESC, source) AS rank FROM part WHERE part > 0) SELECT user_id, item_id, source, round(part, 6) AS part, rank FROM pr WHERE rank <= 3""")
 def _(spark, d):
@@ -153,7 +198,7 @@ _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(l
 r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sim DESC, id) AS rank FROM s) SELECT seed, id, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10""")
 def _(spark, d):
     v = vectors_of(spark, d)
-    return content.nearest_vectors(v, v.where("id % 100 = 0"), 10)
+    return vector_search.nearest_vectors(v, v.where("id % 100 = 0"), 10, folder=new_folder(spark))
 
 
 @query("popularity_similar", f"WITH {_POP}, r AS (SELECT item_id, popularity, row_number() OVER (ORDER BY popularity DESC, item_id) AS rank FROM pop) SELECT item_id, popularity, rank FROM r WHERE rank <= 50")
@@ -199,11 +244,11 @@ def _(spark, d):
 
 
 @query("novelty_scores", f"""WITH {_CEN}, nt AS (SELECT item_id, count(*) AS n FROM tags GROUP BY 1), kn AS (SELECT user_id, item_id, sum(centrality) AS c FROM cen JOIN tags USING (tag) GROUP BY 1, 2)
-SELECT u.user_id, p_partkey AS item_id, round(1 - coalesce(c / nt.n, 0), 6) AS novelty FROM (SELECT user_id FROM ls WHERE user_id % 100 = 0) u CROSS JOIN part LEFT JOIN kn ON kn.user_id = u.user_id AND kn.item_id = p_partkey LEFT JOIN nt ON nt.item_id = p_partkey""")
+SELECT user_id, item_id, round(1 - c / nt.n, 6) AS novelty FROM kn JOIN nt USING (item_id) WHERE user_id % 100 = 0""")
 def _(spark, d):
-    lk, tg = liked_of(spark, d), tags_of(spark, d)
-    users = lk.where("user_id % 100 = 0").select("user_id").distinct()
-    return content.novelty_scores(content.tag_centrality(lk, tg).where("user_id % 100 = 0"), tg, users, tables.items(spark, d))
+    """Rows that differ from 1 only."""
+    tg = tags_of(spark, d)
+    return content.novelty_scores(content.tag_centrality(liked_of(spark, d), tg).where("user_id % 100 = 0"), tg)
 
 
 @query("aspect_scores", f"WITH {TAGS} SELECT item_id, round(count(*) / 3.0, 6) AS aspect FROM tags WHERE tag IN ('red', 'ring', 'economy') GROUP BY item_id")
@@ -268,8 +313,8 @@ for _how, _expr in _HOW.items():
     query(f"fuse_{_how}", f"{_FUSE} SELECT item_id, round({_expr}, 6) AS score FROM f")(lambda spark, d, how=_how: recommend.fused(cf_of(spark, d).where("score > 0"), how))
 
 
-@query("rank_fusion", f"""{_CF}, a AS (SELECT * FROM rec WHERE rank <= 50), b AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS rank FROM a)
-SELECT a.user_id, a.item_id, round(1.0 / (60 + a.rank - 1) + 1.0 / (60 + b.rank - 1), 6) AS score, a.rank AS ra FROM a JOIN b ON a.user_id = b.user_id AND a.item_id = b.item_id""")
+@query("rank_fusion", f"""{_CF}, a AS (SELECT user_id, item_id, rank, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS rb FROM rec WHERE rank <= 50)
+SELECT user_id, item_id, round(1.0 / (60 + rank - 1) + 1.0 / (60 + rb - 1), 6) AS score, rank AS ra FROM a""")
 def _(spark, d):
     a = recs_of(spark, d, 50)
     b = a.select("user_id", "item_id", F.row_number().over(Window.partitionBy("user_id").orderBy("item_id")).alias("rank"))
@@ -293,7 +338,7 @@ def _(spark, d):
 
 _GROUPS = f"""{_CF.replace('WITH ', f'WITH {_CAT}, ', 1)}, gm AS (SELECT DISTINCT user_id // 3 AS group_id, user_id FROM inter), gs AS (SELECT DISTINCT group_id, item_id FROM gm JOIN lk USING (user_id)),
 own AS (SELECT gm.group_id, cf.* FROM cf JOIN gm USING (user_id))"""
-_LEVELS = """lv AS (SELECT fl.*, 0 AS level FROM fl JOIN cat USING (item_id) WHERE coop AND korean UNION ALL SELECT fl.*, 1 FROM fl JOIN cat USING (item_id) WHERE korean UNION ALL SELECT fl.*, 2 FROM fl),
+_LEVELS = """lv AS (SELECT fl.*, 0 AS level FROM fl JOIN cat USING (item_id) WHERE coop AND korean UNION ALL SELECT fl.*, 1 FROM fl JOIN cat USING (item_id) WHERE korean UNION ALL SELECT fl.*, 2 FROM fl JOIN cat USING (item_id)),
 en AS (SELECT group_id, min(level) FILTER (WHERE n >= 10) AS first FROM (SELECT group_id, level, count(*) AS n FROM lv GROUP BY 1, 2) GROUP BY 1),
 ch AS (SELECT lv.*, row_number() OVER (PARTITION BY lv.group_id ORDER BY place) AS rank FROM lv JOIN en ON en.group_id = lv.group_id WHERE level = coalesce(first, 2)) SELECT group_id, item_id, level, rank FROM ch WHERE rank <= 10"""
 
@@ -303,11 +348,19 @@ def members_of(spark, d):
 
 
 @query("group_interleave", f"""{_GROUPS}, l AS (SELECT *, row_number() OVER (PARTITION BY group_id, user_id ORDER BY score DESC, item_id) AS pos FROM own WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM gs WHERE gs.group_id = own.group_id AND gs.item_id = own.item_id)),
-f1 AS (SELECT *, row_number() OVER (PARTITION BY group_id, item_id ORDER BY pos, user_id) AS n FROM l WHERE pos <= 2000), fl AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY pos, user_id) AS place FROM f1 WHERE n = 1), {_LEVELS}""")
+f1 AS (SELECT *, row_number() OVER (PARTITION BY group_id, item_id ORDER BY pos, user_id) AS n FROM l), fl AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY pos, user_id) AS place FROM f1 WHERE n = 1), {_LEVELS}""")
 def _(spark, d):
     return recommend.group_plan(members_of(spark, d), cf_of(spark, d), liked_of(spark, d), catalogue_of(spark, d), {"coop": True, "korean": True}, 10)
 
 
+@query("served_interleave", f"""{_GROUPS}, l AS (SELECT *, row_number() OVER (PARTITION BY group_id, user_id ORDER BY net DESC, item_id) AS pos FROM (SELECT group_id, user_id, item_id, round(score - 0.5, 9) AS net FROM own) own WHERE NOT EXISTS (SELECT 1 FROM gs WHERE gs.group_id = own.group_id AND gs.item_id = own.item_id)),
+f1 AS (SELECT *, row_number() OVER (PARTITION BY group_id, item_id ORDER BY pos, user_id) AS n FROM l WHERE pos <= 600) SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY pos, user_id) AS rank FROM f1 WHERE n = 1""")
+def _(spark, d):
+    """Scores are moved down, so that lists have a negative tail."""
+    net = cf_of(spark, d).withColumn("score", F.round(F.col("score") - 0.5, 9))
+    return recommend.served_interleave(members_of(spark, d), net, liked_of(spark, d))
+
+
 @query("group_balanced", f"""{_GROUPS}, sc2 AS (SELECT group_id, user_id, item_id, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE score END AS s FROM own WINDOW w AS (PARTITION BY group_id, user_id)), nu AS (SELECT group_id, count(DISTINCT user_id)::DOUBLE AS u FROM sc2 GROUP BY 1),
 fu AS (SELECT group_id, item_id, round(sum(s) / any_value(u) - 0.5 * sqrt(greatest(sum(s * s) / any_value(u) - (sum(s) / any_value(u)) * (sum(s) / any_value(u)), 0.0)), 9) AS score FROM sc2 JOIN nu USING (group_id) GROUP BY 1, 2),
 fl AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, item_id) AS place FROM fu WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM gs WHERE gs.group_id = fu.group_id AND gs.item_id = fu.item_id)), {_LEVELS}""")
@@ -473,18 +526,42 @@ def _(spark, d):
     return labels.withColumn("relevant", F.array_join(F.transform("relevant", lambda x: x.cast("string")), ",")).withColumn("n_relevant", F.col("n_relevant").cast("long"))
 
 
-@query("metric_validation", f"""WITH {INTER}, {LIKED}, tp AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS pos FROM lk), n AS (SELECT user_id, count(*) AS n FROM tp GROUP BY 1),
-{_POP}, pr AS (SELECT item_id, row_number() OVER (ORDER BY popularity DESC, item_id) AS rank FROM pop),
-sy AS (SELECT 'oracle' AS system, user_id, count(*) AS hits FROM tp WHERE pos <= 50 GROUP BY 2 UNION ALL SELECT 'oracle_drop5', user_id, count(*) FROM tp JOIN n USING (user_id) WHERE pos <= n - 5 AND pos <= 50 GROUP BY 2
-  UNION ALL SELECT 'popularity', user_id, count(*) FROM tp JOIN pr USING (item_id) WHERE rank <= 50 GROUP BY 2)
-SELECT system, round(sum(coalesce(hits, 0) / n::DOUBLE) / count(*), 6) AS recall FROM (SELECT DISTINCT system FROM sy) s CROSS JOIN n LEFT JOIN sy USING (system, user_id) GROUP BY system""")
-def _(spark, d):
+# Seven lists for each user, whose liked items are the truth: five anchors, and two that stand for real systems, popular items of two parts of the catalogue.
+_VALID = f"""WITH {INTER}, {LIKED}, tp AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM lk), us AS (SELECT DISTINCT user_id, n FROM tp),
+{_POP}, {_CAT}, pr AS (SELECT item_id, row_number() OVER (ORDER BY popularity DESC, item_id) AS rank FROM pop), hp AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY (p_partkey * 7919 + 42) % 10007, p_partkey) - 1 AS plc, count(*) OVER () AS total FROM part),
+co AS (SELECT item_id, row_number() OVER (ORDER BY popularity DESC, item_id) AS rank FROM pop JOIN cat USING (item_id) WHERE coop), ko AS (SELECT item_id, row_number() OVER (ORDER BY popularity DESC, item_id) AS rank FROM pop JOIN cat USING (item_id) WHERE korean),
+rd AS (SELECT user_id, item_id, 1 + (plc - (user_id * 7919 + 42) % 10007 - 1) % total + CASE WHEN (plc - (user_id * 7919 + 42) % 10007 - 1) % total < 0 THEN total ELSE 0 END AS rank FROM tp JOIN hp USING (item_id)),
+hit AS (SELECT 'oracle' AS system, user_id, n, pos AS rank FROM tp UNION ALL SELECT 'oracle_drop5', user_id, n, pos FROM tp WHERE pos <= n - 5 UNION ALL SELECT 'oracle_drop10', user_id, n, pos FROM tp WHERE pos <= n - 10
+  UNION ALL SELECT 'popularity', user_id, n, rank FROM tp JOIN pr USING (item_id) UNION ALL SELECT 'random', rd.user_id, n, rank FROM rd JOIN us USING (user_id) UNION ALL SELECT 'coop', user_id, n, rank FROM tp JOIN co USING (item_id) UNION ALL SELECT 'korean', user_id, n, rank FROM tp JOIN ko USING (item_id)),
+pu AS (SELECT system, user_id, count(*) / any_value(n)::DOUBLE AS r, sum(1 / log2(rank + 1)) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(any_value(n), 50) + 1)]) AS g FROM hit WHERE rank <= 50 GROUP BY 1, 2),
+sn AS (SELECT unnest(['random', 'popularity', 'oracle', 'oracle_drop5', 'oracle_drop10', 'coop', 'korean']) AS system), nu AS (SELECT count(*)::DOUBLE AS users FROM us),
+mn AS (SELECT system, coalesce(sum(r), 0) / any_value(users) AS recall, coalesce(sum(g), 0) / any_value(users) AS ndcg FROM sn CROSS JOIN nu LEFT JOIN pu USING (system) GROUP BY system)"""
+
+
+def validation_of(spark, d):
     lk = liked_of(spark, d)
     truth = lk.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("item_id")))
-    pool = tables.items(spark, d)
-    popular = top_k(popularity_of(spark, d), 50, [], [F.desc("popularity"), F.asc("item_id")]).select("item_id", "rank")
-    systems = {"oracle": evaluation.oracle_lists(truth, pool), "oracle_drop5": evaluation.oracle_lists(truth, pool, 5), "popularity": lk.select("user_id").distinct().join(F.broadcast(popular))}
-    return evaluation.validation(systems, truth, 50).drop("ndcg")
+    users, pool, popular, cat = lk.select("user_id").distinct(), tables.items(spark, d), popularity_of(spark, d), catalogue_of(spark, d)
+
+    def same_for_all(items):
+        return users.crossJoin(F.broadcast(top_k(items, 50, [], [F.desc("popularity"), F.asc("item_id")]).select("item_id", "rank")))
+
+    systems = {"random": evaluation.random_lists(users, pool, 50), "popularity": same_for_all(popular), "oracle": evaluation.oracle_lists(truth, pool), "oracle_drop5": evaluation.oracle_lists(truth, pool, 5), "oracle_drop10": evaluation.oracle_lists(truth, pool, 10)}
+    systems |= {name: same_for_all(popular.join(cat.where(name).select("item_id"), "item_id", "left_semi")) for name in ("coop", "korean")}
+    return evaluation.validation(systems, truth, 50)
+
+
+@query("metric_validation", f"{_VALID} SELECT system, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM mn")
+def _(spark, d):
+    return validation_of(spark, d)
+
+
+@query("metric_verdicts", f"""{_VALID}, w AS (SELECT max(recall) FILTER (WHERE system = 'random') AS rnd, max(recall) FILTER (WHERE system = 'popularity') AS pop, max(recall) FILTER (WHERE system = 'oracle') AS o0, max(recall) FILTER (WHERE system = 'oracle_drop5') AS o5, max(recall) FILTER (WHERE system = 'oracle_drop10') AS o10,
+  max(recall) FILTER (WHERE system IN ('coop', 'korean')) - min(recall) FILTER (WHERE system IN ('coop', 'korean')) AS spread FROM mn),
+c AS (SELECT o0 >= 0.9 AND rnd <= 0.05 AS floor_ceiling, o0 > o5 AND o5 > o10 AS perturbation_monotonic, spread >= 0.02 AS discriminative_power, pop > 0.15 AND pop > 3 * greatest(rnd, 1e-9) AS popularity_confounded, spread FROM w)
+SELECT floor_ceiling, perturbation_monotonic, discriminative_power, popularity_confounded, round(spread, 6) AS spread, CASE WHEN NOT (floor_ceiling AND perturbation_monotonic) THEN 'DEMOTE' WHEN NOT discriminative_power THEN 'WEAK' WHEN popularity_confounded THEN 'USE+DEBIAS' ELSE 'USE' END AS verdict FROM c""")
+def _(spark, d):
+    return evaluation.verdicts(validation_of(spark, d), ["coop", "korean"])
 
 
 @query("user_split", f"WITH {INTER}, {LIKED}, r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ((item_id * 31 + user_id) * 7919 + 42) % 10007, item_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM lk) SELECT user_id, item_id, n <= round_even(0.7 * c, 0) AS train FROM r")
@@ -499,12 +576,21 @@ def _two(spark, d):
     return by.agg(F.round(F.avg("o_totalprice"), 2).alias("x")), by.agg(F.round(F.median("o_totalprice"), 2).alias("x"))
 
 
-@query("bootstrap_ci")
+_PRIME = 2_147_483_647
+_MIX = "x0"
+for _add in (40_692, 16_807, 950_706):
+    _MIX = f"list_transform([{_MIX}], lambda y: (y * y + y * {_add} + {_add}) % {_PRIME})[1]"
+_STEPS = " + ".join(f"(CASE WHEN u >= {int(p * _PRIME)} THEN 1 ELSE 0 END)" for p in statistics.POISSON)
+_BOOT = f"""rs AS (SELECT v, {_MIX} AS u, b FROM (SELECT v, b, (id % {_PRIME} * 48271 + b * 69621 + 42) % {_PRIME} AS x0 FROM vals CROSS JOIN (SELECT unnest(range(1, 1001)) AS b))),
+mb AS (SELECT sum(v * n) / nullif(sum(n), 0) AS m FROM (SELECT v, b, {_STEPS} AS n FROM rs) GROUP BY b), q AS (SELECT count(*) AS n, avg(v) AS mean FROM vals), ci AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mb)"""
+
+
+@query("bootstrap_ci", f"WITH vals AS (SELECT o_custkey AS id, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1), {_BOOT} SELECT n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM q CROSS JOIN ci")
 def _(spark, d):
     return statistics.bootstrap_ci(_two(spark, d)[0], "x", "id")
 
 
-@query("paired_bootstrap")
+@query("paired_bootstrap", f"WITH vals AS (SELECT o_custkey AS id, round(median(o_totalprice), 2) - round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1), {_BOOT} SELECT n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS significant FROM q CROSS JOIN ci")
 def _(spark, d):
     return statistics.paired_bootstrap(*_two(spark, d), "id", "x")
 
@@ -531,9 +617,9 @@ o AS (SELECT vec_id AS id, coalesce(n, 0) AS n FROM embeddings LEFT JOIN (SELECT
 
 @query("hubness", f"{_OCC}, b AS (SELECT n, count(*) AS c FROM o GROUP BY 1), t AS (SELECT sum(c) AS t FROM b) SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, max(n) AS max, min(n) AS min, (SELECT round(sum(-(c / t) * ln(c / t)), 6) FROM b CROSS JOIN t) AS entropy FROM o")
 def _(spark, d):
-    return evaluation.hubness(evaluation.occurrences(vectors_of(spark, d)))
+    return evaluation.hubness(evaluation.occurrences(vectors_of(spark, d), folder=new_folder(spark)))
 
 
 @query("hubness_histogram", f"{_OCC} SELECT r.value, coalesce(c, 0) AS c FROM (SELECT unnest(range(0, (SELECT max(n) FROM o) + 1)) AS value) r LEFT JOIN (SELECT n AS value, count(*) AS c FROM o GROUP BY 1) USING (value)")
 def _(spark, d):
-    return evaluation.histogram(evaluation.occurrences(vectors_of(spark, d)))
+    return evaluation.histogram(evaluation.occurrences(vectors_of(spark, d), folder=new_folder(spark)))
