@@ -28,6 +28,36 @@ def updated(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str])
     return old.join(n, keys, "full").select(*keys, *out)
 
 
+def merged(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """old with every column taken from new where new has a value, and kept where it has none; keys that old lacks are added.
+
+    Columns that only one side has stay.  Where new has a key more than once, each column has its last
+    non-null value by order; without order the highest.
+    """
+    fields = [c for c in new.columns if c not in keys and c != order]
+    picked = [(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)).alias(f"_{c}") for c in fields]
+    n = new.groupBy(*keys).agg(*picked) if picked else new.select(*keys).distinct()
+    kept = [c for c in old.columns if c not in keys]
+    out = [F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in kept] + [F.col(f"_{c}").alias(c) for c in fields if c not in kept]
+    return old.join(n, keys, "full").select(*keys, *out)
+
+
+def enqueued(queue: DataFrame, users: DataFrame, depth: int) -> DataFrame:
+    """queue(user_id, depth, seq) with the users(user_id) that it lacks, at a depth, behind all others; users that are in it stay as they are.
+
+    New ones are numbered in ranges of a hash; null users are passed over.
+    """
+    numbered = interned(queue.select("user_id", F.col("seq").alias("id")), users.where("user_id is not null").select("user_id"), ["user_id"])
+    fresh = numbered.join(queue.select("user_id"), "user_id", "left_anti").select("user_id", F.lit(depth).cast("int").alias("depth"), F.col("id").alias("seq"))
+    return queue.select("user_id", F.col("depth").cast("int").alias("depth"), "seq").unionByName(fresh)
+
+
+def queue_depths(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """(depth, n_users, n_pending): of each depth the users queued, and those that done(user_id, complete) doesn't say are complete."""
+    complete = done.where("complete = 1").select("user_id").distinct().withColumn("_done", F.lit(1))
+    return queue.join(complete, "user_id", "left").groupBy("depth").agg(F.count("*").alias("n_users"), F.count(F.when(F.col("_done").isNull(), 1)).alias("n_pending"))
+
+
 def interned(known: DataFrame, names: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
     """known(keys, id) with ids added for new names: above the highest, without gaps.
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from affinix.functions import text
-from affinix.operators import catalogue, evaluation, recommend, store
+from affinix.functions import maths, text
+from affinix.operators import catalogue, evaluation, recommend, sampling, statistics, store
 from affinix.plans.engagement import rounded
 from affinix.sources import files, tables
 from affinix.streaming.upserts import activity
@@ -249,6 +249,14 @@ def _(spark, d):
     return items.join(hits, items["name"] == hits["title"]).select("wanted", "item_id")
 
 
+@query("binary_rounding", """WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT * 2 + 1 AS o FROM lineitem), b AS (SELECT *, (o * 625 - 1) // 2 AS b FROM o) SELECT l_orderkey, l_linenumber, o / 32.0 AS shown, b + b % 2 AS units FROM b""")
+def _(spark, d):
+    """Odd numbers of thirty-seconds lie between two numbers of four places, exactly, and go to the even one."""
+    odd = F.col("l_quantity").cast("long") * 2 + 1
+    value = odd / F.lit(32.0)
+    return tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", value.alias("shown"), F.rint(maths.rounded_binary(value, 4) * 10000).cast("long").alias("units"))
+
+
 @query("vote_words", "SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS voted FROM lineitem")
 def _(spark, d):
     raw = F.when(F.col("l_linestatus") == "F", F.lit(" Yes ")).otherwise(F.lit("nope"))
@@ -287,11 +295,14 @@ def _(spark, d):
     return store.updated(old.groupBy("k").agg(F.min("v").alias("v"), F.max("p").alias("p")), new.groupBy("k").agg(F.max("v").alias("v")), ["k"], ["v"])
 
 
-@query("intern_ids")
+@query("intern_ids", f"WITH {_OLD}, k AS (SELECT count(*) AS n FROM (SELECT DISTINCT k, p FROM old)), a AS (SELECT count(*) AS n FROM (SELECT DISTINCT k, p FROM (SELECT * FROM old UNION ALL SELECT * FROM new))) SELECT a.n AS n_names, a.n AS n_ids, 1 AS low, a.n AS high, k.n AS n_kept, k.n AS high_of_old FROM a CROSS JOIN k")
 def _(spark, d):
+    """Which name has which id follows a hash; that ids are distinct, without gaps, kept, and those of old names below all others, every engine can say."""
     old, new = _halves(spark, d)
     known = store.interned(spark.createDataFrame([], "k long, p string, id long"), old, ["k", "p"])
-    return store.interned(known, new, ["k", "p"])
+    both = store.interned(known, new, ["k", "p"])
+    kept = known.withColumnRenamed("id", "old_id").join(both, ["k", "p"], "right")
+    return kept.agg(F.countDistinct("k", "p").alias("n_names"), F.countDistinct("id").alias("n_ids"), F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.when(F.col("id") == F.col("old_id"), 1)).alias("n_kept"), F.max("old_id").alias("high_of_old"))
 
 
 @query("pending_queue", f"WITH {_OLD} SELECT k AS user_id, p AS depth, seq FROM new WHERE k NOT IN (SELECT k FROM old) ORDER BY p, seq LIMIT 500")
@@ -305,6 +316,66 @@ def _(spark, d):
     return store.unfetched(tables.table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id")), tables.items(spark, d).where("size > 10"))
 
 
+@query("merge_columns", f"WITH {_OLD}, a AS (SELECT k, min(v) AS v, max(p) AS p FROM old GROUP BY k), b AS (SELECT k, max(CASE WHEN k % 3 <> 0 THEN v END) AS v, max(CASE WHEN k % 2 = 0 THEN p END) AS p, max(seq) AS seq FROM new GROUP BY k) SELECT coalesce(a.k, b.k) AS k, round(coalesce(b.v, a.v), 6) AS v, coalesce(b.p, a.p) AS p, b.seq FROM a FULL JOIN b ON a.k = b.k")
+def _(spark, d):
+    """New rows lack some values: those of the old rows stay, column by column."""
+    old, new = _halves(spark, d)
+    some = new.select("k", F.when(F.col("k") % 3 != 0, F.col("v")).alias("v"), F.when(F.col("k") % 2 == 0, F.col("p")).alias("p"), "seq")
+    return store.merged(old.groupBy("k").agg(F.min("v").alias("v"), F.max("p").alias("p")), some, ["k"])
+
+
+@query("queue_depths", f"WITH {_OLD}, q AS (SELECT DISTINCT k, 0 AS depth FROM old UNION ALL SELECT DISTINCT k, 1 FROM new WHERE k NOT IN (SELECT k FROM old)) SELECT depth, count(*) AS n_users, count(*) FILTER (WHERE k % 5 <> 0) AS n_pending FROM q GROUP BY depth")
+def _(spark, d):
+    old, new = _halves(spark, d)
+    empty = spark.createDataFrame([], "user_id long, depth int, seq long")
+    queue = store.enqueued(store.enqueued(empty, old.select(F.col("k").alias("user_id")), 0), new.select(F.col("k").alias("user_id")), 1)
+    return store.queue_depths(queue, queue.where("user_id % 5 = 0").select("user_id", F.lit(1).alias("complete")))
+
+
+# Samples.
+_PRIME = statistics.PRIME
+
+
+def _drawn_sql(x: str) -> str:
+    for add in (40_692, 16_807, 950_706):
+        x = f"list_transform([{x}], lambda y: (y * y + y * {add} + {add}) % {_PRIME})[1]"
+    return x
+
+
+_USERS = "us AS (SELECT c_custkey AS user_id, CASE WHEN c_nationkey % 3 <> 0 THEN 1 ELSE 0 END AS public, CASE WHEN c_nationkey % 5 <> 0 THEN 1 ELSE 0 END AS complete FROM customer), ow AS (SELECT o_custkey AS user_id, l_partkey AS item_id, sum(CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_quantity END)::DOUBLE AS playtime FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+
+
+def users_of(spark, d):
+    return tables.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") % 3 != 0).cast("int").alias("public"), (F.col("c_nationkey") % 5 != 0).cast("int").alias("complete"))
+
+
+@query("example_library", f"""WITH {_USERS}, pr AS (SELECT user_id, row_number() OVER (ORDER BY user_id * 7919 % 1000003, user_id) AS try FROM us WHERE public = 1 AND complete = 1),
+lib AS (SELECT user_id, item_id, playtime, try FROM ow JOIN pr USING (user_id) JOIN part ON p_partkey = item_id WHERE p_size > 10 AND playtime > 0 AND try <= 200), f AS (SELECT user_id FROM lib GROUP BY user_id, try HAVING count(*) >= 8 ORDER BY try LIMIT 1) SELECT user_id, item_id, round(playtime, 6) AS playtime FROM lib JOIN f USING (user_id)""")
+def _(spark, d):
+    owned = tables.lines(spark, d).groupBy("user_id", "item_id").agg(F.sum("playtime").alias("playtime"))
+    return sampling.example_library(users_of(spark, d), owned, tables.items(spark, d).where("size > 10"))
+
+
+@query("unscreened_candidates", f"""WITH n AS (SELECT count(*) // 10 AS n, 3 * count(*) AS top FROM customer), dr AS (SELECT t AS try, 1 + {_drawn_sql(f"((t % {_PRIME}) * 48271 + 42) % {_PRIME}")} % top AS user_id FROM n, unnest(range(1, 5 * n + 1)) AS r(t)),
+o AS (SELECT try, user_id, row_number() OVER (ORDER BY try) AS r FROM dr WHERE user_id NOT IN (SELECT c_custkey FROM customer)) SELECT try, user_id FROM o, n WHERE r <= n""")
+def _(spark, d):
+    """A tenth as many ids as there are customers, drawn from three times as many."""
+    known = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    total = known.count()
+    return sampling.unscreened(spark, known, total // 10, 0, 3 * total)
+
+
+@query("first_seen_sample", "WITH s AS (SELECT o_custkey AS user_id, min(o_orderkey) AS f FROM orders GROUP BY 1), h AS (SELECT user_id FROM s ORDER BY f, user_id LIMIT 300) SELECT user_id, row_number() OVER (ORDER BY (user_id * 7919 + 42) % 1000003, user_id) AS place FROM h")
+def _(spark, d):
+    return sampling.first_seen(tables.table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("seq")), "user_id", "seq", 300)
+
+
+@query("bottom_k_by_group", "WITH k AS (SELECT DISTINCT l_returnflag AS flag, l_partkey AS item_id FROM lineitem), r AS (SELECT *, (item_id * 7919 + 42) % 1000003 AS priority, row_number() OVER (PARTITION BY flag ORDER BY (item_id * 7919 + 42) % 1000003, item_id) AS rank FROM k) SELECT flag, item_id, priority, rank FROM r WHERE rank <= 50")
+def _(spark, d):
+    rows = tables.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("item_id"))
+    return sampling.bottom_k(rows, "item_id", 50, ["flag"])
+
+
 @query("table_counts", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events")
 def _(spark, d):
     return store.counts(**{t: tables.table(spark, d, t) for t in ("orders", "lineitem", "events")})

@@ -382,6 +382,53 @@ def _(spark, d):
     return recommend.shared_tags(sources, tags_of(spark, d))
 
 
+# Requests of every kind in one plan: users ask by turns for what suits their library, for something new, with the next user, or without a name.
+_ROUTED = f"""{_STEER.replace('WITH ', f'WITH {_CAT}, ', 1)}, {_CONTENT}, {_OF_CANDS.format(k=100)},
+asp AS (SELECT item_id, count(*) / 2.0 AS aspect FROM tags WHERE tag IN ('red', 'ring') GROUP BY 1),
+c0 AS (SELECT rec.user_id, rec.item_id, rec.score, round(coalesce(sim, 0), 9) AS sim, coalesce(aspect, 0) AS aspect FROM rec LEFT JOIN cs ON cs.user_id = rec.user_id AND cs.item_id = rec.item_id LEFT JOIN asp ON asp.item_id = rec.item_id WHERE rank <= 100),
+c1 AS (SELECT *, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-12) AS s, 1 - (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w + 1e-12) AS nv FROM c0 WINDOW w AS (PARTITION BY user_id)),
+st AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(s * pow(least(greatest(nv, 1e-6), 1), 2.0) * (1 + aspect), 9) DESC, item_id) AS pos FROM c1),
+us AS (SELECT DISTINCT user_id FROM lk), gm AS (SELECT user_id AS group_id, user_id FROM us UNION ALL SELECT a.user_id, b.user_id FROM us a JOIN us b ON b.user_id = a.user_id + 1), gs AS (SELECT DISTINCT group_id, item_id FROM gm JOIN lk USING (user_id)),
+l AS (SELECT gm.group_id, cf.user_id, cf.item_id, row_number() OVER (PARTITION BY gm.group_id, cf.user_id ORDER BY score DESC, cf.item_id) AS pos FROM cf JOIN gm USING (user_id) WHERE NOT EXISTS (SELECT 1 FROM gs WHERE gs.group_id = gm.group_id AND gs.item_id = cf.item_id)),
+f1 AS (SELECT *, row_number() OVER (PARTITION BY group_id, item_id ORDER BY pos, user_id) AS n FROM l WHERE pos <= 600), mu AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY pos, user_id) AS pos FROM f1 WHERE n = 1),
+an AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS pos FROM part),
+rq AS (SELECT user_id AS id, ['library', 'explore', 'multi_entity', 'anonymous'][user_id % 4 + 1] AS t, user_id % 7 <> 0 AS lib, EXISTS (SELECT 1 FROM us b WHERE b.user_id = us.user_id + 1) AS fr, user_id % 5 = 0 AS failed FROM us),
+kd AS (SELECT id, CASE WHEN t = 'multi_entity' AND fr THEN t WHEN t = 'multi_entity' AND lib THEN 'library' WHEN t = 'anonymous' AND lib THEN CASE WHEN failed THEN 'library' ELSE 'explore' END WHEN t = 'anonymous' OR NOT lib THEN 'anonymous' ELSE t END AS kind FROM rq),
+ca AS (SELECT kd.id, kind, rec.item_id, rank AS pos FROM kd JOIN rec ON rec.user_id = id WHERE kind = 'library' UNION ALL SELECT kd.id, kind, st.item_id, pos FROM kd JOIN st ON st.user_id = id WHERE kind = 'explore' UNION ALL SELECT kd.id, kind, mu.item_id, pos FROM kd JOIN mu ON mu.group_id = id WHERE kind = 'multi_entity' UNION ALL SELECT kd.id, kind, an.item_id, pos FROM kd, an WHERE kind = 'anonymous' AND pos <= 100),
+ok AS (SELECT ca.id, kind, ca.item_id, row_number() OVER (PARTITION BY ca.id ORDER BY pos, ca.item_id) AS rank FROM ca JOIN cat ON cat.item_id = ca.item_id WHERE pos <= 300 AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.user_id = ca.id AND lk.item_id = ca.item_id) AND (is_free OR price IS NOT NULL) AND (ca.id % 2 <> 0 OR coop) AND (ca.id % 3 <> 0 OR korean) AND (ca.id % 4 <> 1 OR coalesce(price <= 1500 AND currency = 'KRW', false)))
+SELECT id AS request_id, kind, item_id, rank FROM ok WHERE rank <= 5"""
+
+
+@query("route_plans", _ROUTED)
+def _(spark, d):
+    lk, scored, cat, items = liked_of(spark, d), cf_of(spark, d), catalogue_of(spark, d), tables.items(spark, d)
+    users = lk.select("user_id").distinct()
+    n = F.col("user_id")
+    friends = users.select((n - 1).alias("user_id"), F.lit(True).alias("has_friend"))
+    wanted = F.struct((n % 2 == 0).alias("coop"), F.lit(None).cast("boolean").alias("multiplayer"), F.lit(False).alias("single_player"), (n % 3 == 0).alias("korean"), F.lit(False).alias("free"), F.when(n % 4 == 1, 1500.0).alias("max_price"))
+    asked = users.join(friends, "user_id", "left").select(n.alias("request_id"), F.element_at(F.array(*[F.lit(k) for k in ("library", "explore", "multi_entity", "anonymous")]), (n % 4 + 1).cast("int")).alias("request_type"), (n % 7 != 0).alias("has_library"), F.coalesce("has_friend", F.lit(False)).alias("has_friend"), (n % 5 == 0).alias("failed"), wanted.alias("wanted"))
+    requests = once(spark, "requests", lambda: recommend.routed(asked))
+    of_kind = lambda kind: requests.where(F.col("kind") == kind).select("request_id")
+
+    def asked_by(kind, rows, user="user_id"):
+        return rows.withColumnRenamed(user, "request_id").join(of_kind(kind), "request_id", "left_semi")
+
+    best = recommend.ranked(scored, 300, lk, positive_only=True)
+    near = best.where("rank <= 100").select("user_id", "item_id", "score")
+    sims = content_of_candidates(spark, d, near).withColumn("sim", F.round("sim", 9))
+    new = recommend.steered(near, sims, recommend.STRENGTH["medium"], content.aspect_scores(tags_of(spark, d), ["red", "ring"])).withColumn("score", F.round("score", 9))
+    pairs = users.select(n.alias("group_id"), "user_id").unionByName(users.select((n - 1).alias("group_id"), "user_id").join(users.select(n.alias("group_id")), "group_id", "left_semi"))
+    met = recommend.served_interleave(pairs.join(of_kind("multi_entity").withColumnRenamed("request_id", "group_id"), "group_id", "left_semi"), scored, lk)
+    dear = top_k(items, 100, [], [F.desc("price"), F.asc("item_id")], "pos").select("item_id", "pos")
+    plans = {
+        "library": asked_by("library", best).select("request_id", "item_id", F.col("rank").alias("pos")),
+        "explore": asked_by("explore", recommend.ranked(new, 300)).select("request_id", "item_id", F.col("rank").alias("pos")),
+        "multi_entity": asked_by("multi_entity", met, "group_id").select("request_id", "item_id", F.col("rank").alias("pos")),
+        "anonymous": of_kind("anonymous").crossJoin(F.broadcast(dear)),
+    }
+    return recommend.route_plans(requests, plans, lk.withColumnRenamed("user_id", "request_id"), cat, 5)
+
+
 _NEAR = "u1 AS (SELECT key, dim, weight / sqrt(sum(weight * weight) OVER (PARTITION BY key)) AS weight FROM kd), nb AS (SELECT a.key AS seed, b.key, round(sum(a.weight * b.weight), 9) AS sim FROM u1 a JOIN u1 b USING (dim) WHERE a.key IN (SELECT key FROM seeds) AND a.key <> b.key GROUP BY 1, 2), nr AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sim DESC, key) AS rank FROM nb)"
 
 

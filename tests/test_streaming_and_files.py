@@ -1,5 +1,7 @@
 """Streaming upserts and file sources."""
 
+import pytest
+
 from affinix.sources import files, tables
 from affinix.streaming.upserts import current, upsert_stream
 
@@ -11,7 +13,36 @@ def test_upsert_stream(spark, tmp_path):
     run()
     spark.createDataFrame([(2, "B", 3), (3, "c", 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run()
-    assert {(r.k, r.v) for r in current(spark, f"{tmp_path}/out", 1).collect()} == {(1, "a"), (2, "B"), (3, "c")}
+    assert {(r.k, r.v) for r in current(spark, f"{tmp_path}/out").collect()} == {(1, "a"), (2, "B"), (3, "c")}
+    assert {(r.k, r.v) for r in current(spark, f"{tmp_path}/out", 1).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_upserts_touch_only_their_buckets_and_survive_a_restart(spark, tmp_path):
+    schema, target = "k long, v string, t long", f"{tmp_path}/out"
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run(checkpoint):
+        upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), target, ["k"], "t", f"{tmp_path}/{checkpoint}", 16).awaitTermination()
+
+    add([(i, "a", 1) for i in range(200)])
+    run("check")
+    first = sorted(p.name for p in (tmp_path / "out/data/batch=0").iterdir() if p.name.startswith("bucket"))
+    add([(5, "b", 2), (5, "old", 0), (900, "c", 1)])
+    run("check")
+    second = sorted(p.name for p in (tmp_path / "out/data/batch=1").iterdir() if p.name.startswith("bucket"))
+    assert len(first) == 16 and 1 <= len(second) <= 2
+    want = {(i, "a") for i in range(200) if i != 5} | {(5, "b"), (900, "c")}
+    assert {(r.k, r.v) for r in current(spark, target).collect()} == want
+    # The second batch is written again, as after a failure before its commit: the same rows, none twice.
+    for name in ("1", ".1.crc"):
+        (tmp_path / "check/commits" / name).unlink()
+    run("check")
+    got = [(r.k, r.v) for r in current(spark, target).collect()]
+    assert len(got) == len(want) and set(got) == want
+    with pytest.raises(ValueError):
+        current(spark, f"{tmp_path}/nothing")
 
 
 def test_files(spark, tmp_path):
@@ -26,3 +57,23 @@ def test_files(spark, tmp_path):
     assert {(r.key, r.value) for r in tables.json_map(spark, f"{tmp_path}/m.json").collect()} == {("3", 1), ("4", 2)}
     (tmp_path / "c.csv").write_text("a,b\n1,x\nbad,y\n3,z\n")
     assert tables.csv(spark, f"{tmp_path}/c.csv", "a int, b string").count() == 2
+
+
+def test_sinks_and_lists(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", 2.5), (2, None, None)], "k int, v string, x double")
+    tables.write_csv(df, f"{tmp_path}/csv")
+    assert sorted(tables.csv(spark, f"{tmp_path}/csv", "k int, v string, x double").collect()) == sorted(df.collect())
+    tables.write_stats(df, f"{tmp_path}/stats")
+    assert {r.k: r.x for r in spark.read.json(f"{tmp_path}/stats").collect()} == {1: 2.5, 2: None}
+    for write, path in ((tables.write_csv, "csv"), (tables.write_stats, "stats")):
+        with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+            write(df, f"{tmp_path}/{path}")
+    (tmp_path / "l.json").write_text('["x", "y"]')
+    assert [(r.position, r.value) for r in tables.json_list(spark, f"{tmp_path}/l.json").collect()] == [(0, "x"), (1, "y")]
+    files.new_run(df, f"{tmp_path}/run")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        files.new_run(df, f"{tmp_path}/run")
+    files.append_log(df, f"{tmp_path}/log")
+    files.append_log(df, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 4
+    assert spark.read.parquet(files.versioned(df, f"{tmp_path}/v", "3")).count() == 2
