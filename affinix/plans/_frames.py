@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from affinix.functions.scratch import new_folder, stored
+
 _open: ContextVar[dict[str, DataFrame] | None] = ContextVar("frames", default=None)
 
 
@@ -22,24 +23,11 @@ def frames():
         _open.reset(token)
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, below /tmp/checkpoints if executors run in the driver's process.  A cluster without it is refused."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "file:///tmp/checkpoints"
-    return f"{top.rstrip('/')}/frames-{uuid.uuid4().hex}"
-
-
 def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """make(), written in a new folder and read again."""
     made = _open.get()
     if made is None:
         return make()
     if name not in made:
-        path = f"{new_folder(spark)}/{name}"
-        df = make()
-        df.write.parquet(path)
-        made[name] = spark.read.schema(df.schema).parquet(path)
+        made[name] = stored(make(), f"{new_folder(spark)}/{name}")
     return made[name]

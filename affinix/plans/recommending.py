@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from affinix.functions.maths import hashed_order
 from affinix.functions.windows import top_k
 from affinix.operators import catalogue, content, cooccurrence, ease, evaluation, metrics, recommend, scores, statistics, vector_search
-from affinix.plans._frames import frames, new_folder, once
+from affinix.plans._frames import frames, once
 from affinix.plans._sql import COOC, INTER, LIKED, normal_cdf
 from affinix.plans.engagement import inter_of as made_inter_of
 from affinix.plans.engagement import rounded
@@ -103,8 +103,7 @@ def _(spark, d):
 
 def _model(spark, d):
     s = scores.pctl_game(inter_of(spark, d)).withColumn("s", F.round("s", 9))
-    model = ease.fit(s, ease.graph_users(s), folder=new_folder(spark))
-    return s, ease.weights(model, folder=new_folder(spark))
+    return s, ease.weights(ease.fit(s, ease.graph_users(s)))
 
 
 @query("ease_b_topk")
@@ -198,7 +197,7 @@ _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(l
 r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sim DESC, id) AS rank FROM s) SELECT seed, id, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10""")
 def _(spark, d):
     v = vectors_of(spark, d)
-    return vector_search.nearest_vectors(v, v.where("id % 100 = 0"), 10, folder=new_folder(spark))
+    return vector_search.nearest_vectors(v, v.where("id % 100 = 0"), 10)
 
 
 @query("popularity_similar", f"WITH {_POP}, r AS (SELECT item_id, popularity, row_number() OVER (ORDER BY popularity DESC, item_id) AS rank FROM pop) SELECT item_id, popularity, rank FROM r WHERE rank <= 50")
@@ -664,9 +663,9 @@ o AS (SELECT vec_id AS id, coalesce(n, 0) AS n FROM embeddings LEFT JOIN (SELECT
 
 @query("hubness", f"{_OCC}, b AS (SELECT n, count(*) AS c FROM o GROUP BY 1), t AS (SELECT sum(c) AS t FROM b) SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, max(n) AS max, min(n) AS min, (SELECT round(sum(-(c / t) * ln(c / t)), 6) FROM b CROSS JOIN t) AS entropy FROM o")
 def _(spark, d):
-    return evaluation.hubness(evaluation.occurrences(vectors_of(spark, d), folder=new_folder(spark)))
+    return evaluation.hubness(evaluation.occurrences(vectors_of(spark, d)))
 
 
 @query("hubness_histogram", f"{_OCC} SELECT r.value, coalesce(c, 0) AS c FROM (SELECT unnest(range(0, (SELECT max(n) FROM o) + 1)) AS value) r LEFT JOIN (SELECT n AS value, count(*) AS c FROM o GROUP BY 1) USING (value)")
 def _(spark, d):
-    return evaluation.histogram(evaluation.occurrences(vectors_of(spark, d), folder=new_folder(spark)))
+    return evaluation.histogram(evaluation.occurrences(vectors_of(spark, d)))

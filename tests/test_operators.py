@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinix.functions.maths import cosine, interpolated, normal_cdf
+from affinix.functions.maths import cosine, interpolated, normal_cdf, rounded_binary
 from affinix.functions.windows import average_percent_rank, hazen
 from affinix.operators import cooccurrence, ease, evaluation, metrics, recommend, scores, statistics, store
 
@@ -86,24 +86,31 @@ def test_metrics_by_hand(spark):
     assert {r.user_id: round(r.serendipity, 6) for r in metrics.serendipity(recs, truth, popular).collect()} == {1: 0.333333, 2: 0.0}
 
 
-def test_ease_matches_a_dense_solution(spark):
+@pytest.mark.parametrize("item_side", [0, 4096])
+def test_ease_matches_a_dense_solution(spark, item_side, monkeypatch, tmp_path):
+    """By the users' inverse, in row blocks and slabs of columns, and by the items' own."""
+    monkeypatch.setattr(ease, "STEP", 3)
     draw = np.random.default_rng(7)
     rows = [(u, 10 + int(i), float(draw.uniform(0.1, 1))) for u in range(30) for i in draw.choice(12, draw.integers(3, 8), replace=False)]
     s = spark.createDataFrame(rows, "user_id long, item_id long, s double")
-    model = ease.fit(s, ease.graph_users(s, least=1), lam=10.0)
+    model = ease.fit(s, ease.graph_users(s, least=1), lam=10.0, item_side=item_side)
+    assert (model.p is None) == (item_side == 0)
     dense = np.zeros((30, 12))
     for u, i, w in rows:
         dense[u, i - 10] = w
     p = np.linalg.inv(dense.T @ dense + 10 * np.eye(12))
     b = -p / np.diag(p)
     np.fill_diagonal(b, 0)
-    full = ease.weights(model, k=12, item_block=5, rows=5).toPandas()
+    full = ease.weights(model, k=12, item_block=5, slab=60).toPandas()
     got = np.zeros((12, 12))
     got[full["i"] - 10, full["j"] - 10] = full["sim"]
-    assert np.allclose(got, b, atol=1e-5) and (got < 0).any()
-    cut = ease.weights(model, k=4, item_block=5).toPandas()
-    for i, g in cut.groupby("i"):
-        assert len(g) <= 4 and np.allclose(sorted(abs(g["sim"])), sorted(np.abs(b[i - 10]))[-4:], atol=1e-5)
+    assert np.allclose(got, b, atol=1e-5) and (got < 0).any() and len(full) == 12 * 11
+    for slab, folder in ((10**6, None), (60, str(tmp_path / "slabs"))):
+        cut = ease.weights(model, k=4, item_block=5, slab=slab, folder=folder).toPandas()
+        assert len(cut) == 48
+        for i, g in cut.groupby("i"):
+            assert np.allclose(sorted(abs(g["sim"])), sorted(np.abs(b[i - 10]))[-4:], atol=1e-5)
+            assert np.allclose(b[i - 10][g["j"] - 10], g["sim"], atol=1e-5)
     profile = draw.random(12)
     profile[3] = 0
     asked = spark.createDataFrame([(1, 10 + i, float(w)) for i, w in enumerate(profile) if w], "user_id long, item_id long, w double")
@@ -113,6 +120,26 @@ def test_ease_matches_a_dense_solution(spark):
         ease.fit(s, ease.graph_users(s, least=1), max_side=5)
 
 
+def test_ease_skips_columns_that_cannot_be_among_the_largest(spark, monkeypatch):
+    """Items of which a few are strong and shared, most rare: few of all entries are made, and the largest are right."""
+    monkeypatch.setattr(ease, "STEP", 16)
+    draw = np.random.default_rng(1)
+    rows = [(u, int(i), 1.0) for u in range(60) for i in draw.choice(20, 8, replace=False)]
+    rows += [(int(draw.integers(0, 60)), 20 + i, 0.01) for i in range(400)]
+    s = spark.createDataFrame(rows, "user_id long, item_id long, s double")
+    model = ease.fit(s, ease.graph_users(s, least=1), lam=5.0, item_side=0)
+    x = np.zeros((60, 420))
+    for u, i, w in rows:
+        x[u, i] = w
+    p = np.linalg.inv(x.T @ x + 5 * np.eye(420))
+    b = -p / np.diag(p)
+    np.fill_diagonal(b, 0)
+    got = ease.weights(model, k=5, item_block=64).toPandas()
+    for i, g in got.groupby("i"):
+        assert np.allclose(sorted(abs(g["sim"])), sorted(np.abs(b[i]))[-len(g) :], atol=1e-5)
+    assert ease.compared_share(model, k=5, item_block=64) < 0.5
+
+
 def test_places_with_ties_and_nulls(spark):
     from affinix.functions.windows import ordinal_percent, placed
 
@@ -148,7 +175,7 @@ def test_relaxation_and_fallback(spark):
     kept, done = recommend.filtered_or_relaxed(cands, cat, {"coop": True, "max_price": 3}, 1)
     assert {r.item_id for r in kept.collect()} == {1, 2, 3} or done  # relaxed at most twice
     kept, done = recommend.filtered_or_relaxed(cands, cat, {"coop": True}, 2)
-    assert done == ["without coop"] and kept.count() == 3
+    assert done == ["without coop"] and {r.item_id for r in kept.collect()} == {1, 2}  # 3 has no metadata
     kept, done = recommend.filtered_or_relaxed(cands, cat, {"coop": True}, 2, refilter_last=False)
     assert done == ["without coop"] and {r.item_id for r in kept.collect()} == {1}
 
@@ -244,3 +271,142 @@ def test_parsed_item(spark):
     doc = '{"name":"N","type":"game","is_free":false,"price_overview":{"currency":"KRW","final":1999},"metacritic":{"score":80},"release_date":{"coming_soon":false,"date":"Jan 1, 2020"},"categories":[{"description":"Co-op"}],"developers":["A","B"]}'
     r = spark.createDataFrame([(doc,), ("junk",)], "j string").select(store.parsed_item(F.col("j")).alias("p")).collect()
     assert r[0].p.price_final == 1999 and r[0].p.developers == "A, B" and r[0].p.coming_soon == 0 and r[1].p.name is None
+
+
+def test_column_wise_merge(spark):
+    old = spark.createDataFrame([(1, "a", 1), (2, None, 2), (3, "c", 3)], "k long, v string, w long")
+    new = spark.createDataFrame([(1, None, 10, 1), (2, "b", None, 1), (2, "B", None, 2), (2, None, None, 3), (4, "d", None, 1)], "k long, v string, x long, t long")
+    got = {r.k: (r.v, r.w, r.x) for r in store.merged(old, new, ["k"], "t").collect()}
+    assert got == {1: ("a", 1, 10), 2: ("B", 2, None), 3: ("c", 3, None), 4: ("d", None, None)}
+    queue = store.enqueued(spark.createDataFrame([(7, 0, 1)], "user_id long, depth int, seq long"), spark.createDataFrame([(7,), (8,), (8,), (None,), (9,)], "user_id long"), 1)
+    assert sorted((r.user_id, r.depth) for r in queue.collect()) == [(7, 0), (8, 1), (9, 1)] and {r.seq for r in queue.collect()} == {1, 2, 3}
+
+
+def test_rounding_of_binary_halves(spark):
+    draw = np.random.default_rng(3)
+    x = [float(v) for v in draw.uniform(-50, 50, 3000)] + [float(k) / 32 for k in range(-4000, 4000)] + [round(float(v), 5) for v in draw.uniform(-3, 3, 4000)]
+    x += [0.0, -0.0, 1e-9, -3e-5, 2.5e-5, 5e-5, 0.00005, 0.00015, 2.00005, 123456.78905, 2.0**39, 2.0**39 - 2.0**-13, 1e300, 5e-324, 0.99995, 1.00005]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)] + [(-1, None), (-2, float("nan")), (-3, float("inf"))], "i long, x double")
+    got = {r.i: r.y for r in df.select("i", rounded_binary(F.col("x"), 4).alias("y")).collect()}
+    assert [got[i] for i in range(len(x))] == [round(v, 4) for v in x]
+    assert got[-1] is None and np.isnan(got[-2]) and got[-3] == float("inf")
+
+
+def test_scans_over_ranges(spark):
+    from affinix.functions.windows import scanned
+
+    draw = np.random.default_rng(5)
+    rows = [(i, None if i % 40 == 0 else float(draw.integers(0, 6)) if i % 2 else float(draw.normal()), int(draw.integers(0, 9))) for i in range(1500)]
+    got = {r.i: (r.upto, r.low) for r in scanned(spark.createDataFrame(rows, "i long, v double, c long").repartition(4), "v", "i", {"upto": "c"}, {"low": "c"}, parts=8).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[0]))
+    total, sums = 0, {}
+    for i, _, c in want:
+        total += c
+        sums[i] = total
+    lows, low = {}, 10
+    for i, _, c in reversed(want):
+        low = min(low, c)
+        lows[i] = low
+    assert got == {i: (sums[i], lows[i]) for i in sums}
+
+
+def test_item_pairs_of_heavy_users(spark):
+    draw = np.random.default_rng(6)
+    rows = [(1, i, float(i)) for i in range(60)] + [(u, int(i), float(draw.integers(1, 9))) for u in range(2, 12) for i in draw.choice(60, 20, replace=False)]
+    want = {}
+    for u in {r[0] for r in rows}:
+        mine = sorted((i, w) for v, i, w in rows if v == u)
+        for k, (i, w) in enumerate(mine):
+            for j, x in mine[k + 1 :]:
+                want[i, j] = want.get((i, j), 0) + w * x
+    got = {(r.i, r.j): r.c for r in cooccurrence.pair_counts(spark.createDataFrame(rows, "user_id long, item_id long, s double"), "s", block=8).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.75, 0.98, 1.0])
+def test_containment_by_prefixes(spark, threshold):
+    draw = np.random.default_rng(8)
+    owners = [set(draw.choice(40, draw.integers(2, 30), replace=False).tolist()) for _ in range(12)]
+    owners += [set(list(o)[: max(3, len(o) - 1)]) for o in owners[:6]] + [set(owners[0])]
+    rows = [(int(u), i) for i, o in enumerate(owners) for u in o]
+    want = {(i, j) for i, a in enumerate(owners) for j, b in enumerate(owners) if i != j and min(len(a), len(b)) >= 3 and len(a & b) >= threshold * min(len(a), len(b))}
+    got = cooccurrence.containment_pairs(spark.createDataFrame(rows, "user_id long, item_id long"), threshold, block=4).collect()
+    assert {(r.i, r.j) for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_vectors_against_all_pairs(spark):
+    from affinix.operators import vector_search
+
+    draw = np.random.default_rng(9)
+    centres = draw.normal(size=(12, 16))
+    v = np.concatenate((centres[draw.integers(0, 12, 3000)] + 0.05 * draw.normal(size=(3000, 16)), np.repeat(centres[:1], 200, 0), np.zeros((3, 16)), -centres[:4]))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(None, [1.0] * 16), (9999, None)], "id long, v array<double>")
+    length = np.sqrt((v * v).sum(1))
+    unit = v / np.where(length > 0, length, 1)[:, None]
+    sim = np.round(unit @ unit.T, 9)
+    seeds = [0, 5, 77, 3000, 3100, 3200, 3202, 3204]
+
+    def nearest(i, k, own):
+        order = sorted((j for j in range(len(v)) if own or j != i), key=lambda j: (-sim[i, j], j))
+        return [(j, sim[i, j]) for j in order[:k]]
+
+    for own in (False, True):
+        got = vector_search.nearest_vectors(df, spark.createDataFrame([(s,) for s in seeds], "id long"), 7, own, index=(i := vector_search.VectorIndex(df, 8, 16))).collect()
+        assert len(i.cells) > 8
+        for s in seeds:
+            mine = [(r.id, r.sim) for r in sorted((r for r in got if r.seed == s), key=lambda r: r.rank)]
+            assert [j for j, _ in mine] == [j for j, _ in nearest(s, 7, own)] and np.allclose([x for _, x in mine], [x for _, x in nearest(s, 7, own)])
+    shares = vector_search.compared_pairs(df, spark.createDataFrame([(s,) for s in (0, 5, 77, 3000)], "id long"), 7).first()
+    assert shares.n_pairs == 4 * len(v) and shares.share < 0.7
+    assert vector_search.nearest_vectors(df.limit(0), df, 3).count() == 0
+
+
+def test_titles_are_found_without_all_pairs(spark):
+    from affinix.functions.text import titles_match
+    from affinix.operators.catalogue import title_matches
+
+    titles = ["Dark Souls", "DARK SOULS: REMASTERED", "Dark Souls III", "Souls", "Ori", "The Witcher 2", "The Witcher: Enhanced", "Witch", "Go", "Let's go", "A", "", None, "abcd", "xabcdx", "dark", "Dark Souls"]
+    wanted = ["dark souls", "Dark Souls II", "the witcher 3: wild hunt", "go", "or", "a", "", None, " Witch ", "abcd", "zabcdz", "no such title", "dark souls"]
+    t, w = spark.createDataFrame([(x,) for x in titles], "title string"), spark.createDataFrame([(x,) for x in wanted], "wanted string")
+    every = w.distinct().crossJoin(t.distinct()).where(titles_match(F.col("wanted"), F.col("title"))).collect()
+    got = title_matches(w, t).collect()
+    # An empty title is part of nothing here: it has fewer than four characters.
+    assert {tuple(r) for r in got} == {tuple(r) for r in every} and len(got) == len(every)
+
+
+def test_samples(spark):
+    from affinix.operators import sampling
+
+    users = spark.createDataFrame([(u, 1, int(u % 2 == 0)) for u in range(50)], "user_id long, public int, complete int")
+    owned = spark.createDataFrame([(u, i, float(i % 3)) for u in range(50) for i in range(u)], "user_id long, item_id long, playtime double")
+    pool = spark.range(30).withColumnRenamed("id", "item_id")
+    got = sampling.example_library(users, owned, pool, 8).collect()
+    assert len({r.user_id for r in got}) == 1 and len(got) >= 8 and got[0].user_id % 2 == 0 and all(r.playtime > 0 for r in got)
+    assert sampling.example_library(users, owned, pool, 31).count() == 0
+    drawn = sampling.unscreened(spark, users, 40, 0, 100).collect()
+    assert len(drawn) == 40 and all(50 <= r.user_id <= 100 for r in drawn)
+    assert sampling.unscreened(spark, users, 10, -1, 50).count() == 0
+    rows = spark.createDataFrame([(k, s) for s, k in enumerate([5, None, 5, 9, 1, 9, 7])], "k long, s long")
+    assert {r.k for r in sampling.first_seen(rows, "k", "s", 3).collect()} == {5, 9, 1}
+    a, b = rows.limit(4), rows.subtract(rows.limit(4))
+    whole = {r.k for r in sampling.bottom_k(rows, "k", 2).collect()}
+    parts = sampling.bottom_k(a, "k", 2).unionByName(sampling.bottom_k(b, "k", 2))
+    assert {r.k for r in sampling.bottom_k(parts, "k", 2).collect()} == whole
+
+
+def test_routes(spark):
+    import itertools
+
+    kinds = ["library", "explore", "multi_entity", "anonymous", "seed", None]
+    rows = [(k, *facts) for k in kinds for facts in itertools.product([True, False], repeat=3)]
+    df = spark.createDataFrame(rows, "request_type string, has_library boolean, has_friend boolean, failed boolean")
+    got = {(r.request_type, r.has_library, r.has_friend, r.failed): r.kind for r in recommend.routed(df).collect()}
+    for kind, library, friend, failed in rows:
+        want = kind or "anonymous"
+        if want == "multi_entity" and not friend:
+            want = "library"
+        if want in ("library", "explore") and not library:
+            want = "anonymous"
+        if want == "anonymous" and library:
+            want = "library" if failed else "explore"
+        assert got[kind, library, friend, failed] == want, (kind, library, friend, failed)
