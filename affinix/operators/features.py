@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinix.functions.scratch import new_folder, stored
+
 
 def achievement_rates(lines: DataFrame) -> DataFrame:
     """(item_id, ach_id, pct): percent of an item's owners that unlocked each achievement."""
@@ -18,10 +20,11 @@ def surprisal(pct: Column) -> Column:
     return -F.ln(F.least(F.greatest(pct, F.lit(0.1)), F.lit(100.0)) / 100)
 
 
-def interactions(lines: DataFrame, items: DataFrame) -> DataFrame:
+def interactions(lines: DataFrame, items: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per user and item: playing time, completion, unlock times and rarity.
 
-    Playing time null is 0; completion is null where the item has no achievements.
+    Playing time null is 0; completion is null where the item has no achievements.  The lines are read once: what they say of a
+    user and an item, with the achievements unlocked, is written (in folder, a new one if there is none), and owners, rates and rarity come from that.
     """
     unlocked = F.col("flag") == "A"
     base = lines.groupBy("user_id", "item_id").agg(
@@ -30,14 +33,20 @@ def interactions(lines: DataFrame, items: DataFrame) -> DataFrame:
         F.min(F.when(unlocked, F.col("unlock_time"))).alias("unlock_first"),
         F.max(F.when(unlocked, F.col("unlock_time"))).alias("unlock_last"),
         F.count(F.when(unlocked, 1)).alias("n_unlocks"),
+        F.collect_list(F.when(unlocked, F.col("ach_id"))).alias("unlocked"),  # as many as a user has lines of an item
     )
-    rarity = lines.where(unlocked).select("user_id", "item_id", "ach_id").join(achievement_rates(lines), ["item_id", "ach_id"]).groupBy("user_id", "item_id").agg(F.avg(surprisal(F.col("pct"))).alias("mean_surprisal"), F.min("pct").alias("min_pct"))
+    base = stored(base, f"{folder or new_folder(lines.sparkSession, 'interactions')}/base")
+    owners = base.groupBy("item_id").agg(F.count("*").alias("owners"))
+    got = base.select("item_id", F.explode(F.array_distinct("unlocked")).alias("ach_id")).groupBy("item_id", "ach_id").agg(F.count("*").alias("n"))
+    rates = got.join(owners, "item_id").select("item_id", "ach_id", (100.0 * F.col("n") / F.col("owners")).alias("pct"))
+    rarity = base.select("user_id", "item_id", F.explode("unlocked").alias("ach_id")).join(rates, ["item_id", "ach_id"]).groupBy("user_id", "item_id").agg(F.avg(surprisal(F.col("pct"))).alias("mean_surprisal"), F.min("pct").alias("min_pct"))
     total = F.col("ach_total")
-    got = F.least(total, F.coalesce("progress", F.lit(0)).cast("long"))
+    met = F.least(total, F.coalesce("progress", F.lit(0)).cast("long"))
     return (
-        base.join(items.select("item_id", "ach_total"), "item_id", "left")
+        base.drop("unlocked")
+        .join(items.select("item_id", "ach_total"), "item_id", "left")
         .join(rarity, ["user_id", "item_id"], "left")
-        .select("user_id", "item_id", "playtime", got.alias("ach_unlocked"), "ach_total", "unlock_first", "unlock_last", "n_unlocks", "mean_surprisal", "min_pct", F.when(total > 0, got / total).alias("completion"))
+        .select("user_id", "item_id", "playtime", met.alias("ach_unlocked"), "ach_total", "unlock_first", "unlock_last", "n_unlocks", "mean_surprisal", "min_pct", F.when(total > 0, met / total).alias("completion"))
     )
 
 
