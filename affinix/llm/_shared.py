@@ -6,7 +6,6 @@ bytes of a column in place and never build a Python object for each word.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from affinix.functions.scratch import new_folder
+
 #: Bytes of text that the array helpers look at in one go; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 #: Documents in a chunk; their number within it must fit the top 12 bits of a sort key.
@@ -28,14 +29,8 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir.
-
-    Where that is unset, as in tests, below /tmp/checkpoints if executors run in the driver's process; on a cluster they don't share it, so it is refused.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(top or 'file:///tmp/checkpoints').rstrip('/')}/affinix-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir (see scratch.new_folder)."""
+    return new_folder(spark, "affinix")
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinix.llm._shared import free_name
+
 ROUNDS = 10
 #: For tests and examples; pass a secret of your own.
 KEY = "affinix-pseudonym-key"
@@ -175,15 +177,19 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with pseudonyms in text, and n_pii, the number of matches, added; one pass, no shuffle.
 
     Null stays null with 0 matches; empty and very long texts are treated like
-    others.  Texts without a digit or an @ skip the search.  All columns stay;
-    an existing n_pii is replaced.
+    others.  Texts without a digit or an @ skip the search.  Rows that repeat get the same text, as
+    equal values have equal pseudonyms.  Where shapes overlap, the match that begins first holds, and of those that begin together the
+    one that comes first in SHAPES.  An empty table gives an empty one.  All columns stay, but
+    for an n_pii that docs has already, which is replaced.
     """
+    kept, found_in = docs.drop("n_pii"), free_name(docs, "_found")
     text = F.col("text")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    with_found = docs.drop("n_pii").withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
+    with_found = kept.withColumn(found_in, F.coalesce(found, F.array().cast("array<string>")))
     pieces = F.split(text, PATTERN, -1)
-    filled = F.zip_with(pieces, F.transform("_found", lambda m: pseudonym(m, key)), lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
-    return with_found.withColumn("text", F.when(F.size("_found") > 0, F.array_join(filled, "")).otherwise(text)).withColumn("n_pii", F.size("_found").cast("long")).drop("_found")
+    filled = F.zip_with(pieces, F.transform(found_in, lambda m: pseudonym(m, key)), lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+    made = F.when(F.size(found_in) > 0, F.array_join(filled, "")).otherwise(text)
+    return with_found.withColumn("text", made).withColumn("n_pii", F.size(found_in).cast("long")).select(*kept.columns, "n_pii")
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """Secret scans: fixed shapes by pattern, unknown shapes by sliding-window Shannon entropy.
 
 Base kinds are found by pattern: ``assign``, ``access`` and ``hex``.  The
-entropy scan adds kind ``entropy``: in every candidate string (an unbroken run
-of one alphabet that holds digits and letters) it moves a window along, keeps the
-counts of its characters up to date as one enters and one leaves, and so has
-each window's entropy by one addition and one subtraction.  A run whose highest
-window reaches its class's threshold is a span, unless an allow-list pattern
-matches it or a base span covers it.
+entropy scan adds kind ``entropy``.  Every character class looks at the runs of its own
+alphabet, whatever stands around them: a prefix with a separator behind it doesn't hide a key.  In a run a window
+moves along, the counts of its characters are kept up to date as one enters and one leaves, and so
+each window's entropy is one addition and one subtraction.  A run whose highest
+window reaches its class's threshold is a candidate, unless an allow-list pattern
+matches all of it.  Candidates that touch or overlap are one span; those that a base span covers are none.
 """
 
 from __future__ import annotations
@@ -28,16 +28,22 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # leftmost and greedy: exactly the runs of 1
 BASE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Candidate strings, and per class: its alphabet, the window, and the bits a window must reach.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+"), 20, 3.0), ("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.7), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 4.0))
-#: Runs that look random but are no secrets.
+#: Per class: the runs of its alphabet, the window, and the bits a window must reach.  Runs of letters alone must change case often.
+CLASSES = (
+    ("hex", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"), 32, 3.1),
+    ("alnum", re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.55),
+    ("base64", re.compile(r"[A-Za-z0-9+/]{30,}={0,2}"), 30, 4.1),
+    ("url64", re.compile(r"[A-Za-z0-9_-]{30,}={0,2}"), 30, 4.1),
+)
+#: Runs that look random but are no secrets; a pattern must match a whole run.
 ALLOW = (
     re.compile(r"[0-9]+|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # plain numbers, UUIDs
-    re.compile(r"[-_/+=]*[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*[0-9]{0,4}"),  # words with a short number behind
-    re.compile(r".*(EXAMPLE|example|abcdefgh|ABCDEFGH|0123456789|1234567890).*"),  # placeholders
+    re.compile(r"(EXAMPLE|example|EXAMPLEKEY|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|abcdefgh|ABCDEFGH|0123456789|1234567890|123456789|x+|X+|[-_/+=])+"),  # placeholders
     re.compile(r"[-_=+/]+|[0-9]+([-/_][0-9]+)+"),  # rules, dates, ranges
 )
+#: The words of a name in any case, and how long they are on average where a run is such a name with few digits.
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+WORD_LENGTH, FEW_DIGITS = 3.0, 4
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, spans string, base_sha256 string"
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, 256)]
 
@@ -61,17 +67,29 @@ def highest_entropy(run: str, window: int) -> float:
     return math.log2(w) - best / w if w else 0.0
 
 
+def _plausible(run: str) -> bool:
+    """Whether a run's make-up can be a key's: letters and digits, or letters of both cases, but not words with a short number."""
+    letters, digits = sum(map(str.isalpha, run)), sum(map(str.isdigit, run))
+    if letters < 2 or run.islower() and not digits or run.isupper() and not digits:
+        return False
+    return digits > FEW_DIGITS or letters < WORD_LENGTH * len(WORD.findall(run))
+
+
 def entropy_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> Iterator[tuple[int, int]]:
-    """Runs with a window of high entropy for their character class."""
-    for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if any(p.fullmatch(run) for p in allow):
-            continue
-        window, bits = next((w, b) for _, p, w, b in CLASSES if p.fullmatch(run))
-        if highest_entropy(run, window) >= bits:
-            yield m.start(), m.end()
+    """Runs of any class with a window of high entropy, those that touch or overlap joined."""
+    found = []
+    for _, pattern, window, bits in CLASSES:
+        for m in pattern.finditer(text):
+            run = m.group()
+            if _plausible(run) and not any(p.fullmatch(run) for p in allow) and highest_entropy(run, window) >= bits:
+                found.append(m.span())
+    joined: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if joined and start <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+        else:
+            joined.append((start, end))
+    yield from joined
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -117,7 +135,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with every span of every kind replaced by mask, overlapping ones by one; all columns stay.
 
-    Null stays null, empty stays empty, repeated rows are treated alike.
+    Null stays null, empty stays empty, repeated rows are treated alike; texts of any length are read whole, an empty table stays empty.
     """
     names = docs.columns
     at = names.index("text")

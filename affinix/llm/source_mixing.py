@@ -19,8 +19,8 @@ from affinix.llm._shared import free_name
 MAX_RATE = 700.0
 #: Copies that one array holds.
 RUN = 1 << 16
-#: Above so many sources the rates are no longer broadcast.
-MAX_BROADCAST = 100_000
+#: Bytes of the sources' distributions above which they are no longer broadcast.
+MAX_BROADCAST = 32 << 20
 SEED = 20240229
 
 
@@ -74,7 +74,8 @@ def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None,
     own, draws, steps, count, run = (free_name(docs, x) for x in ("_source", "_draws", "_steps", "_count", "_run"))
     n_draws = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     per_source = rates(base, weights, size).select(F.col("source").alias(own), F.col("rate").alias(rate), n_draws.alias(draws), poisson_steps(F.col("rate") / n_draws).alias(steps))
-    few = per_source.select(own).limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    size_of = F.coalesce(F.octet_length(own), F.lit(0)) + 8 * F.size(steps) + 64
+    few = (per_source.agg(F.sum(size_of.cast("long"))).first()[0] or 0) <= MAX_BROADCAST
     joined = base.join(F.broadcast(per_source) if few else per_source, base["source"].eqNullSafe(per_source[own]))
 
     def drawn(*part: Column) -> Column:
