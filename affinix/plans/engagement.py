@@ -208,8 +208,8 @@ def _(spark, d):
     return inter.join(mean, "item_id").select("user_id", "item_id", scores.playtime_weight(F.col("playtime"), F.col("mean")).alias("w"))
 
 
-@query("liked_map", f"WITH {INTER}, s AS (SELECT user_id, item_id, coalesce({PCTL}, 0) AS s FROM inter) SELECT user_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM s WHERE s > 0.25 AND item_id IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY user_id")
+@query("liked_map", f"WITH {INTER}, s AS (SELECT user_id, item_id, coalesce({PCTL}, 0) AS s FROM inter) SELECT user_id, count(*) AS n, string_agg(item_id || '=' || CAST(round(s * 1000000)::BIGINT AS VARCHAR), ',' ORDER BY item_id) AS items FROM s WHERE s > 0.25 AND item_id IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY user_id")
 def _(spark, d):
     inter = inter_of(spark, d)
     m = scores.liked_map(scores.pctl_game(inter), tables.items(spark, d).where("size > 10"), 0.25)
-    return m.select("user_id", F.size("liked").cast("long").alias("n"), F.array_join(F.transform(F.array_sort(F.map_keys("liked")), lambda x: x.cast("string")), ",").alias("items"))
+    return m.select("user_id", F.size("liked").cast("long").alias("n"), F.array_join(F.transform(F.array_sort(F.map_entries("liked")), lambda x: F.concat(x["key"].cast("string"), F.lit("="), F.round(x["value"] * 1_000_000).cast("long").cast("string"))), ",").alias("items"))

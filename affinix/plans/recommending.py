@@ -16,7 +16,7 @@ from affinix.plans._frames import frames, once
 from affinix.plans._sql import COOC, INTER, LIKED, normal_cdf
 from affinix.plans.engagement import inter_of as made_inter_of
 from affinix.plans.engagement import rounded
-from affinix.plans.items import _CAT, _PAIRS, _POP, TAGS, catalogue_of, popularity_of, tags_of
+from affinix.plans.items import _CAT, _POP, _QPCT, TAGS, catalogue_of, popularity_of, quality_pct_of, tags_of
 from affinix.sources import tables
 
 QUERIES: dict = {}
@@ -298,6 +298,45 @@ def _(spark, d):
     return recommend.steered(cands, sims, recommend.STRENGTH["medium"], content.aspect_scores(tags_of(spark, d), ["red", "ring"]))
 
 
+# Hybrid and steered lists with every gate: warm items can be had, cold ones too, of eight tried for each free place those of known low quality go.
+_HAD = f"""{_STEER.replace('WITH ', f'WITH {_CAT}, {_QPCT}, ', 1)}, {_CONTENT},
+cs AS (SELECT user_id, item_id, round(sum(tp.weight * unit.weight), 9) AS sim FROM tp JOIN unit USING (tag) WHERE user_id % 100 = 0 GROUP BY 1, 2),
+gone AS (SELECT item_id FROM cat WHERE NOT is_free AND price IS NULL), wm AS (SELECT cf.*, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cf WHERE user_id % 100 = 0 AND score > 0 AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.user_id = cf.user_id AND lk.item_id = cf.item_id) AND item_id NOT IN (SELECT item_id FROM gone))"""
+_FILLED = """warm AS (SELECT user_id, item_id, score, rank FROM {warm}), hv AS (SELECT user_id, count(*) AS have FROM warm GROUP BY 1),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, item_id) AS r FROM cs WHERE sim > 0 AND item_id NOT IN (SELECT item_id FROM gone) AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.user_id = cs.user_id AND lk.item_id = cs.item_id) AND NOT EXISTS (SELECT 1 FROM warm WHERE warm.user_id = cs.user_id AND warm.item_id = cs.item_id)),
+c2 AS (SELECT c1.user_id, c1.item_id, sim, row_number() OVER (PARTITION BY c1.user_id ORDER BY sim DESC, c1.item_id) AS r2 FROM c1 LEFT JOIN hv USING (user_id) LEFT JOIN qp ON qp.item_id = c1.item_id WHERE r <= 8 * ({k} - coalesce(have, 0)) AND (pct IS NULL OR pct >= 0.3)),
+hy AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o, r) AS rank FROM (SELECT user_id, item_id, score, 'cf' AS source, 0 AS o, rank AS r FROM warm UNION ALL SELECT user_id, item_id, sim, 'cold', 1, r2 FROM c2))"""
+
+
+def signals_of(spark, d):
+    return quality_pct_of(spark, d).select("item_id", F.lit(None).cast("double").alias("metacritic"), F.col("pct").alias("quality_pct"), F.lit(None).cast("double").alias("pop_pct"))
+
+
+def _some(df):
+    return df.where("user_id % 100 = 0")
+
+
+@query("hybrid_gated", f"{_HAD}, {_FILLED.format(warm='wm WHERE rank <= 30', k=60)} SELECT user_id, item_id, round(score, 6) AS score, source, rank FROM hy WHERE rank <= 60")
+def _(spark, d):
+    lk, cat = liked_of(spark, d), catalogue_of(spark, d)
+    warm = recommend.warm_list(_some(cf_of(spark, d)), lk, cat, cap=30)
+    sims = content_of(spark, d).withColumn("sim", F.round("sim", 9))
+    return recommend.cold_filled(warm.drop("rank"), sims, tables.items(spark, d), lk, 60, cat, signals_of(spark, d)).select("user_id", "item_id", "score", "source", "rank")
+
+
+@query("steered_gated", f"""{_HAD}, w6 AS (SELECT wm.user_id, wm.item_id, wm.score, coalesce(sim, 0) AS sim FROM wm LEFT JOIN cs ON cs.user_id = wm.user_id AND cs.item_id = wm.item_id WHERE rank <= 600 AND wm.user_id % 500 <> 0),
+g1 AS (SELECT *, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-12) AS s, 1 - (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w + 1e-12) AS nv FROM w6 WINDOW w AS (PARTITION BY user_id)),
+g2 AS (SELECT user_id, item_id, s * pow(least(greatest(nv, 1e-6), 1), 2.0) AS score FROM g1 LEFT JOIN qp USING (item_id) WHERE pct IS NULL OR pct >= 0.3), g3 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM g2),
+{_FILLED.format(warm='wm WHERE rank <= 0', k=20)} SELECT user_id, item_id, round(score, 6) AS score, 'steer' AS source, rank FROM g3 WHERE rank <= 20 UNION ALL SELECT user_id, item_id, round(score, 6), source, rank FROM hy WHERE rank <= 20 AND user_id NOT IN (SELECT user_id FROM w6)""")
+def _(spark, d):
+    """Users whose id 500 divides have no warm items here, and so the fallback."""
+    lk, cat, signals = liked_of(spark, d), catalogue_of(spark, d), signals_of(spark, d)
+    warm = recommend.warm_list(_some(cf_of(spark, d)), lk, cat).where("user_id % 500 <> 0")
+    sims = content_of(spark, d).withColumn("sim", F.round("sim", 9))
+    fallback = recommend.cold_filled(warm.drop("rank").limit(0), sims, tables.items(spark, d), lk, 20, cat, signals)
+    return recommend.steered_list(warm, sims, recommend.STRENGTH["medium"], 20, signals, fallback).select("user_id", "item_id", "score", "source", "rank")
+
+
 @query("interleave", f"{_CF}, l AS (SELECT user_id AS list, item_id, rank AS pos FROM rec WHERE rank <= 50), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos, list) AS n FROM l), g AS (SELECT item_id, list, pos, row_number() OVER (ORDER BY pos, list) AS rank FROM f WHERE n = 1) SELECT item_id, list, pos, rank FROM g WHERE rank <= 100")
 def _(spark, d):
     lists = recs_of(spark, d, 50).select(F.col("user_id").alias("list"), "item_id", F.col("rank").alias("pos"))

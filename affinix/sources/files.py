@@ -16,6 +16,13 @@ def fingerprints(spark: SparkSession, path: str, pattern: str | None = None) ->
     return contents(spark, path, pattern).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.substring(F.sha2("content", 256), 1, 16).alias("sha256"), F.col("length").alias("size"))
 
 
+def expected(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(name, there, sha256 of 16 digits, size) of the files that a folder should hold; those that it lacks have neither digest nor size."""
+    wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    found = fingerprints(spark, path).join(F.broadcast(wanted), "name", "left_semi")
+    return wanted.join(found, "name", "left").select("name", F.col("size").isNotNull().alias("there"), "sha256", "size")
+
+
 def file_info(spark: SparkSession, path: str) -> DataFrame:
     return contents(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.md5("content").alias("md5"))
 

@@ -410,3 +410,22 @@ def test_routes(spark):
         if want == "anonymous" and library:
             want = "library" if failed else "explore"
         assert got[kind, library, friend, failed] == want, (kind, library, friend, failed)
+
+
+def test_small_helpers(spark):
+    from affinix.functions import text
+    from affinix.operators import content
+
+    wanted = spark.createDataFrame([(" Co Op ",), ("RPG",), ("none",)], "name string")
+    assert {r.tag for r in content.resolved_tags(wanted, spark.createDataFrame([("co-op",), ("rpg",)], "tag string")).collect()} == {"co-op", "rpg"}
+    assert spark.range(1).select(text.joined(F.array(F.lit("a"), F.lit("b"))).alias("x")).first().x == "a, b"
+    labels = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 40), (5, 50)], "seed_item long, seed_support long")
+    stats = evaluation.label_stats(labels).first()
+    assert stats.n_labels == 5 and stats.support_quartiles == [10, 20, 30, 40, 50]
+    recs = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "user_id long, item_id long, rank int")
+    truth = spark.createDataFrame([(1, 11)], "user_id long, item_id long")
+    assert {r.k: r.recall for r in evaluation.per_seed(recs, truth, [1, 2]).collect()} == {1: 0.0, 2: 1.0}
+    votes = '{"name":"N","positive":7,"negative":"x","score_rank":"","tags":{"RPG":5}}'
+    r = spark.createDataFrame([(votes,)], "j string").select(store.parsed_votes(F.col("j")).alias("p"), store.today_utc().alias("d"), store.now_iso().alias("t")).first()
+    assert r.p.positive == 7 and r.p.negative is None and r.p.score_rank is None and r.p.tags_json == '{"RPG":5}'
+    assert len(r.d) == 10 and r.t.startswith(r.d[:8]) and r.t.endswith("+00:00")

@@ -50,5 +50,17 @@ def test_query(spark, duck, name):
         assert got
 
 
+@pytest.mark.parametrize("partitions", ["4", "8"])
+def test_metric_validation_on_more_rows(spark, partitions):
+    """Lists of many systems are put together whatever the partitions of each."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.system: r.recall for r in entry.queries()["metric_validation"](spark, "/root/testdata/sf0.01").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 7 and got["oracle"] > got["oracle_drop5"] > got["oracle_drop10"] >= got["random"]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -77,3 +77,26 @@ def test_sinks_and_lists(spark, tmp_path):
     files.append_log(df, f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log").count() == 4
     assert spark.read.parquet(files.versioned(df, f"{tmp_path}/v", "3")).count() == 2
+
+
+def test_a_run_folder(spark, tmp_path):
+    from affinix.sources.runs import Run, manifests, means, registry
+
+    run = Run(spark, str(tmp_path), "r1").begin({"k": 10, "seed": 42})
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        Run(spark, str(tmp_path), "r1").begin({})
+    rows = spark.createDataFrame([(1, "a", 0.5), (2, "a", 1.0), (3, "b", float("nan")), (4, "b", None)], "user_id long, system string, recall double")
+    run.per_query(rows)
+    assert run.read_per_query("user_id long, system string, recall double").count() == 4
+    of_system = means(rows, ["system"], ["recall"])
+    run.aggregate(of_system)
+    assert [(r.system, r.metric, r.n, r["mean"]) for r in of_system.collect()] == [("a", "recall", 2, 0.75)]
+    run.report("# Title\n\nbody", "2026-01-02", "keep")
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/r1/report.md").collect()]
+    assert lines == ["# Title", "", "> **run**: `r1` · **day**: 2026-01-02", "> **decision**: keep", "", "body"]
+    run.register({"recall": 0.75})
+    Run(spark, str(tmp_path), "r2").begin({}).register({"recall": 0.5})
+    assert sorted(r.run_id for r in manifests(spark, str(tmp_path)).collect()) == ["r1", "r2"] == sorted(r.run_id for r in registry(spark, str(tmp_path)).collect())
+    (tmp_path / "x.txt").write_text("x")
+    got = {r.name: (r.there, r.size) for r in files.expected(spark, f"{tmp_path}/*.txt", ["x.txt", "y.txt"]).collect()}
+    assert got == {"x.txt": (True, 1), "y.txt": (False, None)}
