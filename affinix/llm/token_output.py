@@ -33,6 +33,8 @@ BLOCK_IDS = 1 << 20
 #: Text pieces whose ids a Python worker remembers; beyond it, the older half stays: what came early comes often.
 MEMO_PIECES = 1_200_000
 _STEP = 512
+#: Values that are packed, or looked up, in one go.
+_PART = 1 << 12
 #: ASCII marks that the pre-tokenizer always parts from letters before them (the apostrophe isn't one).
 _MARKS = ".,;:!?#$%&*|()[]{}<>+=/\\~^@_\"-"
 #: Documents whose ids are farther apart than this don't share a block.
@@ -55,11 +57,12 @@ class EliasFano:
         if not n:
             return cls(0, 0, b"", b"", b"")
         bits = max(0, int(values[-1]) // n).bit_length() - 1 if values[-1] >= n else 0
-        low = ((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel()
+        # Some at a time: a multiple of eight values fills whole bytes.
+        low = b"".join(np.packbits(((values[at : at + _PART, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes() for at in range(0, n, _PART))
         high = np.zeros((int(values[-1]) >> bits) + n, np.uint8)
         high[(values >> bits) + np.arange(n)] = 1
         before = np.concatenate(([0], np.cumsum(high)))[::_STEP].astype("<u4")
-        return cls(bits, n, np.packbits(low, bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), before.tobytes())
+        return cls(bits, n, low, np.packbits(high, bitorder="little").tobytes(), before.tobytes())
 
     def select(self, i: int) -> int:
         """The i-th value: jumps by the rank samples to 512 bits, and looks at no others."""
@@ -76,6 +79,27 @@ class EliasFano:
             value = value << self.low_bits | piece & ((1 << self.low_bits) - 1)
         return value
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i, in any order: as select(), for many at once."""
+        rank, high, low = np.frombuffer(self.rank, "<u4"), np.frombuffer(self.high, np.uint8), np.frombuffer(self.low, np.uint8)
+        width = _STEP // 8
+        blocks = np.zeros(-(-len(high) // width) * width, np.uint8)
+        blocks[: len(high)] = high
+        blocks = blocks.reshape(-1, width)
+        out = []
+        for part in np.split(i, range(_PART, len(i), _PART)):
+            at = np.searchsorted(rank, part, "right") - 1
+            # The samples say which 512 bits; in these, the place of the bit that has so many before it.
+            bits = np.unpackbits(blocks[at], axis=1, bitorder="little")
+            place = (np.cumsum(bits, axis=1) > (part - rank[at])[:, None]).argmax(axis=1)
+            value = at * _STEP + place - part
+            if self.low_bits:
+                own = part[:, None] * self.low_bits + np.arange(self.low_bits)
+                piece = (low[own >> 3] >> (own & 7).astype(np.uint8) & 1).astype(np.int64)
+                value = value << self.low_bits | (piece << np.arange(self.low_bits)).sum(1)
+            out.append(value)
+        return np.concatenate(out).astype(np.int64) if len(i) else np.zeros(0, np.int64)
+
     def decode(self) -> np.ndarray:
         """All values."""
         if not self.n:
@@ -277,14 +301,14 @@ def block_starts(blocks: DataFrame) -> DataFrame:
 def read_documents(blocks: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (of 32-bit little-endian ids).
 
-    Blocks are decoded where they are read; only a narrow row per document meets the starts of the blocks.
+    Where documents end is looked up by select in the blocks that are read; only a narrow row per document meets the starts of the blocks.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
                 names, bounds, data = _parts(r)
-                ends, data = bounds.decode(), data.astype("<u4")
+                ends, data = bounds.select_many(np.arange(bounds.n)), data.astype("<u4")
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 crc = [zlib.crc32(data[a:b]) for a, b in zip(starts, ends, strict=True)]
                 n = len(crc)

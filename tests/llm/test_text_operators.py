@@ -367,6 +367,8 @@ def test_special_strings_can_be_text():
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 2, 900, 10**6], list(range(0, 9000, 7)), [10**12]])
 def test_elias_fano(values):
     e = token_output.EliasFano.of(np.array(values, np.int64))
+    backwards = np.arange(len(values))[::-1]
+    assert e.select_many(backwards).tolist() == values[::-1]
     assert e.decode().tolist() == values and [e.select(i) for i in range(len(values))] == values
     with pytest.raises(IndexError):
         e.select(len(values))
