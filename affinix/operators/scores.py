@@ -2,7 +2,7 @@
 
 Each is one plan of columns and windows over the interactions; REGISTRY names
 them, and new ones are added with @score.  Zero playing time scores 0 unless a
-score says otherwise.  Null becomes 0 only at the end.
+score says otherwise.  Null becomes 0 only at the end.  The names of scores and the defaults of their parameters are fixed values.
 """
 
 from __future__ import annotations

@@ -67,3 +67,17 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_stats(df: DataFrame, path: str) -> None:
     """A table of statistics as JSON lines in a new folder."""
     df.write.mode("error").json(path)
+
+
+def write_scores(df: DataFrame, path: str) -> None:
+    """A table of scores as Parquet parts in a new folder."""
+    df.write.mode("error").parquet(path)
+
+
+def read_scores(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Columns of a folder of Parquet parts, or of CSV parts with a header (numbers and texts by what all rows allow); a column that it lacks is refused."""
+    reader = spark.read
+    df = reader.option("header", True).option("inferSchema", True).csv(path) if path.rstrip("/").endswith(".csv") else reader.parquet(path)
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df.select(*columns)

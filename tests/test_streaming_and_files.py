@@ -2,6 +2,7 @@
 
 import pytest
 
+from affinix.operators import ease
 from affinix.sources import files, tables
 from affinix.streaming.upserts import current, upsert_stream
 
@@ -70,6 +71,15 @@ def test_sinks_and_lists(spark, tmp_path):
             write(df, f"{tmp_path}/{path}")
     (tmp_path / "l.json").write_text('["x", "y"]')
     assert [(r.position, r.value) for r in tables.json_list(spark, f"{tmp_path}/l.json").collect()] == [(0, "x"), (1, "y")]
+    tables.write_csv(df, f"{tmp_path}/scores.csv")
+    tables.write_scores(df, f"{tmp_path}/scores")
+    for path in ("scores.csv", "scores"):
+        assert sorted((r.k, r.x) for r in tables.read_scores(spark, f"{tmp_path}/{path}", ["k", "x"]).collect()) == [(1, 2.5), (2, None)]
+        with pytest.raises(ValueError, match="gone"):
+            tables.read_scores(spark, f"{tmp_path}/{path}", ["gone"])
+    weights = spark.createDataFrame([(1, 2, 0.5), (2, 1, -0.25)], "i long, j long, sim double")
+    ease.save_weights(weights, f"{tmp_path}/b")
+    assert sorted(ease.load_weights(spark, f"{tmp_path}/b").collect()) == sorted(weights.collect())
     files.new_run(df, f"{tmp_path}/run")
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         files.new_run(df, f"{tmp_path}/run")
