@@ -17,6 +17,11 @@ between sets make needless:
   entries of like position and size: a block whose bounds leave no room for the
   overlap is skipped whole.  After this no pair of one list is untried across
   components, so no link is lost.
+* Links within a component are counted by what its sets differ in from one of them,
+  the root: the overlap of any two follows from their overlaps with the root and from
+  what their differences share, so whole sets are compared with the root alone.
+  Blocks of members whose sizes or distances from the root are too far apart
+  for any link (the distance is a metric) never meet.
 
 Frequencies are counted over all documents in a sketch of fixed size; that, and a
 filter of fixed size that keeps most texts no one asks for out of the shuffle,
@@ -49,6 +54,9 @@ BLOCK = 256
 #: Members of the largest component that an entry meets in a round before the blocks, and such rounds at most.
 MEET = 16
 ROUNDS = 3
+#: Members of a component, and shingles that they differ in from its root, in a block whose links are counted in one go.
+MEMBERS = 1024
+DIFFERENCES = 1 << 18
 #: Bits (as a power of two) of the filter of texts that are asked for.
 FILTER_BITS = 24
 _TOKEN_BITS = 52
@@ -230,8 +238,8 @@ def _asked_for(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, text string")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """Those of pairs(a, b) whose sets have Jaccard 0.75 or more, written.
+def _beside_leaders(pairs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """(a, part, member, b, text) for pairs(a, b): in each part a's text (member 0) is followed by those of its b (member 1).
 
     a's text is sent once for up to STAR members, and each member's text once for
     each pair; rows come sorted, so that one set is in hand.
@@ -240,6 +248,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str
     member = pairs.join(counts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), F.lit(1).alias("member"), "b")
     leader = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("a").alias("b"))
     asked = written(member.unionByName(leader).join(classes.select(F.col("cls").alias("b"), "row"), "b"), f"{folder}-asked")
+    sent = _asked_for(rows, asked).join(asked, "row").select("a", "part", "member", "b", "text")
+    return sent.repartition("a", "part").sortWithinPartitions("a", "part", "member", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """Those of pairs(a, b) whose sets have Jaccard 0.75 or more, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.zeros(0, np.uint64)
@@ -259,11 +273,126 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str
                         right.append(b[k])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    sent = _asked_for(rows, asked).join(asked, "row").select("a", "part", "member", "b", "text")
-    dealt = sent.repartition("a", "part").sortWithinPartitions("a", "part", "member").select("a", "member", "b", "text")
+    dealt = _beside_leaders(pairs, rows, classes, folder).select("a", "member", "b", "text")
     return written(dealt.mapInArrow(run, "a long, b long"), f"{folder}-links")
 
 
+def _differences(members: DataFrame, rows: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """(root, cls, n, gone, differing) per member of a component: its size, how many of the root's shingles it lacks, and the shingles that one of both has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.zeros(0, np.uint64)
+        last = None
+        for batch in batches:
+            root, member, at, cls = (batch.column(k).to_numpy() for k in range(4))
+            n, gone, differing, keep = [], [], [], np.ones(batch.num_rows, bool)
+            for i, j, data, offsets in chunks(batch.column(4), lower=True):
+                tokens, first = shingle_sets(data, offsets)
+                for k in range(i, j):
+                    own = tokens[first[k - i] : first[k - i + 1]]
+                    if not member[k]:
+                        lead = own
+                    # repeated rows come side by side; the root is a member too, in its first part
+                    keep[k] = (root[k], at[k], cls[k]) != last and (member[k] or at[k] == 0)
+                    last = (root[k], at[k], cls[k])
+                    if not keep[k]:
+                        continue
+                    other = np.setxor1d(lead, own, assume_unique=True)
+                    n.append(len(own))
+                    gone.append((len(other) + len(lead) - len(own)) // 2)
+                    differing.append(other.tobytes())
+            part = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(differing, pa.binary())], ["root", "cls", "n", "gone", "differing"])
+
+    pairs = members.where("cls <> root").select(F.col("root").alias("a"), F.col("cls").alias("b"))
+    dealt = _beside_leaders(pairs, rows, classes, folder).select("a", "member", "part", "b", "text")
+    return written(dealt.mapInArrow(run, "root long, cls long, n long, gone long, differing binary"), f"{folder}-differences")
+
+
+def shared_counts(tokens_a: np.ndarray, first_a: np.ndarray, tokens_b: np.ndarray, first_b: np.ndarray, limit: int = 1 << 22) -> np.ndarray:
+    """How many tokens each row of a shares with each row of b; rows hold distinct tokens, first is the index of each row's first."""
+    n, m = len(first_a) - 1, len(first_b) - 1
+    found = np.zeros(n * m, np.int64)
+    order = np.argsort(tokens_b, kind="stable")
+    known, owner = tokens_b[order], np.repeat(np.arange(m), np.diff(first_b))[order]
+    low = np.searchsorted(known, tokens_a, "left")
+    times = np.searchsorted(known, tokens_a, "right") - low
+    met = np.flatnonzero(times)
+    row, low, times = np.repeat(np.arange(n), np.diff(first_a))[met], low[met], times[met]
+    ends = np.cumsum(times)
+    i = 0
+    while i < len(met):
+        done = ends[i] - times[i]
+        j = max(int(np.searchsorted(ends, done + limit, "right")), i + 1)
+        at = np.arange(int(ends[j - 1] - done)) + np.repeat(low[i:j] - (ends[i:j] - times[i:j] - done), times[i:j])
+        found += np.bincount(np.repeat(row[i:j], times[i:j]) * m + owner[at], minlength=n * m)
+        i = j
+    return found.reshape(n, m)
+
+
+def _near(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of one cell (two blocks of a component, or one with itself) and how many documents their links there reach."""
+    left, right, side, cls, copies, n, gone = (cell.column(c).to_numpy() for c in ("left", "right", "side", "cls", "copies", "n", "gone"))
+    parts = cell.column("differing").to_pylist()
+    tokens = np.frombuffer(b"".join(parts), np.uint64)
+    first = np.concatenate(([0], np.cumsum([len(x) // 8 for x in parts]))).astype(np.int64)
+    root = n[0] - (first[1] - first[0]) + 2 * gone[0]
+    same = left[0] == right[0]
+    x = int((side == 0).sum())
+    ours, theirs = slice(0, x), slice(0, x) if same else slice(x, len(cls))
+    a, b = tokens[: first[x]], tokens[: first[x]] if same else tokens[first[x] :]
+    first_b = first[: x + 1] if same else first[x:] - first[x]
+    both = root - gone[ours, None] - gone[None, theirs] + shared_counts(a, first[: x + 1], b, first_b)
+    linked = 100 * both >= 75 * (n[ours, None] + n[None, theirs] - both)
+    if same:
+        np.fill_diagonal(linked, False)
+        return cls, linked @ copies
+    return cls, np.concatenate((linked @ copies[theirs], linked.T @ copies[ours]))
+
+
+def _links_within(members: DataFrame, differences: DataFrame) -> DataFrame:
+    """(cls, near): how many documents of other classes each member of a component is linked with.
+
+    members(root, cls, copies); the blocks of a component have members of like size
+    and distance from the root, and every pair of blocks that leaves room for a link is one cell of bounded size.
+    """
+    size, band = "cast(log(4D / 3D, n) as long)", "cast(floor(4D * (octet_length(differing) / 8) / (n + gone)) as long)"
+    placed = differences.withColumn("kin", F.expr(f"{size} << 40 | {band} << 36"))
+    parts = placed.groupBy("root", "kin").agg(F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum(F.octet_length("differing")) / F.lit(8 * DIFFERENCES)), F.lit(1)).alias("parts"))
+    blocks = parts.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "kin").select("root", (F.col("kin") + F.col("part")).alias("block"))
+    near = "right >= left and (right >> 40) - (left >> 40) <= 1 and abs((right >> 36 & 15) - (left >> 36 & 15)) <= 1"
+    cells = blocks.withColumnRenamed("block", "left").join(blocks.withColumnRenamed("block", "right"), "root").where(near)
+    sent = cells.select("root", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block")).withColumn("side", (F.col("block") > F.col("left")).cast("int"))
+    own = placed.join(parts, ["root", "kin"]).withColumn("block", F.expr("kin + pmod(xxhash64(cls), parts)")).join(members.select("cls", "copies"), "cls")
+    rows = sent.join(own.select("root", "block", "cls", "copies", "n", "gone", "differing"), ["root", "block"]).drop("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand: list[pa.Table] = []
+        of = None
+
+        def counted(cell: pa.Table) -> pa.RecordBatch:
+            cls, near = _near(cell)
+            return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(near, pa.int64())], ["cls", "near"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
+                continue
+            keys = np.stack([table.column(c).to_numpy() for c in ("root", "left", "right")], axis=1)
+            starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(table)]))
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if hand and of != tuple(keys[i]):
+                    yield counted(pa.concat_tables(hand))
+                    hand = []
+                of = tuple(keys[i])
+                hand.append(table.slice(i, j - i))
+        if hand:
+            yield counted(pa.concat_tables(hand))
+
+    dealt = rows.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right", "side")
+    return dealt.mapInArrow(run, "cls long, near long").groupBy("cls").agg(F.sum("near").alias("near"))
+
+
 def _torn(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries (token, cls, root, n, at, main, length) of lists that hold several components; main is the largest there."""
     placed = entries.select("token", F.col("a").alias("cls"), "place").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -300,8 +429,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
-def _linked(docs: DataFrame, folder: str) -> DataFrame:
-    """(row, doc_id, n_shingles, cls, root, component_id) per row; root names the component, null where there are no shingles."""
+def _linked(docs: DataFrame, folder: str, count: bool = False) -> DataFrame:
+    """(row, doc_id, n_shingles, cls, root, component_id) per row, and n_links with count; root names the component, null where there are no shingles."""
     rows = _rows(docs).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = _profile(rows, f"{folder}/profile")
     sets = profile.where("kind = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
@@ -309,7 +438,7 @@ def _linked(docs: DataFrame, folder: str) -> DataFrame:
     stars = written(lists.where("kind = 0").select("a", "b").distinct(), f"{folder}/stars")
     entries = lists.where("kind = 1").select("token", "a", "place")
 
-    classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"))
+    classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count("*").alias("copies"))
     roots = components(_verified(stars, rows, classes, f"{folder}/stars"), f"{folder}/components")
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in range(ROUNDS + 1):
@@ -321,22 +450,31 @@ def _linked(docs: DataFrame, folder: str) -> DataFrame:
             roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(links), f"{folder}/components-{turn}")
             tried = tried.union(pairs)
 
-    rooted = classes.select("cls", "low").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = rooted.join(lowest, "root").select("cls", "root", "component_id")
-    return sets.join(ids, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    rooted = classes.select("cls", "low", "copies").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    groups = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("classes"), F.sum("copies").alias("rows"))
+    ids = rooted.join(groups, "root")
+    if not count:
+        return sets.join(ids.select("cls", "root", "component_id"), "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # one class, or two that are linked: all rows are; else links are counted
+    members = written(ids.where("classes > 2").select("root", "cls", "copies"), f"{folder}/members")
+    near = _links_within(members, _differences(members, rows, classes, f"{folder}/members"))
+    ids = ids.join(near, "cls", "left").withColumn("n_links", F.when(F.col("classes") > 2, F.col("copies") + F.col("near")).otherwise(F.col("rows")) - 1)
+    counted = sets.join(ids.select("cls", "root", "component_id", "n_links"), "cls", "left")
+    return counted.withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
 
 
 def linked_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, class_id (a hash of the set) and component_id.
-
-    component_id is the lowest doc_id that links reach, its own included.  Texts
-    without words (null, empty, white space) have 0 shingles, null class_id and
-    their own doc_id.  Repeated rows are equal sets and so linked; a null doc_id is
-    never the lowest.  Extra columns are not looked at.
+    """Per row of docs(doc_id, text): doc_id, n_shingles, class_id (a hash of the set), component_id and n_links.
+
+    component_id is the lowest doc_id that links reach, its own included; n_links is
+    the number of other rows that the row is linked with.  Texts
+    without words (null, empty, white space) have 0 shingles, null class_id,
+    their own doc_id and no links.  Repeated rows are equal sets and so linked; a null doc_id is
+    never the lowest.  Texts of any length are read whole, an empty table gives none,
+    ties don't matter, and extra columns are not looked at.
     """
-    found = _linked(docs, folder or shared_folder(docs.sparkSession))
-    return found.select("doc_id", "n_shingles", F.col("cls").alias("class_id"), "component_id")
+    found = _linked(docs, folder or shared_folder(docs.sparkSession), count=True)
+    return found.select("doc_id", "n_shingles", F.col("cls").alias("class_id"), "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, folder: str | None = None) -> DataFrame:

@@ -77,6 +77,35 @@ def test_jaccard_rounds_leave_nothing(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def brute_links(rows, k=5):
+    sets = []
+    for _, t in rows:
+        w = (t or "").translate(LOWER).encode().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    return sorted(((d, sum(bool(a & b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets) if j != i)) for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+@pytest.mark.parametrize(("members", "differences"), [(1024, 1 << 18), (3, 1 << 18), (1024, 40)])
+def test_jaccard_links_are_counted(spark, monkeypatch, members, differences):
+    """Near copies, repeated rows and chains of sets that drift away from where they began, in blocks of any size."""
+    monkeypatch.setattr(ngram_jaccard, "MEMBERS", members)
+    monkeypatch.setattr(ngram_jaccard, "DIFFERENCES", differences)
+    monkeypatch.setattr(ngram_jaccard, "STAR", 7)
+    rows = near_copies(4, 120) + ODD
+    rows += [(1000 + i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 40 + i))) for i in range(25)] + [(1003, " ".join(f"w{j}" for j in range(9, 52)))]
+    got = sorted([(r.doc_id, r.n_links) for r in ngram_jaccard.linked_documents(frame(spark, rows)).collect()], key=str)
+    assert got == brute_links(rows)
+    assert len({n for _, n in got}) > 5
+
+
+def test_shared_counts():
+    draw = np.random.default_rng(6)
+    a, b = ([np.sort(draw.choice(30, draw.integers(0, 9), replace=False)).astype(np.uint64) for _ in range(n)] for n in (11, 7))
+    flat = [(np.concatenate(x), np.concatenate(([0], np.cumsum([len(y) for y in x])))) for x in (a, b)]
+    want = [[len(set(x) & set(y)) for y in b] for x in a]
+    assert all(ngram_jaccard.shared_counts(*flat[0], *flat[1], limit=n).tolist() == want for n in (1, 5, 1 << 20))
+
+
 def test_jaccard_of_nothing_and_one_of_each(spark):
     assert ngram_jaccard.linked_documents(frame(spark, [])).count() == 0
     rows = near_copies(3, 60) + ODD
