@@ -443,6 +443,8 @@ def _linked(docs: DataFrame, folder: str, count: bool = False) -> DataFrame:
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in range(ROUNDS + 1):
         torn = written(_torn(entries, roots), f"{folder}/torn-{turn}")
+        # components only merge, so a list that is whole now stays so
+        entries = torn.select("token", F.col("cls").alias("a"), F.expr("cast(n as long) << 32 | at").alias("place"))
         pairs = _across(torn) if turn == ROUNDS else _some_across(torn, turn)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs-{turn}")
         if not pairs.isEmpty():
