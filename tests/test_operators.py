@@ -429,3 +429,17 @@ def test_small_helpers(spark):
     r = spark.createDataFrame([(votes,)], "j string").select(store.parsed_votes(F.col("j")).alias("p"), store.today_utc().alias("d"), store.now_iso().alias("t")).first()
     assert r.p.positive == 7 and r.p.negative is None and r.p.score_rank is None and r.p.tags_json == '{"RPG":5}'
     assert len(r.d) == 10 and r.t.startswith(r.d[:8]) and r.t.endswith("+00:00")
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6])
+def test_containment_moves_lists_not_pairs(spark, threshold):
+    """Many owners of many items: candidates need common owners, and the answer is that of counting all pairs."""
+    draw = np.random.default_rng(12)
+    owns = {u: set(draw.choice(60, draw.integers(1, 30), replace=False).tolist()) for u in range(200)}
+    owns |= {u: {70, 71} for u in range(200, 206)} | {206: {70}}
+    rows = [(u, int(i)) for u, o in owns.items() for i in o]
+    of = {i: {u for u, o in owns.items() if i in o} for i in range(72)}
+    want = {(i, j) for i in of for j in of if i != j and min(len(of[i]), len(of[j])) >= 3 and len(of[i] & of[j]) >= threshold * min(len(of[i]), len(of[j]))}
+    df = cooccurrence.containment_pairs(spark.createDataFrame(rows, "user_id long, item_id long"), threshold, block=8)
+    assert {(r.i, r.j) for r in df.collect()} == want and (70, 71) in want
+    assert cooccurrence.MET > 1
