@@ -457,3 +457,12 @@ def test_rounding_of_scaled_numbers(spark):
     values = [0.15625, 1.005, -1.005, 2.5, -2.5, 0.285]
     got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded_scaled(F.col("v"), 2).alias("v")).collect()]
     assert got == [0.16, 1.0, -1.0, 2.5, -2.5, 0.28]
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
+    from affinix.functions import windows
+
+    monkeypatch.setattr(windows, "SPREAD", 100)
+    df = windows.spread(spark.range(3000).select((F.col("id") % 500).alias("k"), "id"), "k", 3000)
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 300
