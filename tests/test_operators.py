@@ -140,6 +140,25 @@ def test_ease_skips_columns_that_cannot_be_among_the_largest(spark, monkeypatch)
     assert ease.compared_share(model, k=5, item_block=64) < 0.5
 
 
+def test_ease_of_many_users_is_solved_without_their_square(spark, monkeypatch):
+    """What is sent to tasks is the scores alone; solutions are right for rows of several pieces, repeated scores and users without any."""
+    draw = np.random.default_rng(3)
+    u, at = draw.integers(0, 300, 4000).astype(np.int32), np.minimum(draw.integers(0, 60, 4000), draw.integers(0, 60, 4000)).astype(np.int32)
+    u[u == 7] = 8
+    s = draw.uniform(0.1, 1, 4000).astype(np.float32)
+    dense = np.zeros((300, 60))
+    np.add.at(dense, (u, at), s)
+    right = draw.random((300, 5)).astype(np.float32)
+    right[:, 2] = 0
+    assert np.bincount(at).max() > ease._Rows.PIECE
+    got = ease.Sampled(u, at, s, 300, 60).solved(right, 0.5)
+    assert np.allclose(got, np.linalg.solve(dense @ dense.T + 0.5 * np.eye(300), right), atol=1e-4)
+    rows = spark.createDataFrame([(user, user % 50, 0.5) for user in range(300)], "user_id long, item_id long, s double")
+    model = ease.fit(rows, ease.graph_users(rows, least=1), item_side=0)
+    held = [len(v) if np.ndim(v) else 1 for v in vars(model.x).values()]
+    assert max(held) == 300 and all(np.ndim(v) < 2 for v in vars(model.x).values())
+
+
 def test_places_with_ties_and_nulls(spark):
     from affinix.functions.windows import ordinal_percent, placed
 
