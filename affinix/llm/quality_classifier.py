@@ -1,16 +1,17 @@
 """Quality classifier by Bradley-Terry ranking of documents.
 
-Labelled documents give preference pairs (label 1 over label 0).  Scores are
+Labelled documents give preference pairs, every one of label 1 over every one of label 0.  Scores are
 linear in a text's features and are learned by logistic loss on the pairs'
-feature differences, which is the Bradley-Terry likelihood.  The cut is a score
-quantile of the labelled documents: the one that leaves as many below it as have
+feature differences, which is the Bradley-Terry likelihood.  Pairs are not listed: what a pair adds depends on both
+scores alone, so that counts and sums of features by narrow ranges of the score, made in Spark, give the sums over all pairs.
+The cut is a score quantile of all labelled documents: the one that leaves as many below it as have
 label 0.  Scores are then scaled to 0..1 with the cut at 0.7.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from affinix.llm._shared import chunks, hashed_sample, span_hashes, word_bounds
+from affinix.llm._shared import chunks, shared_folder, span_hashes, word_bounds, written
 
-#: Bounds of the training sample: labelled documents of each label, and pairs.
-SAMPLE_PER_LABEL = 3000
-PAIRS = 60_000
+#: Width of a range of scores whose documents meet the others' as one, and the widest range there is.
+BIN = 1 / 16
+FAR = 64.0
 CUT = 0.7
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
@@ -81,65 +82,130 @@ class QualityModel:
     cut: float
     slope: float
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale).clip(-8, 8) @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = ((x - self.mean) / self.scale).clip(-8, 8) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(self.slope * (raw - self.cut) + math.log(CUT / (1 - CUT)), -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * (self.raw(x) - self.cut) + math.log(CUT / (1 - CUT)), -60, 60)))
+
+
+#: Width of a row of features.
+WIDTH = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
+
+
+def _sums(rows: DataFrame, make: Callable[[np.ndarray, np.ndarray], dict[object, np.ndarray]]) -> dict[object, np.ndarray]:
+    """Over rows(quality, x), the sum of make(qualities, features) by its keys (small whole numbers); a task passes on its own sums alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[object, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(batch.num_rows, WIDTH)
+                for key, value in make(batch.column(0).to_numpy(), x).items():
+                    total[key] = total[key] + value if key in total else value
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.astype(float).tobytes() for v in total.values()], pa.binary())], ["key", "v"])
+
+    out: dict[object, np.ndarray] = {}
+    for r in rows.mapInArrow(run, "key long, v binary").collect():
+        v = np.frombuffer(bytes(r.v))
+        out[r.key] = out[r.key] + v if r.key in out else v
+    return out
 
 
-def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
-    """Weights that maximise the likelihood of every better row over its worse one, by Newton's method."""
-    d = better - worse
-    w = np.zeros(d.shape[1])
+def bradley_terry(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
+    """Weights that maximise the likelihood of every row of label 1 over every one of label 0, by Newton's method; rows(quality, x)."""
+    w = np.zeros(WIDTH)
+
+    def placed(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z = ((x - mean) / scale).clip(-8, 8)
+        raw = (z @ w).clip(-FAR, FAR)
+        return z, raw, np.floor(raw / BIN).astype(np.int64) * 2
+
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # chance that the worse one wins
-        gradient = d.T @ p / len(d) - ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+
+        def by_bin(q: np.ndarray, x: np.ndarray, w: np.ndarray = w) -> dict[object, np.ndarray]:
+            z, raw, at = placed(x, w)
+            keys, of = np.unique(at + q, return_inverse=True)
+            table = np.column_stack((np.ones(len(q)), raw, z))
+            order = np.argsort(of, kind="stable")
+            sums = np.add.reduceat(table[order], np.searchsorted(of[order], np.arange(len(keys))), axis=0)
+            return dict(zip(keys.tolist(), sums, strict=True))
+
+        met = _sums(rows, by_bin)
+        good, bad = ([k for k in sorted(met) if k % 2 == label] for label in (1, 0))
+        a, b = np.array([met[k] for k in good]), np.array([met[k] for k in bad])
+        pairs = a[:, 0].sum() * b[:, 0].sum()
+        ahead = (a[:, 1] / a[:, 0])[:, None] - (b[:, 1] / b[:, 0])[None, :]
+        p = 1 / (1 + np.exp(np.clip(ahead, -40, 40)))  # chance that the worse one wins
+        q = p * (1 - p)
+        gradient = (a[:, 2:].T @ (p @ b[:, 0]) - b[:, 2:].T @ (p.T @ a[:, 0])) / pairs - ridge * w
+        weight = dict(zip(good, q @ b[:, 0] / pairs, strict=True)) | dict(zip(bad, q.T @ a[:, 0] / pairs, strict=True))
+        known, heavy = np.array(sorted(weight)), np.array([weight[k] for k in sorted(weight)])
+
+        def squares(label: np.ndarray, x: np.ndarray, w: np.ndarray = w, known: np.ndarray = known, heavy: np.ndarray = heavy) -> dict[object, np.ndarray]:
+            z, _, at = placed(x, w)
+            return {0: ((z * heavy[np.minimum(np.searchsorted(known, at + label), len(known) - 1)][:, None]).T @ z).ravel()}
+
+        cross = a[:, 2:].T @ q @ b[:, 2:] / pairs
+        hessian = _sums(rows, squares)[0].reshape(WIDTH, WIDTH) - cross - cross.T + ridge * np.eye(WIDTH)
         step = np.linalg.solve(hessian, gradient)
         w = w + step * min(1.0, 5 / max(1e-12, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
-    return w
-
-
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, pairs: int = PAIRS) -> QualityModel:
-    """Learns from labels(doc_id, quality) that aren't held out, and their texts.
-
-    The sample, per_label documents of each label with the lowest hash of doc_id,
-    is bounded; so its ids can be broadcast, and its features collected.
-    Rows with a null label or id are left out; of several labels for one id the lower counts,
-    and of several rows of docs with one id the text that is lowest.  Null and empty texts count
+    return np.round(w, 6)  # sums of other partitions differ in their last digits
+
+
+def _at_place(raw: DataFrame, place: int) -> float:
+    """The value of raw(s) at a place from 0 in ascending order: ranges that hold it are cut until few different values are left."""
+    low, high = raw.agg(F.min("s"), F.max("s")).first()
+    while True:
+        inside = raw.where((F.col("s") >= low) & (F.col("s") <= high))
+        step = (high - low) / 1024
+        at = F.least(F.floor((F.col("s") - low) / step), F.lit(1023)) if step > 0 else F.lit(0)
+        for r in inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("low").collect():  # 1,024 at most
+            if place < r.n:
+                break
+            place -= r.n
+        if r.low == r.high:
+            return r.low
+        low, high = r.low, r.high
+
+
+def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
+    """Learns from all labels(doc_id, quality) that aren't held out, and their texts.
+
+    Features are written once, and read again in every step; tasks pass on sums, the driver gets from each those of at most
+    2 * FAR / BIN ranges of the score and label.  Rows with a null label or id are left out; of several labels for one id the lower counts,
+    and of several rows of docs with one id the one whose features are lowest as bytes.  Null and empty texts count
     as empty.  Without labels of both kinds all documents get one score: kept if there are good ones or none at all.
     """
     usable = labels.where(f"quality in (0, 1) and doc_id is not null and not ({HELD_OUT})").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
-    counts = {r.quality: r["count"] for r in usable.groupBy("quality").count().collect()}
-    chosen = hashed_sample(usable, "quality", F.xxhash64("doc_id"), per_label, counts)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("quality", "text")
+    texts = docs.where(f"doc_id is not null and not ({HELD_OUT})").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in features(data, offsets)], pa.binary())], ["quality", "x"])
-
-    rows = sorted((r.quality, bytes(r.x)) for r in sample.mapInArrow(featured, "quality int, x binary").collect())
-    width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
-    x = np.array([np.frombuffer(v) for _, v in rows]).reshape(len(rows), width)
-    y = np.array([q for q, _ in rows], int)
-    good, bad = x[y == 1], x[y == 0]
-    if not len(good) or not len(bad):
-        return QualityModel(np.zeros(width), np.zeros(width), np.ones(width), 0.0 if len(good) or not len(bad) else 1.0, 1.0)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = ((x - mean) / scale).clip(-8, 8)
-    draw = np.random.default_rng(11)
-    a, b = z[y == 1][draw.integers(len(good), size=pairs)], z[y == 0][draw.integers(len(bad), size=pairs)]
-    w = bradley_terry(a, b)
-    raw = z @ w
-    # The cut: the quantile at the share of label 0 among all labelled rows, each sampled row standing for as many.
-    mass = np.where(y == 1, counts[1] / len(good), counts[0] / len(bad))
-    order = np.argsort(raw, kind="stable")
-    below = np.cumsum(mass[order])
-    at = int(np.searchsorted(below, counts[0] * (1 + 1e-9), "right"))
-    at = min(max(at, 1), len(raw) - 1)
-    return QualityModel(w, mean, scale, float(raw[order][at - 1] + raw[order][at]) / 2, 1.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in features(data, offsets)], pa.binary())], ["doc_id", "x"])
+
+    rows = texts.mapInArrow(featured, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).join(usable, "doc_id").select("quality", "x")
+    rows = written(rows, f"{shared_folder(docs.sparkSession)}/features")
+    sums = _sums(rows, lambda q, x: {label: np.concatenate(([(q == label).sum()], x[q == label].sum(0), (x[q == label] ** 2).sum(0))) for label in (0, 1)})
+    bad, good = (int(sums[label][0]) if label in sums else 0 for label in (0, 1))
+    if not good or not bad:
+        return QualityModel(np.zeros(WIDTH), np.zeros(WIDTH), np.ones(WIDTH), 0.0 if good or not bad else 1.0, 1.0)
+    _, first, second = np.split((sums[0] + sums[1]) / (good + bad), (1, 1 + WIDTH))
+    mean, scale = np.round(first, 9), np.round(np.maximum(np.sqrt(np.maximum(second - first**2, 0)), 1e-3), 9)
+    model = QualityModel(bradley_terry(rows, mean, scale), mean, scale, 0.0, 1.0)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(batch.num_rows, WIDTH)
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(x))], ["s"])
+
+    # The cut: the quantile at the share of label 0 among all labelled rows.
+    raw = written(rows.mapInArrow(scored, "s double"), f"{shared_folder(docs.sparkSession)}/raw")
+    model.cut = (_at_place(raw, bad - 1) + _at_place(raw, bad)) / 2
+    return model
 
 
 NAMES = ("quality_score", "quality_keep")

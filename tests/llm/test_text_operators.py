@@ -366,6 +366,27 @@ def test_quality_ranks_held_out(spark):
     assert quality_classifier.score(docs, quality_classifier.train(docs, table.limit(0))).count() == 603
 
 
+def test_quality_learns_from_all_labelled_pairs(spark):
+    """A kind of bad text that only a few of many labelled rows show is learned; weights and cut agree with all pairs, listed."""
+    draw = np.random.default_rng(5)
+    words = ["the", "river", "went", "slowly", "home,", "again.", "NOW!!", "$$$"]
+    rows = [(i, " ".join(draw.choice(words, 30, p=[0.16] * 6 + [0.02] * 2 if i % 4 else [0.14] * 6 + [0.08] * 2))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in rows], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    used = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    data = np.frombuffer("".join(t for _, t in used).encode(), np.uint8)
+    x = quality_classifier.features(data, np.concatenate(([0], np.cumsum([len(t) for _, t in used]))))
+    y = np.array([i % 4 > 0 for i, _ in used])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-3), atol=1e-6)
+    z = ((x - x.mean(0)) / np.maximum(x.std(0), 1e-3)).clip(-8, 8)
+    d = (z[y][:, None] - z[~y][None, :]).reshape(-1, z.shape[1])
+    p = 1 / (1 + np.exp(d @ model.weights))
+    assert np.abs(d.T @ p / len(d) - 1e-3 * model.weights).max() < 1e-3  # the gradient over all pairs
+    raw = np.sort(model.raw(x))
+    assert model.cut == pytest.approx((raw[(~y).sum() - 1] + raw[(~y).sum()]) / 2, abs=1e-9)
+
+
 # 7
 PATH = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
