@@ -380,6 +380,20 @@ def test_nearest_vectors_against_all_pairs(spark):
     assert vector_search.nearest_vectors(df.limit(0), df, 3).count() == 0
 
 
+def test_binary_rounding_agrees_with_exact_decimals_and_uses_none(spark):
+    """Halves, their neighbours, and numbers of all sizes against Python's exact decimals; the plan has no decimals, which take most of the time."""
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    draw = np.random.default_rng(8)
+    xs = np.concatenate((draw.integers(1, 2**40, 3000) / 2.0**5, (2 * draw.integers(0, 10**6, 3000) + 1) / 20000, draw.uniform(0, 1, 2000) * 10.0 ** draw.integers(-5, 11, 2000)))
+    xs = np.concatenate((xs, np.nextafter(xs, 0), np.nextafter(xs, np.inf)))
+    xs = np.concatenate((xs, -xs))
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double").select("x", rounded_binary(F.col("x"), 4).alias("y"))
+    for r in df.collect():
+        assert r.y == float(Decimal(r.x).quantize(Decimal("0.0001"), ROUND_HALF_EVEN))
+    assert "decimal" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nearest_vectors_of_every_vector_in_slabs(spark, monkeypatch):
     """Several slabs and chunks, ties and a zero vector; a few answers for each seed and slab leave the tasks."""
     from affinix.operators import vector_search
