@@ -521,3 +521,25 @@ def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
     df = windows.spread(spark.range(3000).select((F.col("id") % 500).alias("k"), "id"), "k", 3000)
     sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 20 and max(sizes) < 300
+
+
+def test_plays_are_the_interactions_playing_times(spark):
+    from affinix.operators import features
+
+    lines = spark.createDataFrame([(1, 7, 1, 2.0, "A", 1, 0), (1, 7, 2, 3.0, "N", 1, 0), (2, 7, 1, None, "A", 1, 0), (None, 8, 1, 4.0, "N", 1, 0)], "user_id long, item_id long, ach_id int, playtime double, flag string, progress int, unlock_time long")
+    items = spark.createDataFrame([(7, 5)], "item_id long, ach_total long")
+    want = sorted(map(tuple, features.interactions(lines, items).select("user_id", "item_id", "playtime").collect()), key=str)
+    for rows in (None, 4):
+        assert sorted(map(tuple, features.plays(lines, rows).collect()), key=str) == want
+
+
+def test_liked_reads_scores_once_and_cosines_count_pairs_once(spark, tmp_path):
+    rows = [(u, i, 0.9) for u in range(6) for i in range(4) if (u + i) % 5] + [(9, 1, 0.9), (None, 1, 0.9), (None, 2, 0.9)]
+    spark.createDataFrame(rows, "user_id long, item_id long, s double").write.parquet(f"{tmp_path}/s")
+    liked = cooccurrence.liked(spark.read.parquet(f"{tmp_path}/s"))
+    assert {(r.user_id, r.item_id) for r in liked.collect()} == {(u, i) for u, i, _ in rows if u not in (9, None)}
+    assert liked._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    cosines = cooccurrence.conditional_cosine(liked, 2)
+    got = {(r.i, r.j): r.c for r in cosines.collect()}
+    assert got and all(got[j, i] == c for (i, j), c in got.items())
+    assert cosines._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [i#") == 1
