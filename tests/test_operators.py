@@ -523,6 +523,34 @@ def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
     assert len(sizes) > 20 and max(sizes) < 300
 
 
+def test_interactions_are_dealt_into_bounded_tasks(spark, monkeypatch):
+    """Rarity and items are met in tasks of bounded size, which windows by item keep: no other shuffle of the rows follows."""
+    from affinix.functions import windows
+    from affinix.operators import features
+
+    lines = spark.range(4000).selectExpr("id % 97 user_id", "id % 200 item_id", "cast(id % 3 as int) ach_id", "double(id % 11) playtime", "if(id % 2 = 0, 'A', 'N') flag", "1 progress", "id unlock_time")
+    items = spark.range(200).selectExpr("id item_id", "5L ach_total")
+    monkeypatch.setattr(windows, "SPREAD", 100)
+    inter = features.interactions(lines, items)
+    made = scores.rarity_depth_blend(inter)
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == inter.count() and len(sizes) > 20 and max(sizes) < 400
+    capped = scores.per_user_cap(inter, rows=4000)
+    assert max(r["count"] for r in capped.groupBy(F.spark_partition_id()).count().collect()) < 400
+
+
+def test_rarity_counts_repeated_unlocks_and_not_rows_without_a_user(spark):
+    from math import log
+
+    from affinix.operators import features
+
+    rows = [(1, 7, 1, "A"), (1, 7, 1, "A"), (1, 7, 2, "A"), (2, 7, 1, "A"), (3, 7, 1, "N"), (4, 7, None, "A"), (None, 7, 2, "A")]
+    lines = spark.createDataFrame([(u, i, a, 1.0, f, 1, 0) for u, i, a, f in rows], "user_id long, item_id long, ach_id int, playtime double, flag string, progress int, unlock_time long")
+    got = {r.user_id: (r.mean_surprisal, r.min_pct) for r in features.interactions(lines, spark.createDataFrame([(7, 5)], "item_id long, ach_total long")).collect()}
+    assert got[3] == got[4] == got[None] == (None, None) and got[2] == (-log(0.4), 40.0)
+    assert got[1][1] == 40.0 and abs(got[1][0] + log(0.4)) < 1e-12
+
+
 def test_plays_are_the_interactions_playing_times(spark):
     from affinix.operators import features
 
