@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from affinix.functions.maths import cosine, interpolated, normal_cdf, rounded_binary
 from affinix.functions.windows import average_percent_rank, hazen
 from affinix.operators import cooccurrence, ease, evaluation, metrics, recommend, scores, statistics, store
+from affinix.sources import tables
 
 
 def test_hazen_ties_zero_and_null(spark):
@@ -523,6 +524,17 @@ def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
     assert len(sizes) > 20 and max(sizes) < 300
 
 
+def test_many_lines_meet_orders_in_bounded_tasks(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    few = tables.lines(spark, folder)
+    monkeypatch.setattr(tables, "JOINED", 100, raising=False)
+    many = tables.lines(spark, folder)
+    rows = many.count()
+    sizes = [n for n in many.select(F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]]
+    assert len(sizes) > rows / 200 and max(sizes) < 300
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
 def test_interactions_are_dealt_into_bounded_tasks(spark, monkeypatch):
     """Rarity and items are met in tasks of bounded size, which windows by item keep: no other shuffle of the rows follows."""
     from affinix.functions import windows
