@@ -11,8 +11,8 @@
    (quarter-octave scale, turn, and coarse shift) that maps one corner
    to the other; a pair of images is linked if at least MIN_VOTES distinct
    corners agree on one transform, in cells that overlap in the turn and in each shift.
-5. Links join classes to components.  In lists of up to SHORT corners all pairs
-   vote at once.  In longer ones all members first vote with the list's leader
+5. Links join classes to components.  In lists of up to SHORT corners, and in
+   those of up to HELD in which few are near, all pairs vote at once.  In others all members first vote with the list's leader
    alone; what is then in one component needs no more votes, and only pairs of
    corners across components meet, by blocks.  So no link between components is lost, and
    a large group of copies costs in proportion to its size, not to its square.
@@ -47,6 +47,10 @@ MIN_VOTES = 4
 #: Corners of a list that vote all with all; and entries of a block of a longer one.
 SHORT = 16
 BLOCK = 128
+#: Longer lists of up to HELD corners vote all with all too where at most NEAR times as many pairs as corners are near: those of random meetings.
+HELD, NEAR = 1024, 8
+#: Pairs of entries of blocks that are compared at once.
+MET = 1 << 19
 IMAGE_SCHEMA = "image_id long, width int, height int, pixels binary"
 
 
@@ -177,10 +181,15 @@ def _described(images: DataFrame) -> DataFrame:
     return images.select("cls", "width", "height", "pixels").mapInArrow(run, _CORNER)
 
 
+def _near(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether corners (rows i and j of c) are of different classes and near in their bits."""
+    bits = sum(np.bitwise_count((c[k][i] ^ c[k][j]).view(np.uint64)).astype(np.int32) for k in ("low", "high"))
+    return (bits <= MAX_BITS) & (c["cls"][i] != c["cls"][j])
+
+
 def _votes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
     """The votes of those pairs of corners (rows i and j of c) that are of different classes and near in their bits."""
-    near = sum(np.bitwise_count((c[k][i] ^ c[k][j]).view(np.uint64)).astype(np.int32) for k in ("low", "high"))
-    keep = (near <= MAX_BITS) & (c["cls"][i] != c["cls"][j])
+    keep = _near(c, i, j)
     i, j = i[keep], j[keep]
     i, j = np.where(c["cls"][i] < c["cls"][j], i, j), np.where(c["cls"][i] < c["cls"][j], j, i)
     full = 2 * np.pi
@@ -196,10 +205,10 @@ def _votes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.nd
 
 
 def _listed(corners: DataFrame) -> DataFrame:
-    """From every list of corners of one key: the votes of all pairs of a short one (kind 0); of a longer one the votes with
-    its leader (kind 0) and all entries (kind 1).
+    """From every list of corners of one key: the votes of all pairs of a short one, or of one of up to HELD corners few of which are near (kind 0);
+    of another one the votes with its leader (kind 0) and all entries (kind 1).
 
-    Lists come sorted by class, so the leader of a group's lists is mostly one image.  A list is held up to SHORT
+    Lists come sorted by class, so the leader of a group's lists is mostly one image.  A list is held up to HELD
     corners only; then it is walked with the leader in hand.
     """
     schema = f"kind int, {_VOTE}, {_CORNER}"
@@ -232,7 +241,14 @@ def _listed(corners: DataFrame) -> DataFrame:
             yield made(_votes(c, i, j), None)
             for s, n in zip(start[long].tolist(), length[long].tolist(), strict=True):
                 part = {k: v[s : s + n] for k, v in c.items()}
-                head = leader if s == 0 and leader is not None else {k: v[:1] for k, v in part.items()}
+                begun = s == 0 and leader is not None
+                if not begun and n <= HELD:
+                    i, j = np.triu_indices(n, 1)
+                    near = _near(part, i, j)
+                    if near.sum() <= NEAR * n:
+                        yield made(_votes(part, i[near], j[near]), None)
+                        continue
+                head = leader if begun else {k: v[:1] for k, v in part.items()}
                 joined = {k: np.concatenate((head[k], part[k])) for k in part}
                 yield made(_votes(joined, np.zeros(n, np.int64), np.arange(1, n + 1)), part)
 
@@ -246,7 +262,7 @@ def _listed(corners: DataFrame) -> DataFrame:
             if leader is not None and c["key"][0] != leader["key"][0]:
                 leader = None
             last = int(np.searchsorted(c["key"], c["key"][-1]))
-            if len(c["key"]) - last > SHORT:  # the last list is long: what is here of it can go
+            if leader is not None and last == 0 or len(c["key"]) - last > max(HELD, SHORT):  # the last list is long: what is here of it can go
                 head = leader if last == 0 and leader is not None else {k: v[last : last + 1] for k, v in c.items()}
                 yield from taken(c, leader)
                 held, leader = None, head
@@ -309,32 +325,49 @@ def _links(votes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_counted, "a long, b long, votes long")
 
 
-def _across(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """The votes of pairs of entries of one list that are in different components.
+_FIELDS = ("cls", "root", "place", "low", "high")
+
+
+def _block_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of blocks (a_, b_: lists of _FIELDS; same: a block with itself) in which all pairs of entries of one list meet that are in different components.
 
-    Every entry outside its list's largest component meets the list's blocks.
+    The entries of a list's largest component and those outside it have blocks of their own; the latter's meet each other and the former's.
     """
     placed = entries.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     by_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    lists = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("length"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1").drop("roots")
-    torn = placed.join(lists, "key")
-    part = F.expr(f"pmod(xxhash64(cls, place), greatest(1, cast(length / {BLOCK} as int)))")
-    fields = ("cls", "root", "place", "low", "high")
-    blocks = torn.groupBy("key", part.alias("part")).agg(*[F.collect_list(c).alias(f"b_{c}") for c in fields]).drop("part")
-    met = torn.where("root <> main").select("key", *fields).join(blocks, "key").drop("key")
+    lists = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max("c").alias("inside"), (F.sum("c") - F.max("c")).alias("outside"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1").drop("roots")
+    torn = placed.join(lists, "key").withColumn("out", F.col("root") != F.col("main"))
+    part = F.expr(f"pmod(xxhash64(cls, place), ceil(if(out, outside, inside) / {BLOCK}))")
+    blocks = torn.groupBy("key", "out", part.alias("part")).agg(*[F.collect_list(c).alias(c) for c in _FIELDS])
+    a, b = (blocks.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("out", "part", *_FIELDS)]) for side in "ab")
+    met = a.where("a_out").join(b, "key").where("not b_out or a_part <= b_part")
+    return met.select((F.col("b_out") & (F.col("a_part") == F.col("b_part"))).alias("same"), *[f"{side}_{c}" for side in "ab" for c in _FIELDS])
+
+
+def _across(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The votes of pairs of entries of one list that are in different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                size = part.column("b_cls").value_lengths().to_numpy()
-                c = {k: np.concatenate((part.column(k).to_numpy(), part.column(f"b_{k}").flatten().to_numpy())) for k in fields}
-                i, j = np.repeat(np.arange(part.num_rows), size), part.num_rows + np.arange(int(size.sum()))
-                apart = c["root"][i] != c["root"][j]
-                votes = _votes(c, i[apart], j[apart])
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in votes], _VOTE_NAMES)
-
-    return met.mapInArrow(run, _VOTE)
+            size_a, size_b = (batch.column(f"{side}_cls").value_lengths().to_numpy().astype(np.int64) for side in "ab")
+            # Some MET pairs of entries at a time.
+            some = np.cumsum(size_a * size_b) // MET
+            for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(some)) + 1):
+                if not len(rows):
+                    continue
+                part = batch.slice(rows[0], len(rows))
+                n, m = size_a[rows], size_b[rows]
+                c = {k: np.concatenate([part.column(f"{side}_{k}").flatten().to_numpy() for side in "ab"]) for k in _FIELDS}
+                at = np.arange(int((n * m).sum())) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+                width = np.repeat(m, n * m)
+                one, two = at // width, at % width
+                i = np.repeat(np.cumsum(n) - n, n * m) + one
+                j = int(n.sum()) + np.repeat(np.cumsum(m) - m, n * m) + two
+                same = np.repeat(part.column("same").to_numpy(zero_copy_only=False), n * m)
+                apart = (c["root"][i] != c["root"][j]) & (~same | (one < two))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in _votes(c, i[apart], j[apart])], _VOTE_NAMES)
+
+    return _block_pairs(entries, roots).mapInArrow(run, _VOTE)
 
 
 def copies(images: DataFrame, folder: str | None = None) -> DataFrame:

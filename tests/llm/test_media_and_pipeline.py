@@ -125,6 +125,23 @@ def test_corners_meet_whatever_the_size_of_their_list(spark, monkeypatch, short)
     assert some <= near and {p for p in near if root(p[0]) != root(p[1])} <= some
 
 
+def test_long_lists_of_random_meetings_vote_at_once(spark):
+    """Only lists in which many corners are near are listed again, and their blocks, not their corners, are joined."""
+    draw = random.Random(3)
+    word = lambda: (draw.getrandbits(63), draw.getrandbits(63))
+    base = word()
+    rows = [(1, i, float(i), 1.0, 1.0, 0.0, *word()) for i in range(300)]
+    rows += [(1, 1000, 5.0, 1.0, 1.0, 0.0, *rows[7][6:])]
+    rows += [(2, i, float(i), 1.0, 1.0, 0.0, *base) for i in range(300)]
+    lists = media_copies._listed(spark.createDataFrame(corners_of(rows), CORNER))
+    entries = lists.where("kind = 1").select(*media_copies._CORNER_NAMES)
+    assert entries.groupBy("key").count().collect() == [(2, 300)]
+    assert (7, 1000) in {(r.a, r.b) for r in lists.where("kind = 0").select("a", "b").collect()}
+    alone = spark.createDataFrame([], "v long, root long")
+    assert media_copies._block_pairs(entries, alone).count() < 20
+    assert media_copies._across(entries, alone).select("a", "b").distinct().count() == 300 * 299 / 2
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_runs_on_a_whole_table(spark, name):
     table = "embeddings" if name.startswith("op10") else "documents"
