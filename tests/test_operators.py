@@ -597,3 +597,11 @@ def test_validation_by_places_is_that_of_lists(spark):
     values = lambda d: {r.system: (round(r.recall, 12), round(r.ndcg, 12)) for r in d.collect()}
     for k in (3, 6):
         assert values(evaluation.validation(lists, truth, k)) == values(evaluation.validation({}, truth, k, {"one": first}, found)) == values(evaluation.validation({"one": lists["one"]}, truth, k, None, found))
+
+
+def test_graph_users_are_not_sampled(spark):
+    """All users with enough positive scores are in the model, however many."""
+    rows = spark.range(12_500).withColumnRenamed("id", "user_id").crossJoin(spark.range(5).withColumnRenamed("id", "item_id")).withColumn("s", F.lit(0.5))
+    few = spark.createDataFrame([(-1, 0, 0.5)], "user_id long, item_id long, s double")
+    assert ease.graph_users(rows.union(few)).count() == 12_500
+    assert ease.graph_users(rows, cap=100).count() == 100
