@@ -605,3 +605,9 @@ def test_graph_users_are_not_sampled(spark):
     few = spark.createDataFrame([(-1, 0, 0.5)], "user_id long, item_id long, s double")
     assert ease.graph_users(rows.union(few)).count() == 12_500
     assert ease.graph_users(rows, cap=100).count() == 100
+
+
+def test_class_recommendations_come_from_all_users():
+    from affinix.plans import recommending
+
+    assert "LIMIT" not in recommending.SQL["ease_class_recommend"] and "LIMIT 12000)" in recommending.SQL["ease_class_weights"]
