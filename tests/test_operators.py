@@ -613,10 +613,10 @@ def test_class_recommendations_come_from_all_users():
     assert "LIMIT" not in recommending.SQL["ease_class_recommend"] and "LIMIT 12000)" in recommending.SQL["ease_class_weights"]
 
 
-def test_content_scores_are_made_for_all_users(spark):
+def test_content_scores_and_steered_lists_are_made_for_all_users(spark):
     import __spark_entry__ as entry
 
-    for name, some in (("content_scores", False), ("hybrid_gated", True)):
+    for name, some in (("content_scores", False), ("steered_gated", False), ("hybrid_gated", True)):
         assert ("user_id % 100 = 0" in entry.oracle_sql()[name]) == some
-    for name in ("content_scores",):
+    for name in ("content_scores", "steered_gated"):
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").where("user_id % 100 <> 0").count() > 0
