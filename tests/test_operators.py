@@ -620,3 +620,23 @@ def test_content_scores_and_steered_lists_are_made_for_all_users(spark):
         assert ("user_id % 100 = 0" in entry.oracle_sql()[name]) == some
     for name in ("content_scores", "steered_gated"):
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").where("user_id % 100 <> 0").count() > 0
+
+
+def test_playtime_grid_has_the_doubles_of_sql(spark):
+    """Also where neighbours are equal, and a quantile is a bit off them."""
+    import duckdb
+
+    from affinix.operators import features
+
+    draw = np.random.default_rng(4)
+    rows = [(i, float(v)) for i in range(300) for v in ((62, 62) if i == 0 else draw.integers(0, 8 + i, draw.integers(1, 9)))]
+    inter = spark.createDataFrame(rows, "item_id long, playtime double")
+    got = {r.item_id: r.grid for r in features.playtime_grid(inter, inter.where("playtime > 0").select("item_id").distinct()).collect()}
+    con = duckdb.connect()
+    con.execute("create table inter (item_id bigint, playtime double)")
+    con.executemany("insert into inter values (?, ?)", rows)
+    want = con.execute(f"select item_id, quantile_cont(playtime, {[k / 20 for k in range(21)]}) from inter where playtime > 0 group by 1").fetchall()
+    assert got == dict(want) and got[0][6] != 62.0
+    flat = F.array(*map(F.lit, [1.0, 3.0, 3.0, 3.0000000000000004, 4.0]))
+    y = spark.range(1).select(interpolated(F.lit(3.0), flat, F.array(*map(F.lit, [0.0, 0.25, 0.5, 0.75, 1.0]))).alias("y"), interpolated(F.lit(3.0), F.array(*map(F.lit, [1.0, 3.0000000000000004, 3.0, 3.0, 4.0])), flat).alias("n")).first()
+    assert y.y == 0.5 and np.isnan(y.n)
