@@ -640,3 +640,32 @@ def test_playtime_grid_has_the_doubles_of_sql(spark):
     flat = F.array(*map(F.lit, [1.0, 3.0, 3.0, 3.0000000000000004, 4.0]))
     y = spark.range(1).select(interpolated(F.lit(3.0), flat, F.array(*map(F.lit, [0.0, 0.25, 0.5, 0.75, 1.0]))).alias("y"), interpolated(F.lit(3.0), F.array(*map(F.lit, [1.0, 3.0000000000000004, 3.0, 3.0, 4.0])), flat).alias("n")).first()
     assert y.y == 0.5 and np.isnan(y.n)
+
+
+def test_ease_solves_components_by_themselves(spark, monkeypatch):
+    """Items that no chain of users connects are numbered, sent and solved apart, in batches of whole components; B is that of all."""
+    draw = np.random.default_rng(9)
+    sizes = ((0, 10, 0, 8), (10, 30, 8, 20), (30, 33, 20, 21), (33, 48, 21, 35))  # users and items of each
+    rows = [(u, 100 + 8 * int(i) % 35, float(draw.uniform(0.1, 1))) for a, b, low, high in sizes for u in range(a, b) for i in draw.permutation(np.arange(low, high))[: draw.integers(2, 6)]]
+    s = spark.createDataFrame(rows, "user_id long, item_id long, s double").repartition(3)
+    x = np.zeros((48, 35))
+    for u, i, w in rows:
+        x[u, i - 100] = w
+    p = np.linalg.inv(x.T @ x + 10 * np.eye(35))
+    b = -p / np.diag(p)
+    np.fill_diagonal(b, 0)
+    one = ease.fit(s, ease.graph_users(s, least=1), lam=10.0, item_side=0)
+    assert one.batches == 1 and len(one.x.first_items) >= 4
+    near, item, user = one.x.around(int(one.x.first_items[1]), int(one.x.first_items[1]))
+    assert near.items < 35 and near.users < 48 and len(near.s) < len(rows) and (near.u >= 0).all() and (near.u < near.users).all()
+    monkeypatch.setattr(ease, "SLAB", 60)
+    some = ease.fit(s, ease.graph_users(s, least=1), lam=10.0, item_side=0)
+    assert some.batches > 1 and some.x is None
+    asked = spark.createDataFrame([(1, 100 + i, 1.0) for i in range(35)], "user_id long, item_id long, w double")
+    for model in (one, some):
+        got = np.zeros((35, 35))
+        for r in ease.weights(model, k=35, item_block=5).collect():
+            got[r.i - 100, r.j - 100] = r.sim
+        assert np.allclose(got, b, atol=1e-5)
+    scored = {r.item_id - 100: r.score for r in ease.exact_scores(some, asked).collect()}
+    assert np.allclose([scored.get(i, 0) for i in range(35)], b.sum(axis=0), rtol=1e-3, atol=1e-4)
