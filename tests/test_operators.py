@@ -669,3 +669,18 @@ def test_ease_solves_components_by_themselves(spark, monkeypatch):
         assert np.allclose(got, b, atol=1e-5)
     scored = {r.item_id - 100: r.score for r in ease.exact_scores(some, asked).collect()}
     assert np.allclose([scored.get(i, 0) for i in range(35)], b.sum(axis=0), rtol=1e-3, atol=1e-4)
+
+
+def test_ease_best_scores_are_those_of_all_pairs(spark, monkeypatch):
+    """Slabs of columns and chunks of users give what scores of all pairs of users and items give, for users of several components too."""
+    monkeypatch.setattr(ease, "ENTRIES", 40)
+    monkeypatch.setattr(ease, "HELD", 30)
+    draw = np.random.default_rng(5)
+    rows = [(u, 20 * (u % 3) + int(i), float(draw.uniform(0.1, 1))) for u in range(60) for i in draw.choice(20, draw.integers(5, 9), replace=False)]
+    s = spark.createDataFrame(rows, "user_id long, item_id long, s double")
+    model = ease.fit(s, ease.graph_users(s), lam=10.0, item_side=0)
+    asked = s.withColumnRenamed("s", "w").union(spark.createDataFrame([(99, 3, 1.0), (99, 30, 0.5), (98, 777, 1.0)], "user_id long, item_id long, w double"))
+    b = spark.createDataFrame(ease.weights(model, 6).toPandas())
+    want = recommend.ranked(ease.model_scores(asked, b), 4, asked).select("user_id", "item_id", "rank", F.round("score", 9)).collect()
+    got = ease.best_scores(model, asked, b, 4, 6).select("user_id", "item_id", "rank", F.round("score", 9)).collect()
+    assert len(want) > 230 and sorted(got) == sorted(want) and model.kept.select("c").distinct().count() == 3
