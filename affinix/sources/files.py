@@ -2,18 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What some texts begin with.
+BOM = b"\xef\xbb\xbf"
+
+
 def contents(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile")
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
-def fingerprints(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(name, sha256 of 16 digits, size) of every file."""
-    return contents(spark, path, pattern).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.substring(F.sha2("content", 256), 1, 16).alias("sha256"), F.col("length").alias("size"))
+#: Files of so many bytes are hashed as a stream of lines; smaller ones are held whole.  A binaryFile can't be 2 GiB.
+WHOLE = 2**28
+
+
+def fingerprints(spark: SparkSession, path: str, pattern: str | None = None, whole: int = WHOLE) -> DataFrame:
+    """(name, sha256 of 16 digits, size) of every file but empty ones, which Spark's readers skip.
+
+    A digest is sequential, so one task hashes a file; of one of whole bytes or more it holds a batch of lines at a time, which are
+    shuffled to it and sorted by their place.  A line, up to the byte 10, must be shorter than 2 GiB.
+    """
+    files = contents(spark, path, pattern)
+    least = max(1, whole)
+    out = files.where(F.col("length") < least).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    for r in files.where(F.col("length") >= least).select("path", "length").collect():
+        out = out.union(_streamed(spark, r.path, r.length))
+    return out.withColumn("sha256", F.substring("sha256", 1, 16))
+
+
+def _streamed(spark: SparkSession, path: str, size: int) -> DataFrame:
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    name = path.rsplit("/", 1)[-1]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The reader drops a byte order mark, which only the length betrays at the end.
+        digests, done = (hashlib.sha256(), hashlib.sha256(BOM)), 0
+        for batch in batches:
+            for line in batch.column(0):
+                part = line.as_py()
+                done += len(part) + 1
+                for h, short in zip(digests, (0, len(BOM)), strict=True):
+                    h.update(part + b"\n" if done + short <= size else part)
+        if done:
+            left = size - done
+            if left not in (-1, 0, len(BOM) - 1, len(BOM)):
+                raise ValueError(f"{name}: {done} bytes of lines, {size} of the file")
+            yield pa.RecordBatch.from_pydict({"name": [name], "sha256": [digests[left > 0].hexdigest()], "size": [size]})
+
+    return lines.repartition(1).sortWithinPartitions("at", "n").select("line").mapInArrow(hashed, "name string, sha256 string, size long")
 
 
 def expected(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

@@ -110,3 +110,24 @@ def test_a_run_folder(spark, tmp_path):
     (tmp_path / "x.txt").write_text("x")
     got = {r.name: (r.there, r.size) for r in files.expected(spark, f"{tmp_path}/*.txt", ["x.txt", "y.txt"]).collect()}
     assert got == {"x.txt": (True, 1), "y.txt": (False, None)}
+
+
+def test_fingerprints_of_large_files_are_streamed(spark, tmp_path):
+    """Bytes of any kind, in several splits, with and without a last line's end or a byte order mark."""
+    import hashlib
+    import random
+
+    from affinix.sources import files
+
+    draw = random.Random(3)
+    made = {"random.bin": draw.randbytes(300_000), "ended.txt": b"a\r\nb\n\n", "open.txt": b"\nx", "one": b"\n", "marked.txt": b"\xef\xbb\xbfab\nc", "marked_ended.txt": b"\xef\xbb\xbfab\n", "no_line.bin": b"\xff\xfe\x00"}
+    for name, body in made.items():
+        (tmp_path / name).write_bytes(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        for whole in (0, 10_000, 2**28):
+            got = {r.name: (r.sha256, r.size) for r in files.fingerprints(spark, str(tmp_path), whole=whole).collect()}
+            assert got == {n: (hashlib.sha256(b).hexdigest()[:16], len(b)) for n, b in made.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
